@@ -48,9 +48,11 @@ def targets(sizes: DataFrame, share: float, epochs: float, weights=WEIGHTS) -> D
     return rows.select("source", "source_size", F.least("cap", F.coalesce(level * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def mix(docs: DataFrame, size: Column | None = None, weight: Column | None = None, share: float = 1.5, epochs: float = 2.0, weights=WEIGHTS, seed: int = 17, bins_per_octave: int = 64, max_broadcast_sources: int = 10_000) -> DataFrame:
+def mix(docs: DataFrame, size: Column | None = None, weight: Column | None = None, share: float = 1.5, epochs: float = 2.0, weights=WEIGHTS, seed: int = 17, bins_per_octave: int = 64, max_broadcast_sources: int = 10_000, carry: bool = False) -> DataFrame:
     """(doc_id, source, size, source_size, target, repeats, taken) for every row of docs(doc_id, text, source).
 
+    carry adds the whole row as the struct __doc.
+
     A source takes as many complete epochs as its target holds; the rest of
     the target takes documents in the order of the sampling key
     -ln(u) / weight (Efraimidis and Spirakis), up to the prefix whose words come
@@ -67,9 +69,11 @@ def mix(docs: DataFrame, size: Column | None = None, weight: Column | None = Non
     """
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("bigint") if size is None else size
     weight = quality_weight(F.col("text")) if weight is None else weight
-    rows = docs.select(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), size.alias("size"), weight.alias("w"))
+    kept = [F.struct(*docs.columns).alias("__doc")] if carry else []
+    rows = docs.select(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), size.alias("size"), weight.alias("w"), *kept)
+    kept = ["__doc"] if carry else []
     key = -F.log(uniform(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), seed)) / F.col("w")
-    rows = materialise(rows.select("doc_id", "source", "size", key.alias("key")), "mix-rows")
+    rows = materialise(rows.select("doc_id", "source", "size", key.alias("key"), *kept), "mix-rows")
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = materialise(targets(sums, share, epochs, weights).withColumn("full", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)), "mix-targets")
     plan = plan.withColumn("want", F.col("target") - F.col("full") * F.col("source_size"))
@@ -91,7 +95,13 @@ def mix(docs: DataFrame, size: Column | None = None, weight: Column | None = Non
     upto = F.col("bins_before") + F.col("upto")
     chosen = (F.col("size") > 0) & (upto - F.col("size") / 2 <= F.col("want"))
     repeats = F.col("full") + chosen.cast("int")
-    return rows.select("doc_id", "source", "size", "source_size", "target", repeats.cast("int").alias("repeats"), (repeats * F.col("size")).cast("bigint").alias("taken"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", repeats.cast("int").alias("repeats"), (repeats * F.col("size")).cast("bigint").alias("taken"), *kept)
+
+
+def mixed_documents(docs: DataFrame, **how) -> DataFrame:
+    """The mix itself: the rows of docs, each as often as the mix takes it, columns unchanged."""
+    taken = mix(docs, carry=True, **how).where("repeats > 0")
+    return taken.select(F.explode(F.array_repeat(F.lit(0), F.col("repeats"))), "__doc").select("__doc.*")
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,8 +14,8 @@ from playerday.llm.components import connected_components
 BITS = 64
 
 
-def fingerprint_of(text: str | None, words_per_shingle: int, seed: int) -> int:
-    """SimHash of one whole text as a signed 64-bit integer; no words give 0."""
+def fingerprint_of(text: str | None, words_per_shingle: int, seed: int, distinct: bool = False) -> int:
+    """SimHash of one whole text as a signed 64-bit integer; no words give 0. distinct counts equal shingles once."""
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
         return 0
@@ -25,6 +25,8 @@ def fingerprint_of(text: str | None, words_per_shingle: int, seed: int) -> int:
     k = min(words_per_shingle, len(words))
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())], np.uint64)
+    if distinct:
+        hashes = np.unique(hashes)
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         block = hashes[at : at + (1 << 16)]
@@ -32,17 +34,17 @@ def fingerprint_of(text: str | None, words_per_shingle: int, seed: int) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
 
 
-def simhash(text: Column, words_per_shingle: int = 4, seed: int = 42) -> Column:
+def simhash(text: Column, words_per_shingle: int = 4, seed: int = 42, distinct: bool = False) -> Column:
     """64-bit SimHash column of whole texts.
 
     A-Z are lower-cased, words are parted by ASCII white space, shingles keep
-    their repeats and are hashed by XXH64. A text with fewer words than a
+    their repeats (unless distinct) and are hashed by XXH64. A text with fewer words than a
     shingle is one shingle; null and wordless texts give 0.
     """
 
     @F.pandas_udf("bigint")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint_of(x, words_per_shingle, seed) for x in texts], dtype="int64")
+        return pd.Series([fingerprint_of(x, words_per_shingle, seed, distinct) for x in texts], dtype="int64")
 
     return of(text)
 
@@ -58,25 +60,28 @@ def segments(distance: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def link_pairs(fingerprints: DataFrame, column: str = "fp", distance: int = 4) -> DataFrame:
-    """(a, b) for each two different values of the column within the distance, a < b, once each.
+def link_pairs(fingerprints: DataFrame, distance: int = 4, check_bits: int | None = None) -> DataFrame:
+    """(a, b) for each two different fingerprints fp within the distance, a < b, once each.
 
     Every value is filed under one key per bit: the bit's segment with that bit
     deleted. Two values within the distance agree on such a key; the equality
     join finds them and verifies the true distance. Of the keys on which a pair
     agrees only the first counts (the first segment with one difference at
     most, at the differing bit, or at its first bit when it is equal), so the
-    join gives each link once however many keys agree. Nothing is capped.
+    join gives each link once however many keys agree. Nothing is capped. With
+    check_bits the rows also carry a second fingerprint, check, that may differ
+    in that many bits.
     """
     parts = segments(distance)
     width = max(w for _, w in parts)
-    fp = F.col(column)
+    fp = F.col("fp")
+    carried = ["fp"] if check_bits is None else ["fp", "check"]
     keys = []
     for first, w in parts:
         value = F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << w) - 1))
         keys += [(F.lit((first + i) << width) + value.bitwiseAND(F.lit(~(1 << i)))) for i in range(w)]
-    filed = fingerprints.select(fp.alias("fp")).where(fp.isNotNull()).distinct()
-    filed = filed.select("fp", F.explode(F.array(*keys)).alias("key"))
+    filed = fingerprints.select(*carried).where(fp.isNotNull()).distinct()
+    filed = filed.select(*carried, F.explode(F.array(*keys)).alias("key"))
     a, b = filed.alias("a"), filed.alias("b")
     differ = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
     slot = F.shiftright(F.col("a.key"), width)
@@ -86,17 +91,20 @@ def link_pairs(fingerprints: DataFrame, column: str = "fp", distance: int = 4) -
         counts_here |= before & (slot >= first) & (slot < first + w) & ((part != 0) | (slot == first))
         before &= F.bit_count(part) > 1
     same = F.col("a.key") == F.col("b.key")
+    if check_bits is not None:
+        counts_here &= F.bit_count(F.col("a.check").bitwiseXOR(F.col("b.check"))) <= check_bits
     return a.join(b, same & (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(differ) <= distance) & counts_here).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
-def classify(rows: DataFrame, distance: int = 4) -> DataFrame:
+def classify(rows: DataFrame, distance: int = 4, check_bits: int | None = None) -> DataFrame:
     """rows(doc_id, fp, ...) with class_fp (names the class) and component_id (its smallest doc_id).
 
     rows is read twice, so it should be a written table. Equal fingerprints are
     one node from the start: copies never become pairs.
     """
-    nodes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-nodes")
-    links = link_pairs(nodes, "fp", distance).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    check = [] if check_bits is None else [F.min("check").alias("check")]
+    nodes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), *check), "simhash-nodes")
+    links = link_pairs(nodes, distance, check_bits).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     groups = connected_components(links).withColumnRenamed("node", "fp")
     classed = nodes.join(groups, "fp", "left").select("fp", "least_id", F.coalesce("component", "fp").alias("class_fp"))
     least = classed.groupBy("class_fp").agg(F.min("least_id").alias("component_id"))
@@ -117,17 +125,26 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     return classify(materialise(rows, "simhash-rows"), distance)
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 4, distance: int = 4, seed: int = 42) -> DataFrame:
-    """docs with one row of each near-duplicate class, its columns unchanged.
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, check_bits: int = 16, seed: int = 42) -> DataFrame:
+    """docs with one row of each class of near copies, its columns unchanged.
+
+    Near copies share at least about 0.8 of their five-word shingles. Such
+    texts differ in some 10 of 64 bits of a five-word SimHash, too many for any
+    signature, but in 4 or fewer of a SimHash over their distinct single words.
+    So the single-word fingerprint is indexed (equality join, verified at
+    `distance` bits), and a link also needs five-word fingerprints within
+    `check_bits`, which texts of like vocabulary but other wording fail.
 
     The row with the smallest id stays (a null id only when the class has no
-    other); of rows that repeat the id, the first as written.
+    other); of rows that repeat the id, the first as written. Null and wordless
+    texts are copies of each other.
     """
-    held = docs.withColumn("__fp", simhash(F.col(text_col), words_per_shingle, seed)).withColumn("__row", F.monotonically_increasing_id())
+    text = F.col(text_col)
+    held = docs.withColumns({"__fp": simhash(text, 1, seed, distinct=True), "__check": simhash(text, 5, seed), "__row": F.monotonically_increasing_id()})
     held = materialise(held, "simhash-docs")
-    rows = held.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col("__fp").alias("fp"), F.col("__row").alias("row"))
+    rows = held.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col("__fp").alias("fp"), F.col("__check").alias("check"), F.col("__row").alias("row"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
-    kept = classify(rows, distance).groupBy("class_fp").agg(first.alias("first")).select(F.col("first.row").alias("__row"))
+    kept = classify(rows, distance, check_bits).groupBy("class_fp").agg(first.alias("first")).select(F.col("first.row").alias("__row"))
     return held.join(kept, "__row", "left_semi").select(*docs.columns)
 
 

@@ -92,7 +92,7 @@ PROBED = "list int, query_id bigint, embedding array<float>"
 FOUND = "query_id bigint, vec_id bigint, score double"
 
 
-def search(vectors: DataFrame, queries: Column, k: int = 10, probe: float = 0.3, shortlist: int = 200, block_rows: int = 2048, **how) -> DataFrame:
+def search(vectors: DataFrame, queries: Column, k: int = 10, probe: float = 0.75, shortlist: int = 100, block_rows: int = 2048, **how) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows of each query row, by exact distance on the original vectors.
 
     vectors has vec_id and embedding; queries is a condition on them. Every

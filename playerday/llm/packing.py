@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -16,7 +18,7 @@ from playerday.llm.common import materialise, table
 
 PIECES = "array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint>>"
 #: Punctuation that never joins a letter before it into one token, so that "word." is "word" and ".".
-ENDS = b".,;:!?"
+_END = re.compile(rb"(?<=[a-z])([.,;:!?])(?=[\x20\x09-\x0D]|\Z)")
 
 
 class WordEncoder:
@@ -27,7 +29,7 @@ class WordEncoder:
     cache goes through the tokenizer itself; the cache is emptied when full.
     """
 
-    def __init__(self, path: str, most_words: int = 300_000):
+    def __init__(self, path: str, most_words: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -37,26 +39,20 @@ class WordEncoder:
 
     def _encode(self, words: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [b"".join(i.to_bytes(4, "little") for i in e.ids) for e in found]
+        return [struct.pack(f"<{len(i)}I", *i) for i in (e.ids for e in found)]
 
     def ids(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         cache = self.cache
-        words = (text or "").encode("utf-8", "replace").lower().split()
-        parts = []
-        for w in words:
-            if w[-1] in ENDS and w[-2:-1].isalpha():
-                parts += (w[:-1], w[-1:])
-            else:
-                parts.append(w)
-        new = list({w for w in parts if w not in cache})
+        words = _END.sub(rb" \1", (text or "").encode("utf-8", "replace").lower()).split()
+        new = list(set(words).difference(cache))
         if new:
             if len(cache) + len(new) > self.most_words:
                 cache.clear()
-                new = list(set(parts))
+                new = list(set(words))
             for at in range(0, len(new), 4096):
                 cache.update(zip(new[at : at + 4096], self._encode(new[at : at + 4096])))
-        return b"".join([cache[w] for w in parts])
+        return b"".join(map(cache.__getitem__, words))
 
 
 _encoders: dict[str, WordEncoder] = {}

@@ -109,7 +109,7 @@ query("review_table")(lambda s, d: review.review_table(review.top_withdrawers(da
 _PROFILE = "SELECT {g} AS Segment, count(*) AS Players, " + r("median(Age)", "MedianRecordedAge") + ", " + r("median(CASE WHEN Age >= 19 THEN Age END)", "MedianAge19Plus") + ", sum(AgeEligibilityFlag)::BIGINT AS Under19Players, " + ", ".join(r(f"median({c}::DOUBLE)", f"Median{c}") for c in ("TenureDays", "RecencyDays", "Frequency", "WagerAmount", "NetGaming", "DepositAmount", "WithdrawalAmount", "WithdrawalToDeposit", "AvgCashOdds", "CashGameShare")) + ", " + r("quantile_cont(WagerAmount::DOUBLE, 0.9)", "P90WagerAmount") + ", " + r("sum(WagerAmount)", "TotalWagerAmount") + ", " + r("sum(NetGaming)", "TotalNetGaming") + ", " + r("avg(FailedTxnRate)", "AvgFailedTxnRate") + ", " + r("avg(LossChasingDays)", "AvgLossChasingDays") + ", " + r("count(*)::DOUBLE / sum(count(*)) OVER ()", "PlayerShare") + ", " + r("sum(AgeEligibilityFlag)::DOUBLE / count(*)", "Under19Share") + ", " + r("sum(NetGaming)::DOUBLE / sum(sum(NetGaming)) OVER ()::DOUBLE", "NetGamingShare") + ", " + r("sum(WagerAmount)::DOUBLE / sum(sum(WagerAmount)) OVER ()::DOUBLE", "WagerShare") + " FROM seg GROUP BY 1"
 query("segment_profile_value", _PROFILE.replace("{g}", "rfm"))(lambda s, d: reports.segment_profile(segs(s, d), value.RFM_LABEL))
 query("segment_profile_risk", _PROFILE.replace("{g}", '"Risk Segment"'))(lambda s, d: reports.segment_profile(segs(s, d), "Risk Segment"))
-query("value_risk_matrix", 'SELECT v AS "Value Segment", k AS "Risk Segment", a AS "Recommended Action", count(UserID) AS Players, ' + ", ".join([r("coalesce(sum(NetGaming), 0)", "TotalNetGaming"), r("median(NetGaming::DOUBLE)", "MedianNetGaming"), r("coalesce(sum(WithdrawalAmount), 0)", "TotalWithdrawalAmount"), "count(*) FILTER (AMLRiskScore > 0) AS AMLIndicatorPlayers", "count(*) FILTER (RGRiskScore > 0) AS RGIndicatorPlayers", "count(*) FILTER (AMLRiskScore >= 3) AS AMLHighPriorityPlayers", "count(*) FILTER (RGRiskScore >= 4) AS RGHighPriorityPlayers", r("count(UserID)::DOUBLE / sum(count(UserID)) OVER ()", "PlayerShare"), r("coalesce(sum(NetGaming), 0)::DOUBLE / sum(sum(NetGaming)) OVER ()::DOUBLE", "NetGamingShare")]) + " FROM (VALUES " + ", ".join("('{}', '{}', '{}')".format(v, k, a.replace("'", "''")) for (v, k), a in reports.ACTIONS.items()) + ') g(v, k, a) LEFT JOIN seg ON rfm = v AND "Risk Segment" = k GROUP BY v, k, a')(lambda s, d: reports.value_risk_matrix(segs(s, d)))
+query("value_risk_matrix", 'SELECT v AS "Value Segment", k AS "Risk Segment", act AS "Recommended Action", count(UserID) AS Players, ' + ", ".join([r("coalesce(sum(NetGaming), 0)", "TotalNetGaming"), r("median(NetGaming::DOUBLE)", "MedianNetGaming"), r("coalesce(sum(WithdrawalAmount), 0)", "TotalWithdrawalAmount"), "count(*) FILTER (AMLRiskScore > 0) AS AMLIndicatorPlayers", "count(*) FILTER (RGRiskScore > 0) AS RGIndicatorPlayers", "count(*) FILTER (AMLRiskScore >= 3) AS AMLHighPriorityPlayers", "count(*) FILTER (RGRiskScore >= 4) AS RGHighPriorityPlayers", r("count(UserID)::DOUBLE / sum(count(UserID)) OVER ()", "PlayerShare"), r("coalesce(sum(NetGaming), 0)::DOUBLE / sum(sum(NetGaming)) OVER ()::DOUBLE", "NetGamingShare")]) + " FROM (VALUES " + ", ".join("('{}', '{}', '{}')".format(v, k, a.replace("'", "''")) for (v, k), a in reports.ACTIONS.items()) + ') g(v, k, act) LEFT JOIN seg ON rfm = v AND "Risk Segment" = k GROUP BY v, k, act')(lambda s, d: reports.value_risk_matrix(segs(s, d)))
 query("category_mix", " UNION ALL ".join(f"SELECT segment, dimension, value, players, share FROM (SELECT \"Risk Segment\" AS segment, '{c}' AS dimension, coalesce({c}, 'Unknown') AS value, count(*) AS players, {r('count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY any_value(\"Risk Segment\"))', 'share')}, row_number() OVER (PARTITION BY any_value(\"Risk Segment\") ORDER BY count(*) DESC, coalesce({c}, 'Unknown')) AS n FROM risk GROUP BY \"Risk Segment\", coalesce({c}, 'Unknown')) WHERE n <= {top}" for c, top in (("Gender", 99), ("AgeBand", 99), ("Country", 3))))(lambda s, d: (lambda x: category_mix(x, "Risk Segment", "Gender").union(category_mix(x, "Risk Segment", "AgeBand")).union(category_mix(x, "Risk Segment", "Country", 3)))(risks(s, d)))
 query("data_quality_notes", "SELECT unnest(['FirstDay', 'LastDay', 'Players', 'MedianRecencyDays', 'MinAge', 'MaxAge', 'MedianAge', 'Under19Players', 'TotalTurnover', 'TotalNetGaming', 'NetAheadPlayers', 'NeverWithdrew', 'NeverDeposited', 'ZeroWagerPlayers']) AS Topic, unnest(l) AS Value FROM (SELECT list_transform([(SELECT date_diff('day', DATE '1970-01-01', min(ActivityDate)) FROM pd)::DOUBLE, (SELECT date_diff('day', DATE '1970-01-01', max(ActivityDate)) FROM pd), count(*), median(RecencyDays), min(Age), max(Age), median(Age), count(*) FILTER (Age < 19), sum(WagerAmount)::DOUBLE, sum(NetGaming)::DOUBLE, count(*) FILTER (NetGaming < 0), count(*) FILTER (WithdrawalAmount = 0), count(*) FILTER (DepositAmount = 0), count(*) FILTER (WagerAmount = 0)], lambda x: round(x, 4)) AS l FROM pf)")(lambda s, d: (lambda p: reports.data_quality_notes(p, features.player_features(p)))(day(s, d)))
 query("kpi_summary", "SELECT count(DISTINCT UserID) AS ActivePlayers, " + ", ".join(r(f"sum({c})", n) for n, c in (("Wagers", "WagerAmount"), ("Winnings", "WinningAmount"), ("NetGaming", "NetGaming"), ("Deposits", "DepositAmount"), ("Withdrawals", "WithdrawalAmount"))) + ", " + r("sum(WagerAmount)::DOUBLE / count(DISTINCT UserID)", "AvgWagerPerPlayer") + ", " + r("sum(NetGaming)::DOUBLE / sum(WagerAmount)::DOUBLE", "HoldRate") + ", " + r("sum(NetGaming)::DOUBLE / count(DISTINCT UserID)", "NetGamingPerPlayer") + " FROM net")(lambda s, d: reports.kpi_summary(day(s, d)))

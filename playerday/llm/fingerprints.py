@@ -92,7 +92,7 @@ def with_next(rows: DataFrame, order: str, columns: list[str], rows_per_bucket:
     ids = rows.select(F.col("__key").cast("double").alias("__at"), "__key")
     buckets = min(most_buckets, ids.count() // rows_per_bucket + 1)
     cuts = ids.approxQuantile("__at", [i / buckets for i in range(1, buckets)], 1 / (4 * buckets)) if buckets > 1 else []
-    splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
+    splits = [-float("inf"), *(sorted(set(cuts)) or [0.0]), float("inf")]
     deal = Bucketizer(splits=splits, inputCol="__at", outputCol="__bucket")
     firsts = deal.transform(ids).groupBy("__bucket").agg(F.min("__key").alias("__key"))
     by = Window.orderBy("__bucket")  # a row per bucket

@@ -60,7 +60,23 @@ def segments(distance: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def link_pairs(fingerprints: DataFrame, distance: int = 4, check_bits: int | None = None) -> DataFrame:
+def file_by_key(fingerprints: DataFrame, distance: int, *carried: str) -> DataFrame:
+    """The distinct carried columns (fp among them), once under each of the 64 keys of fp: a bit's segment with that bit deleted."""
+    parts = segments(distance)
+    width = max(w for _, w in parts)
+    fp = F.col("fp")
+    keys = []
+    for first, w in parts:
+        value = F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << w) - 1))
+        keys += [(F.lit((first + i) << width) + value.bitwiseAND(F.lit(~(1 << i)))) for i in range(w)]
+    return fingerprints.select(*carried).where(fp.isNotNull()).distinct().select(*carried, F.explode(F.array(*keys)).alias("key"))
+
+
+def differing(a: Column, b: Column) -> Column:
+    return F.bit_count(a.bitwiseXOR(b))
+
+
+def link_pairs(fingerprints: DataFrame, distance: int = 4, check_bits: int | None = None, apart: str | None = None) -> DataFrame:
     """(a, b) for each two different fingerprints fp within the distance, a < b, once each.
 
     Every value is filed under one key per bit: the bit's segment with that bit
@@ -70,18 +86,16 @@ def link_pairs(fingerprints: DataFrame, distance: int = 4, check_bits: int | Non
     most, at the differing bit, or at its first bit when it is equal), so the
     join gives each link once however many keys agree. Nothing is capped. With
     check_bits the rows also carry a second fingerprint, check, that may differ
-    in that many bits.
+    in that many bits. With apart only links between different values of that
+    column count, and (a, b) are those two values; a key all of whose rows
+    share one value is left out before the join.
     """
     parts = segments(distance)
     width = max(w for _, w in parts)
-    fp = F.col("fp")
-    carried = ["fp"] if check_bits is None else ["fp", "check"]
-    keys = []
-    for first, w in parts:
-        value = F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << w) - 1))
-        keys += [(F.lit((first + i) << width) + value.bitwiseAND(F.lit(~(1 << i)))) for i in range(w)]
-    filed = fingerprints.select(*carried).where(fp.isNotNull()).distinct()
-    filed = filed.select(*carried, F.explode(F.array(*keys)).alias("key"))
+    filed = file_by_key(fingerprints, distance, "fp", *([] if check_bits is None else ["check"]), *([] if apart is None else [apart]))
+    if apart is not None:
+        mixed = filed.groupBy("key").agg(F.min(apart).alias("low"), F.max(apart).alias("high")).where("low <> high").select("key")
+        filed = filed.join(mixed, "key", "left_semi")
     a, b = filed.alias("a"), filed.alias("b")
     differ = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
     slot = F.shiftright(F.col("a.key"), width)
@@ -92,21 +106,44 @@ def link_pairs(fingerprints: DataFrame, distance: int = 4, check_bits: int | Non
         before &= F.bit_count(part) > 1
     same = F.col("a.key") == F.col("b.key")
     if check_bits is not None:
-        counts_here &= F.bit_count(F.col("a.check").bitwiseXOR(F.col("b.check"))) <= check_bits
-    return a.join(b, same & (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(differ) <= distance) & counts_here).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+        counts_here &= differing(F.col("a.check"), F.col("b.check")) <= check_bits
+    if apart is not None:
+        counts_here &= F.col(f"a.{apart}") != F.col(f"b.{apart}")
+    named = apart or "fp"
+    return a.join(b, same & (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(differ) <= distance) & counts_here).select(F.col(f"a.{named}").alias("a"), F.col(f"b.{named}").alias("b"))
+
+
+def star_links(nodes: DataFrame, distance: int, check_bits: int | None = None) -> DataFrame:
+    """(src, dst): links from each key's smallest fingerprint to the others there, at most 64 for each node of nodes(fp, check)."""
+    carried = ["fp"] if check_bits is None else ["fp", "check"]
+    filed = file_by_key(nodes, distance, *carried)
+    least = filed.groupBy("key").agg(F.min("fp").alias("src"))
+    found = filed.join(least, "key").where((F.col("src") != F.col("fp")) & (differing(F.col("src"), F.col("fp")) <= distance))
+    found = found.select("src", F.col("fp").alias("dst"), *carried[1:]).distinct()
+    if check_bits is not None:
+        heads = nodes.select(F.col("fp").alias("src"), F.col("check").alias("src_check"))
+        found = found.join(heads, "src").where(differing(F.col("check"), F.col("src_check")) <= check_bits)
+    return found.select("src", "dst")
 
 
 def classify(rows: DataFrame, distance: int = 4, check_bits: int | None = None) -> DataFrame:
     """rows(doc_id, fp, ...) with class_fp (names the class) and component_id (its smallest doc_id).
 
     rows is read twice, so it should be a written table. Equal fingerprints are
-    one node from the start: copies never become pairs.
+    one node from the start: copies never become pairs. A large group of near
+    copies must not become all its pairs either, so classes grow in two steps:
+    first over star links, whose number is bounded by the nodes; then over all
+    links between nodes that the first step left in different classes, which
+    makes the result the same as over all links.
     """
     check = [] if check_bits is None else [F.min("check").alias("check")]
     nodes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), *check), "simhash-nodes")
-    links = link_pairs(nodes, distance, check_bits).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    groups = connected_components(links).withColumnRenamed("node", "fp")
-    classed = nodes.join(groups, "fp", "left").select("fp", "least_id", F.coalesce("component", "fp").alias("class_fp"))
+    stars = connected_components(star_links(nodes, distance, check_bits)).withColumnRenamed("node", "fp")
+    begun = nodes.join(stars, "fp", "left").withColumn("star", F.coalesce("component", "fp")).drop("component")
+    begun = materialise(begun, "simhash-stars")
+    links = link_pairs(begun, distance, check_bits, apart="star").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    groups = connected_components(links).withColumnRenamed("node", "star")
+    classed = begun.join(groups, "star", "left").select("fp", "least_id", F.coalesce("component", "star").alias("class_fp"))
     least = classed.groupBy("class_fp").agg(F.min("least_id").alias("component_id"))
     named = materialise(classed.join(least, "class_fp").select("fp", "class_fp", "component_id"), "simhash-classes")
     return rows.join(named, "fp")

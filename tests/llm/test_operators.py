@@ -69,6 +69,37 @@ def test_links_are_complete(spark):
     assert got == want
 
 
+def test_classes_of_many_near_fingerprints(spark):
+    rng = random.Random(9)
+    values = set()
+    for seed in [rng.getrandbits(64) for _ in range(6)]:
+        values |= {seed ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3))) for _ in range(80)}
+        for _ in range(12):  # a chain away from the seed
+            seed ^= sum(1 << b for b in rng.sample(range(64), 4))
+            values.add(seed)
+    values = sorted(v - 2**64 if v >= 2**63 else v for v in values)
+    checks = {v: 0 if rng.random() < 0.8 else 2**20 - 1 for v in values}
+    for bits in (None, 16):
+        parent = {v: v for v in values}
+
+        def root(v):
+            while parent[v] != v:
+                v = parent[v]
+            return v
+
+        for i, a in enumerate(values):
+            for b in values[:i]:
+                if bin((a ^ b) % 2**64).count("1") <= 4 and (bits is None or bin(checks[a] ^ checks[b]).count("1") <= bits):
+                    x, y = sorted((root(a), root(b)))
+                    parent[y] = x
+        rows = spark.createDataFrame([(i, v, checks[v]) for i, v in enumerate(values)], "doc_id bigint, fp bigint, check bigint")
+        got = {r.fp: (r.class_fp, r.component_id) for r in simhash.classify(rows, 4, bits).collect()}
+        first = {}
+        for i, v in enumerate(values):
+            first.setdefault(root(v), i)
+        assert got == {v: (root(v), first[root(v)]) for v in values}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "src bigint, dst bigint")).collect()}

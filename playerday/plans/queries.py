@@ -21,12 +21,16 @@ LOWERED = RiskThresholds(1000.0, 0.50, 0.50, 500.0, 1.20, 3, 0.30, 0.90, 3, 1.5,
 
 
 def plain(df: DataFrame, digits: int = 4) -> DataFrame:
-    """Decimals and doubles as doubles rounded to so many digits, other integers as bigint."""
+    """Decimals and doubles as doubles rounded to so many digits, other integers as bigint.
+
+    Engines differ at ties: decimal or binary rounding, order of summation. A
+    value within rounding error below a tie therefore counts as the tie here.
+    """
     out = []
     for c, t in df.dtypes:
         x = F.col(f"`{c}`")
         if t.startswith("decimal") or t in ("double", "float"):
-            x = F.round(x.cast("double"), digits)
+            x = F.round(x.cast("double") * 1.000000000000001 + 1e-10, digits)
         elif t in ("int", "smallint", "tinyint"):
             x = x.cast("bigint")
         out.append(x.alias(c))

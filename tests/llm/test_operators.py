@@ -59,13 +59,14 @@ def test_simhash_classes(spark, docs):
     assert 60 in kept and 61 not in kept and 62 not in kept and kept.count(63) + kept.count(64) + kept.count(66) == 1 and None in kept
 
 
-def test_links_are_complete(spark):
+@pytest.mark.parametrize("distance", [4, 5])
+def test_links_are_complete(spark, distance):
     rng = random.Random(5)
     seeds = [rng.getrandbits(64) for _ in range(20)]
     values = {s ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 6))) for s in seeds for _ in range(12)}
     signed = [v - 2**64 if v >= 2**63 else v for v in values]
-    got = sorted((r.a, r.b) for r in simhash.link_pairs(spark.createDataFrame([(v,) for v in signed], "fp bigint")).collect())
-    want = sorted((min(a, b), max(a, b)) for i, a in enumerate(signed) for b in signed[:i] if bin((a ^ b) % 2**64).count("1") <= 4)
+    got = sorted((r.a, r.b) for r in simhash.link_pairs(spark.createDataFrame([(v,) for v in signed], "fp bigint"), distance).collect())
+    want = sorted((min(a, b), max(a, b)) for i, a in enumerate(signed) for b in signed[:i] if bin((a ^ b) % 2**64).count("1") <= distance)
     assert got == want
 
 

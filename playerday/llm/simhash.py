@@ -87,15 +87,15 @@ def link_pairs(fingerprints: DataFrame, distance: int = 4, check_bits: int | Non
     join gives each link once however many keys agree. Nothing is capped. With
     check_bits the rows also carry a second fingerprint, check, that may differ
     in that many bits. With apart only links between different values of that
-    column count, and (a, b) are those two values; a key all of whose rows
-    share one value is left out before the join.
+    column count, and (a, b) are those two values; a key whose rows, two or more,
+    all share one value is left out before the join.
     """
     parts = segments(distance)
     width = max(w for _, w in parts)
     filed = file_by_key(fingerprints, distance, "fp", *([] if check_bits is None else ["check"]), *([] if apart is None else [apart]))
     if apart is not None:
-        mixed = filed.groupBy("key").agg(F.min(apart).alias("low"), F.max(apart).alias("high")).where("low <> high").select("key")
-        filed = filed.join(mixed, "key", "left_semi")
+        alike = filed.groupBy("key").agg(F.min(apart).alias("low"), F.max(apart).alias("high"), F.count("*").alias("n")).where("low = high AND n > 1").select("key")
+        filed = filed.join(alike, "key", "left_anti")
     a, b = filed.alias("a"), filed.alias("b")
     differ = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
     slot = F.shiftright(F.col("a.key"), width)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from playerday.llm.common import materialise, table
 from playerday.llm.components import connected_components
+from playerday.llm.jaccard import near_copy_classes, shingles
 
 BITS = 64
 
@@ -162,28 +163,25 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     return classify(materialise(rows, "simhash-rows"), distance)
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 5, check_bits: int = 14, seed: int = 42) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each class of near copies, its columns unchanged.
 
-    Near copies share at least about 0.8 of their five-word shingles. Such
-    texts differ in some 10 of 64 bits of a five-word SimHash, too many for any
-    signature, but mostly in 5 or fewer of a SimHash over their distinct single
-    words. So the single-word fingerprint is indexed (equality join, verified at
-    `distance` bits; 5 is the most that the three segments of 4 bits find), and
-    a link also needs five-word fingerprints within `check_bits` (expected at a
-    similarity of 0.8: 9.7, with a deviation of 2.9), which texts of like
-    vocabulary but other wording fail.
+    Near copies share 0.8 or more of the distinct five-word shingles that
+    either has. All such pairs are found and verified exactly (no SimHash of
+    any width tells 0.8 from less); classes are closed over them.
 
     The row with the smallest id stays (a null id only when the class has no
     other); of rows that repeat the id, the first as written. Null and wordless
     texts are copies of each other.
     """
-    text = F.col(text_col)
-    held = docs.withColumns({"__fp": simhash(text, 1, seed, distinct=True), "__check": simhash(text, 5, seed), "__row": F.monotonically_increasing_id()})
-    held = materialise(held, "simhash-docs")
-    rows = held.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col("__fp").alias("fp"), F.col("__check").alias("check"), F.col("__row").alias("row"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
-    kept = classify(rows, distance, check_bits).groupBy("class_fp").agg(first.alias("first")).select(F.col("first.row").alias("__row"))
+    held = docs.withColumns({"__shingles": shingles(F.col(text_col)), "__row": F.monotonically_increasing_id()})
+    held = held.withColumns({"__n": F.size("__shingles"), "__set": F.xxhash64("__shingles")}).drop("__shingles")
+    held = materialise(held, "near-docs")
+    first = F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).cast("bigint").alias("doc_id"), F.col("__row").alias("row")))
+    sets = materialise(held.groupBy(F.col("__set").alias("node")).agg(F.max("__n").alias("n"), first.alias("first")), "near-nodes")
+    classes = near_copy_classes(held.select(F.col("__set").alias("node"), F.col(text_col).alias("text")), sets)
+    named = sets.join(classes, "node", "left").groupBy(F.coalesce("class", "node").alias("class"))
+    kept = named.agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))
     return held.join(kept, "__row", "left_semi").select(*docs.columns)
 
 

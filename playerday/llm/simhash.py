@@ -87,7 +87,7 @@ def link_pairs(fingerprints: DataFrame, distance: int = 4, check_bits: int | Non
     most, at the differing bit, or at its first bit when it is equal), so the
     join gives each link once however many keys agree. Nothing is capped. With
     check_bits the rows also carry a second fingerprint, check, that may differ
-    in that many bits. With apart only links between different values of that
+    in that many bits; a row is then (fp, check), and rows of equal fp link too. With apart only links between different values of that
     column count, and (a, b) are those two values; a key whose rows, two or more,
     all share one value is left out before the join.
     """
@@ -110,44 +110,54 @@ def link_pairs(fingerprints: DataFrame, distance: int = 4, check_bits: int | Non
         counts_here &= differing(F.col("a.check"), F.col("b.check")) <= check_bits
     if apart is not None:
         counts_here &= F.col(f"a.{apart}") != F.col(f"b.{apart}")
-    named = apart or "fp"
-    return a.join(b, same & (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(differ) <= distance) & counts_here).select(F.col(f"a.{named}").alias("a"), F.col(f"b.{named}").alias("b"))
+    ordered = F.col("a.fp") < F.col("b.fp")
+    if check_bits is not None:
+        ordered |= (F.col("a.fp") == F.col("b.fp")) & (F.col("a.check") < F.col("b.check"))
+    named = lambda side: F.col(f"{side}.{apart or 'fp'}") if apart or check_bits is None else F.struct(f"{side}.fp", f"{side}.check")
+    return a.join(b, same & ordered & (F.bit_count(differ) <= distance) & counts_here).select(named("a").alias("a"), named("b").alias("b"))
 
 
 def star_links(nodes: DataFrame, distance: int, check_bits: int | None = None) -> DataFrame:
-    """(src, dst): links from each key's smallest fingerprint to the others there, at most 64 for each node of nodes(fp, check)."""
-    carried = ["fp"] if check_bits is None else ["fp", "check"]
-    filed = file_by_key(nodes, distance, *carried)
-    least = filed.groupBy("key").agg(F.min("fp").alias("src"))
-    found = filed.join(least, "key").where((F.col("src") != F.col("fp")) & (differing(F.col("src"), F.col("fp")) <= distance))
-    found = found.select("src", F.col("fp").alias("dst"), *carried[1:]).distinct()
-    if check_bits is not None:
-        heads = nodes.select(F.col("fp").alias("src"), F.col("check").alias("src_check"))
-        found = found.join(heads, "src").where(differing(F.col("check"), F.col("src_check")) <= check_bits)
-    return found.select("src", "dst")
+    """(src, dst): links from each key's smallest node to the others there, at most 64 for each node of nodes(fp, check).
+
+    A node is fp, or with check_bits the struct of fp and check.
+    """
+    if check_bits is None:
+        filed = file_by_key(nodes, distance, "fp")
+        least = filed.groupBy("key").agg(F.min("fp").alias("src"))
+        found = filed.join(least, "key").where((F.col("src") != F.col("fp")) & (differing(F.col("src"), F.col("fp")) <= distance))
+        return found.select("src", F.col("fp").alias("dst")).distinct()
+    filed = file_by_key(nodes, distance, "fp", "check").withColumn("dst", F.struct("fp", "check"))
+    least = filed.groupBy("key").agg(F.min("dst").alias("src"))
+    near = (differing(F.col("src.fp"), F.col("fp")) <= distance) & (differing(F.col("src.check"), F.col("check")) <= check_bits)
+    return filed.join(least, "key").where((F.col("src") != F.col("dst")) & near).select("src", "dst").distinct()
 
 
 def classify(rows: DataFrame, distance: int = 4, check_bits: int | None = None) -> DataFrame:
     """rows(doc_id, fp, ...) with class_fp (names the class) and component_id (its smallest doc_id).
 
-    rows is read twice, so it should be a written table. Equal fingerprints are
-    one node from the start: copies never become pairs. A large group of near
+    rows is read twice, so it should be a written table. With check_bits rows
+    are copies only if equal in fp and check, and class_fp and class_check
+    together name the class. Equal fingerprints are one node from the start: copies never become pairs. A large group of near
     copies must not become all its pairs either, so classes grow in two steps:
     first over star links, whose number is bounded by the nodes; then over all
     links between nodes that the first step left in different classes, which
     makes the result the same as over all links.
     """
-    check = [] if check_bits is None else [F.min("check").alias("check")]
-    nodes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), *check), "simhash-nodes")
-    stars = connected_components(star_links(nodes, distance, check_bits)).withColumnRenamed("node", "fp")
-    begun = nodes.join(stars, "fp", "left").withColumn("star", F.coalesce("component", "fp")).drop("component")
+    keys, name = (["fp"], "fp") if check_bits is None else (["fp", "check"], "node")
+    nodes = rows.groupBy(*keys).agg(F.min("doc_id").alias("least_id"))
+    nodes = materialise(nodes if check_bits is None else nodes.withColumn("node", F.struct("fp", "check")), "simhash-nodes")
+    stars = connected_components(star_links(nodes, distance, check_bits)).withColumnRenamed("node", name)
+    begun = nodes.join(stars, name, "left").withColumn("star", F.coalesce("component", name)).drop("component")
     begun = materialise(begun, "simhash-stars")
     links = link_pairs(begun, distance, check_bits, apart="star").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     groups = connected_components(links).withColumnRenamed("node", "star")
-    classed = begun.join(groups, "star", "left").select("fp", "least_id", F.coalesce("component", "star").alias("class_fp"))
+    classed = begun.join(groups, "star", "left").select(*keys, "least_id", F.coalesce("component", "star").alias("class_fp"))
     least = classed.groupBy("class_fp").agg(F.min("least_id").alias("component_id"))
-    named = materialise(classed.join(least, "class_fp").select("fp", "class_fp", "component_id"), "simhash-classes")
-    return rows.join(named, "fp")
+    named = classed.join(least, "class_fp").select(*keys, "class_fp", "component_id")
+    if check_bits is not None:
+        named = named.select(*keys, F.col("class_fp.fp").alias("class_fp"), F.col("class_fp.check").alias("class_check"), "component_id")
+    return rows.join(materialise(named, "simhash-classes"), keys)
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 4, distance: int = 4, seed: int = 42) -> DataFrame:

@@ -61,3 +61,12 @@ def test_near_copies_are_exact(spark, backwards):
     given = texts()[:: -1 if backwards else 1]
     docs = spark.createDataFrame(list(enumerate(given)), "doc_id bigint, text string").repartition(3)
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect()) == sorted(set(classes(given)))
+
+
+def test_rows_of_equal_fp_are_checked(spark):
+    far = 2**40 - 1
+    given = [(0, 5, 0), (1, 5, far), (2, 5, 3), (3, 4, far - 1), (4, 5, far), (5, 1 << 50, 0)]
+    rows = spark.createDataFrame(given, "doc_id bigint, fp bigint, check bigint")
+    got = {r.doc_id: r.component_id for r in simhash.classify(rows, 4, 14).collect()}
+    assert got == {0: 0, 2: 0, 1: 1, 3: 1, 4: 1, 5: 0}
+    assert sorted((tuple(r.a), tuple(r.b)) for r in simhash.link_pairs(rows.where("doc_id < 3"), 4, 14).collect()) == [((5, 0), (5, 3))]

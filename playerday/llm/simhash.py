@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from playerday.llm.common import materialise, table
 from playerday.llm.components import connected_components
-from playerday.llm.jaccard import near_copy_classes, shingles
+from playerday.llm.jaccard import PART, near_copy_classes, shingles
 
 BITS = 64
 
@@ -185,10 +185,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     texts are copies of each other.
     """
     held = docs.withColumns({"__shingles": shingles(F.col(text_col)), "__row": F.monotonically_increasing_id()})
-    held = held.withColumns({"__n": F.size("__shingles"), "__set": F.xxhash64("__shingles")}).drop("__shingles")
+    held = held.withColumns({"__n": F.size("__shingles"), "__part": F.size(F.filter("__shingles", lambda h: F.pmod(h, F.lit(PART)) == 0)), "__set": F.xxhash64("__shingles")}).drop("__shingles")
     held = materialise(held, "near-docs")
     first = F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).cast("bigint").alias("doc_id"), F.col("__row").alias("row")))
-    sets = materialise(held.groupBy(F.col("__set").alias("node")).agg(F.max("__n").alias("n"), first.alias("first")), "near-nodes")
+    sets = materialise(held.groupBy(F.col("__set").alias("node")).agg(F.max("__n").alias("n"), F.max("__part").alias("part"), first.alias("first")), "near-nodes")
     classes = near_copy_classes(held.select(F.col("__set").alias("node"), F.col(text_col).alias("text")), sets)
     named = sets.join(classes, "node", "left").groupBy(F.coalesce("class", "node").alias("class"))
     kept = named.agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))

@@ -7,7 +7,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +17,8 @@ from playerday.llm.common import scratch, table
 #: Smaller payloads are always stored whole.
 LEAST_REVISIT = 1000
 ROLL = 256 << 20
+#: Bytes of archive that one task reads at least and at most, by which its number of tasks is set.
+LEAST_STRETCH, LARGEST_STRETCH = 1 << 20, 64 << 20
 INDEX = "archive string, offset bigint, length bigint, page_id bigint, url string, payload_digest string"
 
 
@@ -75,68 +77,83 @@ def write_archives(pages: DataFrame, path: str | None = None) -> tuple[str, Data
     executor or a second attempt leaves an archive that nobody reads. Nothing
     but bytes up to ROLL is appended to one archive. path may be on any file
     system that pyarrow knows. Null html is an empty payload, null url an empty
-    URL; repeated and null page_ids are records like any others.
+    URL; repeated and null page_ids and repeated rows are records like any
+    others. A very long page is one record, held whole by its task. Columns of
+    pages beside page_id, url and html are left out, whatever their names; an
+    empty table gives an empty index.
     """
     path = path or scratch(pages.sparkSession, "warc")
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(path)
         out, name, at = None, "", 0
         try:
             for batch in batches:
                 index = []
-                for page_id, url, html, size, digest, target in batch.itertuples(index=False, name=None):
-                    page_id, target = (None if pd.isna(x) else int(x) for x in (page_id, target))
+                for page_id, url, html, size, digest, target in zip(*(c.to_pylist() for c in batch.columns)):
                     if out is None or at >= ROLL:
                         if out is not None:
                             out.close()
                         name, at = f"{uuid.uuid4().hex}.warc.gz", 0
                         store.create_dir(f"{root}/archives", recursive=True)
                         out = store.open_output_stream(f"{root}/archives/{name}", compression=None)
-                    raw = _record(page_id, url, "response" if target is None else "revisit", digest, int(size), target, b"" if target is not None else html.encode("utf-8", "replace"))
+                    raw = _record(page_id, url, "response" if target is None else "revisit", digest, size, target, b"" if target is not None else html.encode("utf-8", "replace"))
                     out.write(raw)
                     index.append((name, at, len(raw), page_id, url, digest))
                     at += len(raw)
-                yield pd.DataFrame(index, columns=["archive", "offset", "length", "page_id", "url", "payload_digest"]).astype({"page_id": "Int64"})
+                yield _batch(index, INDEX)
         finally:
             if out is not None:
                 out.close()
 
-    decide(pages).mapInPandas(write, INDEX).write.parquet(f"{path}/index")
+    decide(pages).mapInArrow(write, INDEX).write.parquet(f"{path}/index")
     return path, pages.sparkSession.read.schema(INDEX).parquet(f"{path}/index")
 
 
 RECORD = "page_id bigint, url string, record_type string, refers_to bigint, payload_digest string, payload_bytes bigint, whole boolean, payload binary"
+_ARROW = {"bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    """Rows as an Arrow batch of the schema's own types, so that a null beside an id never makes it a float."""
+    fields = [f.split() for f in schema.split(", ")]
+    columns = zip(*rows) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, _ARROW[t]) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
 
 
 def read_records(path: str, selected: DataFrame, payload: bool = True, gap: int = 64 << 10, most: int = 8 << 20) -> DataFrame:
     """The records of the selected index rows, read from the archives under path.
 
-    Rows are sorted by archive and offset; ranges that lie within `gap` bytes
-    of each other are read at once, up to `most` bytes. `whole` says whether a
-    response's payload has the size and digest that its record states; a
-    revisit has no payload of its own, only those two.
+    Rows are dealt to tasks by stretches of their archives, so that each task
+    reads about as many archive bytes, however small the index is; there they
+    are sorted by archive and offset, and ranges that lie within `gap` bytes
+    of each other are read at once, up to `most` bytes (a longer record alone).
+    `whole` says whether a response's payload has the size and digest that its
+    record states; a revisit has no payload of its own, only those two.
     """
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(path)
         for batch in batches:
-            rows, at, n = [], 0, len(batch)
-            names, offsets, lengths = batch["archive"].tolist(), batch["offset"].tolist(), batch["length"].tolist()
+            names, offsets, lengths = (c.to_pylist() for c in batch.columns)
+            at, n = 0, len(names)
             while at < n:
                 end = at + 1
                 while end < n and names[end] == names[at] and 0 <= offsets[end] - offsets[end - 1] - lengths[end - 1] <= gap and offsets[end] + lengths[end] - offsets[at] <= most:
                     end += 1
                 with store.open_input_file(f"{root}/archives/{names[at]}") as f:
                     block = f.read_at(offsets[end - 1] + lengths[end - 1] - offsets[at], offsets[at])
+                rows = []
                 for k in range(at, end):
                     start = offsets[k] - offsets[at]
                     rows.append(_row(parse(block[start : start + lengths[k]]), payload))
+                yield _batch(rows, RECORD)
                 at = end
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in RECORD.split(", ")]).astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    parts = selected.repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
-    return parts.select("archive", "offset", "length").mapInPandas(read, RECORD)
+    total = selected.agg(F.sum("length")).first()[0] or 0
+    stretch = min(LARGEST_STRETCH, max(LEAST_STRETCH, total // (4 * selected.sparkSession.sparkContext.defaultParallelism)))
+    parts = selected.withColumn("stretch", F.floor(F.col("offset") / stretch)).repartition(total // stretch + 1, "archive", "stretch")
+    return parts.sortWithinPartitions("archive", "offset").select("archive", "offset", "length").mapInArrow(read, RECORD)
 
 
 def _row(record: dict, payload: bool) -> tuple:

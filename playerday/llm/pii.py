@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playerday.llm.common import table
-from playerday.llm.semicrf import TYPES, SemiCrf, luhn, tokenise, train
+from playerday.llm.semicrf import TYPES, SemiCrf, luhn, octet, tokenise, train
 
 KINDS = TYPES[1:]
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -20,10 +20,13 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_MARK = re.compile(r"[0-9@]|[\[(] ?at ?[\])]")
-_SPACES = re.compile(r"[ \t]{1,2}(?=\S)")
-_CHUNK = re.compile(r"\S+")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
+_NUMBERS = re.compile(r"[0-9][0-9 \t().\[\]/+-]*")
+_BRACKETED = re.compile(r"[(\[{<]\s?(?:at|AT)\s?[)\]}>]")
+_MARK = re.compile(r"@|[(\[{<]\s?(?:at|AT)\s?[)\]}>]|(?<=\x20)(?:at|AT)(?=\x20[A-Za-z0-9-]+\x20(?:dot|DOT)\x20)")
+_SPELT_DOMAIN = re.compile(r"\s?[A-Za-z0-9-]+(?:(?:\.|\x20?[(\[{]\x20?(?:\.|dot|DOT)\x20?[)\]}]\x20?|\x20(?:dot|DOT)\x20)[A-Za-z0-9-]+)+")
+#: No address is longer (a name of 64 and a domain of 255 characters), and so many characters beside a stretch are its context.
+MOST_ADDRESS, CONTEXT = 320, 20
 #: An added span must beat reading its tokens as plain text by this much log-likelihood.
 LEAST_GAIN = 3.0
 
@@ -49,7 +52,7 @@ def base_spans(text: str) -> list[Span]:
     found: list[Span] = [("email", s, e) for s, e in emails(text)] if "@" in text else []
     if not _DIGIT.search(text):
         return found
-    found += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) < 256 for p in m[0].split("."))]
+    found += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(map(octet, m[0].split(".")))]
     for m in _CARD.finditer(text):
         if m.end() - m.start() > 15:
             digits = _NOT_DIGIT.sub("", m[0])
@@ -60,20 +63,35 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
-def regions(text: str) -> list[tuple[int, int]]:
-    """Runs of neighbouring chunks that each hold a digit, an at sign or a spelt-out one."""
-    out, end = [], 0
-    for m in _MARK.finditer(text):
-        if m.start() < end:
-            continue
-        start = m.start()
-        while start > end and not text[start - 1].isspace():
-            start -= 1
-        end = _CHUNK.match(text, m.start()).end()
-        while (gap := _SPACES.match(text, end)) and (chunk := _CHUNK.match(text, gap.end())) and (_DIGIT.search(chunk[0]) or "@" in chunk[0] or chunk[0][0] == "("):
-            end = chunk.end()
-        out.append((start, end))
-    return out
+def stretches(text: str) -> list[tuple[int, int]]:
+    """Where an entity may stand: runs of digits and their marks, and names and domains around an at sign, spelt out or not.
+
+    Every candidate of the random field lies within one; the work is linear in the text.
+    """
+    out = []
+    for m in _NUMBERS.finditer(text):
+        if m.end() - m.start() >= 7:
+            start = m.start()
+            while start and text[start - 1] in "+([":
+                start -= 1
+            out.append((start, m.end()))
+    if "@" in text or _BRACKETED.search(text) or " dot " in text or " DOT " in text:
+        last = 0
+        for m in _MARK.finditer(text):
+            if domain := _SPELT_DOMAIN.match(text, m.end(), m.end() + MOST_ADDRESS):
+                start = m.start() - (text[m.start() - 1 : m.start()] == " ")
+                least = max(last, start - MOST_ADDRESS)
+                while start > least and text[start - 1] in _LOCAL:
+                    start -= 1
+                out.append((start, domain.end()))
+                last = domain.end()
+    merged: list[tuple[int, int]] = []
+    for start, end in sorted(out):
+        if merged and start <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(end, merged[-1][1]))
+        else:
+            merged.append((start, end))
+    return merged
 
 
 def _apart(spans: list[Span]) -> list[Span]:
@@ -85,54 +103,117 @@ def _apart(spans: list[Span]) -> list[Span]:
     return out
 
 
-def examples_of(text: str | None, most: int) -> list[dict]:
-    """Up to `most` regions of a text with their base spans, for training."""
+def examples_of(text: str | None) -> list[dict]:
+    """Every base span of a text with its context on both sides, for training."""
     text = text or ""
     spans = _apart(base_spans(text))
-    return [{"region": text[s:e], "spans": [{"start": a - s, "end": b - s, "kind": k} for k, a, b in spans if s <= a and b <= e]} for s, e in regions(text)[:most] if e - s <= 200]
+    edges = [0, *(e for _, _, e in spans)], [*(s for _, s, _ in spans[1:]), len(text)]
+    return [{"left": text[max(a, s - CONTEXT) : s], "value": text[s:e], "right": text[e : min(b, e + CONTEXT)], "kind": k} for (k, s, e), a, b in zip(spans, *edges)]
+
+
+def _digits(rng, n: int) -> str:
+    return "".join(map(str, rng.integers(0, 10, n)))
+
+
+def _card_number(rng, good: bool) -> str:
+    body = rng.choice(list("3456")) + _digits(rng, 14)
+    return next(body + d for d in "0123456789" if luhn(body + d) == good)
+
+
+def _parted(rng, digits: str, marks: tuple[str, ...]) -> str:
+    return str(rng.choice(marks)).join(digits[i : i + 4] for i in range(0, len(digits), 4))
+
+
+def _national(rng, country: str = "") -> str:
+    """A phone number as it is written within a country, or abroad without a plus sign."""
+    area, a, b = str(rng.integers(200, 990)), _digits(rng, 3), _digits(rng, 4)
+    form = rng.choice(["({0}) {1}-{2}", "{0}-{1}-{2}", "{0}.{1}.{2}", "({0}) {1} {2}", "0{0} {1} {2}", "0{0}/{1}{2}", "00{3} {0} {1} {2}", "{3}-{0}-{1}-{2}", "+{3} ({0}) {1}-{2}"])
+    return str(form).format(area, a, b, country or rng.integers(1, 99))
+
 
+def _mail(rng, value: str) -> str:
+    """An address with its signs spelt out."""
+    name, _, domain = value.partition("@")
+    dot = str(rng.choice([".", " [dot] ", "[.]", " dot ", "(dot)"]))
+    if dot == " dot ":
+        return f"{name} at {domain.replace('.', dot)}"
+    return name + str(rng.choice(["(at)", "[at]", " (at) ", " [at] ", "{at}", " @ "] if dot == "." else ["(at)", "[at]", " [at] ", "@"])) + domain.replace(".", dot)
 
-def _disguise(region: str, spans: list[tuple[int, int, str]], rng) -> tuple[str, list[tuple[int, int, str]]]:
-    """The same region with its entities written in other common ways."""
-    out, made, at = "", [], 0
-    for s, e, kind in spans:
-        value = region[s:e]
-        if kind == "phone":
-            value = re.sub(r"^\+[0-9]{1,3}[ .-]?", "", value) if rng.random() < 0.6 else re.sub(r"[ ()-]+", ".", value)
+
+def disguised(rng, kind: str, value: str) -> str:
+    """The same entity in another common form, one that the base patterns miss."""
+    if kind == "email":
+        return _mail(rng, value)
+    if kind == "ip":
+        return value.replace(".", str(rng.choice(["[.]", "(.)"])))
+    if kind == "card":
+        return _parted(rng, _NOT_DIGIT.sub("", value), (".", " - ", "/", "  "))
+    return _national(rng)
+
+
+def other_number(rng) -> str:
+    """A number that is nobody's: a date, a time, an amount, a version, an order number, a failed check sum."""
+    d, i = _digits, rng.integers
+    forms = (
+        lambda: f"{i(1990, 2030)}-{i(1, 13):02}-{i(1, 29):02}", lambda: f"{i(1, 29):02}/{i(1, 13):02}/{i(1990, 2030)}", lambda: f"{i(1, 29)}.{i(1, 13)}.{i(1990, 2030)}", lambda: f"{i(1990, 2030)}-{i(1990, 2030)}",
+        lambda: f"{i(1990, 2030)}-{i(1, 13):02}-{i(1, 29):02} {i(0, 24):02}", lambda: f"{i(1, 999)} {d(rng, 3)} {d(rng, 3)}", lambda: f"{i(1, 99)}.{d(rng, 3)}.{d(rng, 3)}", lambda: f"{i(1, 9)}.{d(rng, 9)}", lambda: d(rng, int(i(7, 20))),
+        lambda: _card_number(rng, False), lambda: _card_number(rng, False), lambda: _parted(rng, _card_number(rng, False), (" ", "-", ".")), lambda: f"{i(1, 20)}.{i(0, 20)}.{i(256, 99999)}.{i(0, 9999)}", lambda: f"978-{i(0, 10)}-{d(rng, 2)}-{d(rng, 6)}-{i(0, 10)}", lambda: f"{d(rng, 5)}-{d(rng, 4)}", lambda: f"{d(rng, 8)}-{d(rng, 2)}", lambda: f"{i(1, 9)}.{i(0, 99)}.{i(0, 99)}-{d(rng, 4)}",
+        lambda: f"{i(1, 13)} {i(1, 99)} {i(100, 9999)} {i(1, 99)}", lambda: f"{d(rng, 3)}/{d(rng, 4)}",
+    )
+    return forms[i(len(forms))]()
+
+
+_BEFORE = {"email": ("mail ", "contact: ", ""), "ip": ("host ", "ip ", ""), "card": ("card ", "visa ", ""), "phone": ("call ", "tel. ", "phone: ", ""), "O": ("version ", "order ", "no. ", "date ", "page ", "", "")}
+
+
+def made_examples(rng, many: int) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """`many` examples by rule for each type, in many forms, and four times as many numbers that are none."""
+    words = ["".join(rng.choice(list("aeinorstlu"), int(rng.integers(2, 8)))) for _ in range(200)]
+    some = lambda: " ".join(rng.choice(words, int(rng.integers(0, 4))))
+    out = []
+    for n in range(many * 8):
+        kind = (*KINDS, "O", "O", "O", "O")[n % 8]
+        if kind == "email":
+            value = disguised(rng, kind, f"{rng.choice(words)}{rng.choice(['', '.', '_'])}{rng.choice(words)}@{rng.choice(words)}{rng.choice(['', '-x', '3'])}.{rng.choice(['com', 'org', 'net', 'de', 'example.com', 'co.uk'])}")
+        elif kind == "ip":
+            value = ".".join(str(rng.integers(0, 256)) for _ in range(4))
+            value = value if rng.random() < 0.3 else disguised(rng, kind, value)
         elif kind == "card":
-            digits = _NOT_DIGIT.sub("", value)
-            value = rng.choice([" ", "-", "."]).join(digits[i : i + 4] for i in range(0, len(digits), 4))
-        out += region[at:s]
-        made.append((len(out), len(out) + len(value), kind))
-        out, at = out + value, e
-    return out + region[at:], made
+            value = disguised(rng, kind, _card_number(rng, True))
+        else:
+            value = _national(rng) if kind == "phone" else other_number(rng)
+        left = " ".join(filter(None, (some(), str(rng.choice(_BEFORE[kind])).strip())))
+        left += " " if left else ""
+        right = str(rng.choice(["", ".", " " + some(), ". " + some(), ", " + some()]))
+        out.append((left + value + right, [] if kind == "O" else [(len(left), len(left) + len(value), kind)]))
+        if kind == "O" and n % 3 == 0:  # an at sign that is no address
+            out.append((f"{some()} @ {rng.choice(words)} {some()}. {str(rng.choice(words)).title()}", []))
+            out.append((f"{rng.choice(words)} at {rng.choice(words)}.{rng.choice(words)} {some()}", []))
+    return out
 
 
-def fit(docs: DataFrame, most: int = 500) -> SemiCrf | None:
-    """Fit the random field on at most `most` regions of the corpus, with and without disguise; None if there are none.
+def fit(docs: DataFrame, most: int = 200, made: int = 120) -> SemiCrf:
+    """Fit the random field on examples made by rule and on at most `most` entities of the corpus, with and without disguise.
 
-    The base patterns mark the entities of the sampled regions, so no labels are needed.
+    The base patterns mark the corpus's entities (those with the smallest
+    hashes of all), so no labels are needed. `made` examples of each type teach
+    forms that the corpus's base spans can't show; without any text the field
+    is that of these alone.
     """
 
-    @F.pandas_udf("array<struct<region:string,spans:array<struct<start:int,end:int,kind:string>>>>")
+    @F.pandas_udf("array<struct<left:string,value:string,right:string,kind:string>>")
     def found(texts: pd.Series) -> pd.Series:
-        return pd.Series([examples_of(x, 20) for x in texts], dtype="object")
-
-    rows = docs.where(F.col("text").rlike("[0-9@]")).select(F.explode(found("text")).alias("x"))
-    marked = F.size("x.spans") > 0
-    sample = []
-    for part, limit in ((marked, most * 4 // 5), (~marked, most // 5)):
-        order = F.xxhash64("x.region")
-        sample += rows.where(part).select("x.region", "x.spans", order.alias("order")).distinct().orderBy("order", "region").limit(limit).collect()
-    if not sample:
-        return None
+        return pd.Series([examples_of(x) for x in texts], dtype="object")
+
+    rows = docs.where(F.col("text").rlike("[0-9@]")).select(F.explode(found("text")).alias("x")).select("x.*")
+    sample = rows.distinct().orderBy(F.xxhash64("left", "value", "right"), "left", "value", "right").limit(most).collect()
     rng = np.random.default_rng(11)
-    examples = []
+    examples = made_examples(rng, made)
     for r in sample:
-        spans = [(x["start"], x["end"], x["kind"]) for x in r["spans"]]
-        examples.append((r["region"], spans))
-        if spans:
-            examples.append(_disguise(r["region"], spans, rng))
+        for value in (r["value"], disguised(rng, r["kind"], r["value"])):
+            examples.append((r["left"] + value + r["right"], [(len(r["left"]), len(r["left"]) + len(value), r["kind"])]))
+        other = other_number(rng)
+        examples.append((r["left"] + other + r["right"], []))
     return train(examples)
 
 
@@ -140,26 +221,44 @@ def pii_spans(text: str | None, model: SemiCrf | None) -> list[Span]:
     """Base spans, and those that the model adds beside them; by kind as listed, then start."""
     text = text or ""
     base = base_spans(text)
-    added: list[Span] = []
-    if model is not None:
-        taken = [(s, e) for _, s, e in base]
-        for start, end in regions(text):
-            inside = [(s, e) for s, e in taken if s < end and e > start] if taken else []
-            if len(inside) == 1 and inside[0] == (start, end):
+    if model is None or not (_DIGIT.search(text) or "@" in text or _BRACKETED.search(text) or " dot " in text or " DOT " in text):
+        return base
+    found, last = list(base), 0
+    taken, t = sorted((s, e) for _, s, e in base), 0
+    places = stretches(text)
+    for n, (start, end) in enumerate(places):
+        parts, at, limit = [], start, places[n + 1][0] if n + 1 < len(places) else len(text)
+        while t < len(taken) and taken[t][1] <= start:
+            t += 1
+        k = t
+        while k < len(taken) and taken[k][0] < end:
+            parts.append((at, taken[k][0]))
+            at, k = max(at, taken[k][1]), k + 1
+        parts.append((at, end))
+        for a, b in parts:
+            if b - a < 5:
                 continue
-            tokens = tokenise(text[start:end])
-            at = np.cumsum([start, *map(len, tokens)]).tolist()
-            for a, b, y, gain in model.decode(tokens):
-                if gain >= LEAST_GAIN and all(at[b] <= s or at[a] >= e for s, e in inside):
-                    added.append((TYPES[y], at[a], at[b]))
-    return sorted(base + added, key=lambda x: (KINDS.index(x[0]), x[1]))
+            a = max(last, a - CONTEXT) if a == start else a
+            b = min(limit, b + CONTEXT) if b == end else b
+            tokens = tokenise(text[a:b])
+            places_at = np.cumsum([a, *(len(x) for _, x in tokens)]).tolist()
+            for i, j, y, gain in model.decode(tokens):
+                s, e = places_at[i], places_at[j]
+                if gain >= LEAST_GAIN and not any(s < f and e > g for g, f in taken[max(0, t - 1) : k + 1]):
+                    found.append((TYPES[y], s, e))
+        last = end
+    return sorted(set(found), key=lambda x: (KINDS.index(x[0]), x[1]))
 
 
 _SPANS = "array<struct<kind:string,start:int,end:int,base:boolean>>"
 
 
 def find_pii(text: Column, model: SemiCrf | None) -> Column:
-    """array<struct<kind,start,end,base>> of whole texts, in code points; null and empty texts give none."""
+    """array<struct<kind,start,end,base>> of whole texts, in code points; null and empty texts give none.
+
+    A row depends on its text alone, so repeated rows get equal spans. The work
+    is linear in a text's length, also where it is one very long word.
+    """
     shared = SparkSession.active().sparkContext.broadcast(model)  # features of at most `most` regions
 
     @F.pandas_udf(_SPANS)
@@ -184,8 +283,11 @@ def masked(text: str | None, model: SemiCrf | None) -> str | None:
     return "".join(out) + text[at:] if out else text
 
 
-def mask_pii(docs: DataFrame, most: int = 500) -> DataFrame:
-    """docs with personal data in text masked and n_chars brought up to date; every row and column stays."""
+def mask_pii(docs: DataFrame, most: int = 200) -> DataFrame:
+    """docs with personal data in text masked and n_chars brought up to date; every row and column stays.
+
+    Null and empty texts stay as they are, very long ones are masked whole, repeated rows alike.
+    """
     model = fit(docs, most)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

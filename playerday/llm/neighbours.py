@@ -45,129 +45,200 @@ def nearest(x: np.ndarray, centres: np.ndarray, block: int = 8192) -> tuple[np.n
     return at, far
 
 
+def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances in double precision; differences are divided by a power of two first, so none overflows or is lost."""
+    apart = np.abs(x - q)
+    unit = np.exp2(np.ceil(np.log2(np.maximum(apart.max(axis=1), np.finfo(float).tiny))))
+    return np.sqrt(((apart / unit[:, None]) ** 2).sum(axis=1)) * unit
+
+
 @dataclass
 class Index:
-    """Coarse centres, and a codebook for each slice of the residual."""
+    """Coarse centres, a codebook for each slice of the residual, and how many lists a query scans.
+
+    Vectors are divided by `scale`, a power of two, first: no square overflows
+    and no digit is lost.
+    """
 
     centres: np.ndarray
     books: list[np.ndarray]
     cuts: list[int]
+    scale: float
+    probes: int = 1
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def scaled(self, vectors) -> np.ndarray:
+        return np.stack(list(vectors)).astype(np.float64) / self.scale
+
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """List, residual codes, and the part of the rough distance that is the row's own.
+
+        With r the coded residual of a row in list c, |q - c - r|^2 is
+        |q - c|^2 - 2 q.r + (2 c.r + |r|^2): the last term is stored.
+        """
+        x = x.astype(np.float32)
         lists, _ = nearest(x, self.centres)
         rest = x - self.centres[lists]
         codes = np.column_stack([nearest(rest[:, a:b], book)[0] for book, a, b in zip(self.books, self.cuts, self.cuts[1:])]).astype(np.uint8)
-        return lists, codes
-
-    def tables(self, q: np.ndarray, centre: np.ndarray) -> np.ndarray:
-        """(queries, slices, codewords): squared distance of each query's residual slice to each codeword."""
-        rest = q - centre
-        out = np.full((len(q), len(self.books), max(map(len, self.books))), np.inf, np.float32)
+        coded = np.concatenate([book[codes[:, m]] for m, book in enumerate(self.books)], axis=1)
+        return lists, codes, (2 * (self.centres[lists] * coded).sum(1) + (coded**2).sum(1)).astype(np.float32)
+
+    def nearest_lists(self, q: np.ndarray, sizes: np.ndarray, least: int) -> list[np.ndarray]:
+        """The lists that each query scans, nearest first: `probes`, and more while those hold fewer than `least` rows."""
+        d = (self.centres**2).sum(1)[None] - 2 * q.astype(np.float32) @ self.centres.T
+        order = np.argsort(d, axis=1, kind="stable")
+        enough = (sizes[order].cumsum(axis=1) < least).sum(axis=1) + 1
+        return [line[: max(self.probes, n)] for line, n in zip(order, enough)]
+
+    def rough(self, q: np.ndarray, lists: np.ndarray, codes: np.ndarray, shift: np.ndarray) -> np.ndarray:
+        """(queries, rows): asymmetric squared distances, less |q|^2, from one table of products for each query."""
+        q = q.astype(np.float32)
+        used, place = np.unique(lists, return_inverse=True)
+        coarse = (self.centres[used] ** 2).sum(1)[None] - 2 * q @ self.centres[used].T
+        out = coarse[:, place] + shift[None]
         for m, (book, a, b) in enumerate(zip(self.books, self.cuts, self.cuts[1:])):
-            out[:, m, : len(book)] = ((rest[:, None, a:b] - book[None]) ** 2).sum(2)
+            out -= 2 * (q[:, a:b] @ book.T)[:, codes[:, m]]
         return out
 
 
-def fit(vectors: DataFrame, most: int = 20_000, slices: int = 16, words: int = 64, seed: int = 9) -> Index | None:
-    """Fit centres and codebooks on the `most` rows with the smallest id hashes; None without vectors.
-
-    The number of lists follows the square root of all rows, up to a fortieth of the sample.
+def probes_for(centres: np.ndarray, x: np.ndarray, k: int, recall: float, queries: int = 256) -> int:
+    """The fewest nearest lists that hold `recall` of the k nearest sampled rows of the first sampled rows."""
+    k, q = min(k, len(x) - 1), x[:queries]
+    if k < 1:
+        return len(centres)
+    lists, _ = nearest(x, centres)
+    d = (x**2).sum(1)[None] - 2 * q @ x.T
+    d[np.arange(len(q)), np.arange(len(q))] = np.inf
+    best = np.argpartition(d, k - 1, axis=1)[:, :k]
+    order = np.argsort((centres**2).sum(1)[None] - 2 * q @ centres.T, axis=1, kind="stable")
+    place = np.argsort(order, axis=1)
+    held = np.bincount(np.take_along_axis(place, lists[best], axis=1).ravel(), minlength=len(centres)).cumsum() / best.size
+    return int(np.searchsorted(held, recall) + 1)
+
+
+def fit(vectors: DataFrame, rows: int, largest: float, k: int = 10, recall: float = 0.97, most: int = 20_000, slices: int = 16, words: int = 256, seed: int = 9) -> Index:
+    """Fit centres and codebooks on the `most` rows of vectors(vec_id, embedding) with the smallest id hashes.
+
+    There are as many lists as the square root of all rows: up to a fortieth of
+    the sample they are centres of their own, beyond that a second level, of
+    centres of the first one's residuals, divides each alike. The number of
+    lists that a query scans is the least that reaches `recall` within the
+    sample, so data in clusters need few and data without any need many.
     """
     sample = vectors.select("embedding", F.xxhash64("vec_id").alias("order"), "vec_id").orderBy("order", "vec_id").limit(most)
-    rows = [r[0] for r in sample.select("embedding").collect()]
-    if not rows:
-        return None
-    width = max(map(len, rows))
-    x = np.array([r for r in rows if len(r) == width], np.float32)
-    lists = int(max(1, min(np.sqrt(vectors.count()), len(x) / 40)))
-    centres = lloyd(x, lists, 8, seed)
+    scale = 2.0 ** np.ceil(np.log2(largest))
+    x = (np.array([r[0] for r in sample.select("embedding").collect()], np.float64) / scale).astype(np.float32)
+    width, lists = x.shape[1], max(1, int(np.sqrt(rows)))
+    centres = lloyd(x, max(1, min(lists, len(x) // 40)), 8, seed)
+    if lists > 2 * len(centres) and len(x) >= 80:
+        rest = x - centres[nearest(x, centres)[0]]
+        finer = lloyd(rest, min(len(rest) // 40, -(-lists // len(centres))), 8, seed + 99)
+        centres = (centres[:, None] + finer[None]).reshape(-1, width)
     rest = x - centres[nearest(x, centres)[0]]
     cuts = [round(width * i / min(slices, width)) for i in range(min(slices, width) + 1)]
     books = [lloyd(np.ascontiguousarray(rest[:, a:b]), words, 6, seed + 1 + m) for m, (a, b) in enumerate(zip(cuts, cuts[1:]))]
-    return Index(centres, books, cuts)
+    return Index(centres, books, cuts, float(scale), probes_for(centres, x, k, recall))
 
 
-INDEXED = "list int, vec_id bigint, embedding array<float>, codes binary"
-PROBED = "list int, query_id bigint, embedding array<float>"
-FOUND = "query_id bigint, vec_id bigint, score double"
+INDEXED = "list int, row bigint, vec_id bigint, is_query boolean, embedding array<double>, codes binary, shift float"
+PROBED = "group bigint, query_row bigint, query_id bigint, embedding array<double>, lists array<int>"
+FOUND = "query_row bigint, query_id bigint, row bigint, vec_id bigint, score double"
+#: A table with vectors of more different lengths is refused.
+MOST_WIDTHS = 16
 
 
-def search(vectors: DataFrame, queries: Column, k: int = 10, probe: float = 0.75, shortlist: int = 100, block_rows: int = 2048, **how) -> DataFrame:
+def search(vectors: DataFrame, queries: Column, k: int = 10, shortlist: int = 100, block_rows: int = 8192, **how) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows of each query row, by exact distance on the original vectors.
 
-    vectors has vec_id and embedding; queries is a condition on them. Every
-    usable row is indexed. A query scans the nearest `probe` share of the
-    lists; in each block of a list the codes' asymmetric distances choose the
-    `shortlist` best (more when they tie), whose exact distances are then
-    ranked. Lists are cut into blocks of about block_rows rows by a hash of the
-    id, and the queries of a list likewise, so a list that a third of all rows
-    or queries share is spread over tasks. Rows that repeat an id are
-    candidates of each other; ties go to the smaller vec_id.
+    vectors has vec_id and embedding, of floats or doubles; queries is a
+    condition on them. Every usable row with an id is indexed. A query scans its
+    nearest lists (see fit), at least as many as hold k other rows; of each block of rows the codes' asymmetric
+    distances choose the `shortlist` best, whose exact distances are ranked.
+    Lists are dealt to groups, and each group is cut into blocks of about
+    block_rows rows by a hash of the row, so that a list that a third of all
+    rows share is spread over tasks; so are the queries of a group.
+
+    A query's own row is no candidate; other rows that repeat its id are, and a
+    repeated id that is a query has a list for each of its rows. Ties go to the
+    smaller vec_id. Vectors of different lengths are never compared: each
+    length has an index of its own, 16 lengths at most. Other columns are left
+    out, whatever their names; an empty table gives no rows.
     """
     spark = vectors.sparkSession
-    rows = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"), queries.alias("is_query"))
-    index = fit(rows, **how)
-    empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    if index is None:
-        return empty
-    shared = spark.sparkContext.broadcast(index)  # at most sample / 40 centres and `slices` codebooks
-    width, near = len(index.centres[0]), max(1, int(np.ceil(probe * len(index.centres))))
-    rows = rows.where(F.size("embedding") == width)
+    kept = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
+    rows = kept.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.coalesce(queries, F.lit(False)).alias("is_query"))
+    width = F.size("embedding")
+    widths = rows.groupBy(width.alias("width")).agg(F.count("*").alias("rows"), F.max(F.array_max(F.transform("embedding", F.abs))).alias("largest")).orderBy("width").limit(MOST_WIDTHS + 1).collect()
+    if len(widths) > MOST_WIDTHS:
+        raise ValueError(f"vectors of more than {MOST_WIDTHS} different lengths")
+    found = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    for w in widths:
+        alike = rows.where(width == w["width"])
+        index = fit(alike, w["rows"], w["largest"], k, **how)
+        found = found.union(_search(alike, index, w["rows"], k, shortlist, block_rows))
+    return found
+
+
+def _search(rows: DataFrame, index: Index, many: int, k: int, shortlist: int, block_rows: int) -> DataFrame:
+    """search for rows(vec_id, embedding, is_query) of one length."""
+    shared = rows.sparkSession.sparkContext.broadcast(index)  # a centre for each list: the square root of all rows
+    groups = max(1, min(len(index.centres), many // block_rows))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                lists, codes = shared.value.encode(np.stack(b["embedding"].to_numpy()).astype(np.float32))
-                yield pd.DataFrame({"list": lists.astype(np.int32), "vec_id": b["vec_id"], "embedding": b["embedding"], "codes": [c.tobytes() for c in codes]})
+                lists, codes, shift = shared.value.encode(shared.value.scaled(b["embedding"]))
+                yield pd.DataFrame({"list": lists.astype(np.int32), "row": b["row"], "vec_id": b["vec_id"], "is_query": b["is_query"], "embedding": b["embedding"], "codes": [c.tobytes() for c in codes], "shift": shift})
 
     def probes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            out = []
             if len(b):
-                q, centres = np.stack(b["embedding"].to_numpy()).astype(np.float32), shared.value.centres
-                d = (centres**2).sum(1)[None] - 2 * q @ centres.T
-                best = np.argsort(d, axis=1, kind="stable")[:, :near]
-                yield pd.DataFrame({"list": best.ravel().astype(np.int32), "query_id": np.repeat(b["vec_id"].to_numpy(), near), "embedding": b["embedding"].repeat(near).to_numpy()})
-
-    indexed = materialise(rows.select("vec_id", "embedding").mapInPandas(encode, INDEXED), "ann-index")
-    asked = materialise(rows.where("is_query").select("vec_id", "embedding").mapInPandas(probes, PROBED), "ann-probes")
-    # how many blocks each list's rows and queries are cut into: at most a row per list
-    cut = lambda n: F.greatest(F.lit(1), F.ceil(n / block_rows)).cast("int")
-    row_blocks = indexed.groupBy("list").agg(cut(F.count("*")).alias("row_blocks"))
-    query_blocks = asked.groupBy("list").agg(cut(F.count("*")).alias("query_blocks"))
-    blocks = materialise(row_blocks.join(query_blocks, "list"), "ann-blocks")
+                near = shared.value.nearest_lists(shared.value.scaled(b["embedding"]), sizes, k + 1)
+                for row, vec_id, vector, lists in zip(b["row"], b["vec_id"], b["embedding"], near):
+                    of = lists % groups
+                    out += [(g, row, vec_id, vector, lists[of == g].astype(np.int32)) for g in np.unique(of)]
+            yield pd.DataFrame(out, columns=["group", "query_row", "query_id", "embedding", "lists"])
+
+    numbered = rows.withColumn("row", F.monotonically_increasing_id()).select("row", "vec_id", "is_query", "embedding")
+    indexed = materialise(numbered.mapInPandas(encode, INDEXED), "ann-index").withColumn("group", F.col("list") % F.lit(groups).cast("bigint"))
+    sizes = np.zeros(len(index.centres), np.int64)  # a number for each list
+    for r in indexed.groupBy("list").count().collect():
+        sizes[r["list"]] = r["count"]
+    asked = materialise(indexed.where("is_query").select("row", "vec_id", "embedding").mapInPandas(probes, PROBED), "ann-probes")
+    # how many blocks each group's rows and queries are cut into: at most a row per group
+    cut = lambda n, size: F.greatest(F.lit(1), F.round(n / size)).cast("int")
+    row_blocks = indexed.groupBy("group").agg(cut(F.count("*"), block_rows).alias("row_blocks"))
+    query_blocks = asked.groupBy("group").agg(cut(F.count("*"), block_rows // 8).alias("query_blocks"))
+    blocks = materialise(row_blocks.join(query_blocks, "group"), "ann-blocks")
     of = lambda key, n: F.pmod(F.xxhash64(key), F.col(n).cast("bigint")).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = indexed.join(F.broadcast(blocks), "list").select("list", "vec_id", "embedding", "codes", of("vec_id", "row_blocks").alias("row_block"), every("query_blocks").alias("query_block"))
-    right = asked.join(F.broadcast(blocks.select(*[F.col(c).alias(c) for c in blocks.columns])), "list").select("list", "query_id", "embedding", of("query_id", "query_blocks").alias("query_block"), every("row_blocks").alias("row_block"))
+    left = indexed.join(blocks, "group").select("group", "list", "row", "vec_id", "embedding", "codes", "shift", of("row", "row_blocks").alias("row_block"), every("query_blocks").alias("query_block"))
+    right = asked.join(blocks, "group").select("group", "query_row", "query_id", "embedding", "lists", of("query_row", "query_blocks").alias("query_block"), every("row_blocks").alias("row_block"))
 
     def scan(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows) or not len(asked):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        at = shared.value
-        rows = rows.sort_values("vec_id", kind="stable")
-        ids = rows["vec_id"].to_numpy()
-        x = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
-        codes = np.frombuffer(b"".join(rows["codes"]), np.uint8).reshape(len(rows), -1)
-        centre, out = at.centres[int(rows["list"].iloc[0])], []
-        qid, q = asked["query_id"].to_numpy(), np.stack(asked["embedding"].to_numpy())
-        for s in range(0, len(q), 64):
-            lookup = at.tables(q[s : s + 64].astype(np.float32), centre)
-            for n, t in enumerate(lookup):
-                rough = t[np.arange(t.shape[0])[:, None], codes.T].sum(0)
-                rough[ids == qid[s + n]] = np.inf
-                if len(rough) > shortlist:
-                    picked = np.nonzero(rough <= np.partition(rough, shortlist - 1)[shortlist - 1])[0]
-                else:
-                    picked = np.arange(len(rough))
-                picked = picked[np.isfinite(rough[picked])]
-                exact = np.sqrt(((x[picked] - q[s + n].astype(np.float64)) ** 2).sum(1))
-                best = np.lexsort((ids[picked], exact))[:k]
-                out.append(pd.DataFrame({"query_id": qid[s + n], "vec_id": ids[picked][best], "score": exact[best]}))
-        return pd.concat(out)
-
-    keys = ["list", "row_block", "query_block"]
+        at, out = shared.value, []
+        if len(rows) and len(asked):
+            ids, names, lists = rows["vec_id"].to_numpy(), rows["row"].to_numpy(), rows["list"].to_numpy()
+            x, q = np.stack(rows["embedding"].tolist()), np.stack(asked["embedding"].tolist())
+            codes, shift = np.frombuffer(b"".join(rows["codes"]), np.uint8).reshape(len(rows), -1), rows["shift"].to_numpy()
+            own, query_ids, wanted = asked["query_row"].to_numpy(), asked["query_id"].to_numpy(), asked["lists"].tolist()
+            here, place = np.unique(lists, return_inverse=True)
+            scans = np.array([np.isin(here, some) for some in wanted])
+            for s in range(0, len(q), 64):
+                rough = at.rough(q[s : s + 64] / at.scale, lists, codes, shift)
+                rough[~scans[s : s + 64][:, place] | (names[None] == own[s : s + 64, None])] = np.inf
+                for n, line in enumerate(rough, s):
+                    picked = np.flatnonzero(line <= np.partition(line, shortlist - 1)[shortlist - 1]) if len(line) > shortlist else np.arange(len(line))
+                    picked = picked[line[picked] < np.inf]
+                    exact = distances(x[picked], q[n])
+                    best = np.lexsort((names[picked], ids[picked], exact))[:k]
+                    out.append(pd.DataFrame({"query_row": own[n], "query_id": query_ids[n], "row": names[picked][best], "vec_id": ids[picked][best], "score": exact[best]}))
+        empty = pd.DataFrame({"query_row": pd.Series(dtype="int64"), "query_id": pd.Series(dtype="int64"), "row": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        return pd.concat(out) if out else empty
+
+    keys = ["group", "row_block", "query_block"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(scan, FOUND)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")).cast("int")
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy("score", "vec_id", "row")).cast("int")
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from playerday.llm.common import SPACE, let, table
 
-LEAST, MOST = -(1 << 63), (1 << 63) - 1
+LEAST = -(1 << 63)
 WORDS = 5
-#: One hash in SCALE is kept, and the FLOOR smallest ones of a text that has fewer below the threshold.
-SCALE, FLOOR = 16, 32
+#: One hash in SCALE is kept.
+SCALE = 4
 
 
 def threshold(scale: int) -> int:
@@ -19,14 +19,15 @@ def threshold(scale: int) -> int:
     return LEAST + (1 << 64) // scale
 
 
-def sketch(text: Column, words: int = WORDS, scale: int = SCALE, floor: int = FLOOR) -> Column:
-    """Sorted array of the distinct shingle hashes of a whole text that are below the fixed threshold.
+def sketch(text: Column, words: int = WORDS, scale: int = SCALE) -> Column:
+    """struct<whole, hashes> of a whole text: every distinct shingle hash below the fixed threshold, sorted.
 
-    A text with fewer than `floor` of them keeps its `floor` smallest hashes
-    instead (all of them, if it has no more), so short texts have a useful
-    sketch too. Words are lower-cased and parted by ASCII white space; a text
-    with fewer words than a shingle is one shingle; null and wordless texts
-    have an empty sketch. Equal texts have equal sketches.
+    whole is one hash of all its shingles, so that texts too short for a hash
+    below the threshold can still be told to be equal. Words are lower-cased
+    and parted by ASCII white space; a text with fewer words than a shingle is
+    one shingle; null and wordless texts have no hashes. Equal texts have equal
+    sketches, repeated rows too; a very long text has a long sketch, in
+    proportion to its distinct shingles.
     """
     parts = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SPACE), lambda w: w != "")
 
@@ -35,46 +36,33 @@ def sketch(text: Column, words: int = WORDS, scale: int = SCALE, floor: int = FL
         return F.when(F.size(h) >= words, each).when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
 
     def kept(h: Column) -> Column:
-        below = F.size(F.filter(h, lambda x: x < threshold(scale)))
-        return F.slice(h, F.lit(1), F.greatest(below, F.lit(floor)))
+        return F.struct(F.xxhash64(h).alias("whole"), F.filter(h, lambda x: x < threshold(scale)).alias("hashes"))
 
     return let(F.sort_array(F.array_distinct(let(F.transform(parts, lambda w: F.xxhash64(w)), shingles))), kept)
 
 
-def merge(a: Column, b: Column, scale: int = SCALE, floor: int = FLOOR) -> Column:
-    """The sketch of two texts' shingles together, from their sketches alone."""
-
-    def kept(h: Column) -> Column:
-        below = F.size(F.filter(h, lambda x: x < threshold(scale)))
-        return F.slice(h, F.lit(1), F.greatest(below, F.lit(floor)))
-
-    return let(F.sort_array(F.array_union(a, b)), kept)
+def merge(a: Column, b: Column) -> Column:
+    """The sketch of two texts' shingles together, from their sketches alone (whole is then unknown)."""
+    return F.struct(F.lit(None).cast("bigint").alias("whole"), F.sort_array(F.array_union(a["hashes"], b["hashes"])).alias("hashes"))
 
 
-def likeness(a: Column, b: Column, scale: int = SCALE, floor: int = FLOOR) -> Column:
+def likeness(a: Column, b: Column) -> Column:
     """Estimated share of the smaller text's shingles that the other text holds (0 to 1).
 
-    Both sketches hold every hash up to their own reach (the threshold, or the
-    last hash of a floor sketch, or anything if they hold all hashes); the
-    shares are taken up to the lesser reach. Two empty sketches are alike (1);
-    an empty and another one are not (0).
+    Both sketches hold every hash below one threshold, so the estimate is fair
+    however unequal the texts are. It is 1 where all shingles are the same, and
+    0 where either sketch has no hashes and they are not.
     """
-
-    def reach(h: Column) -> Column:
-        return F.when(F.size(h) < floor, F.lit(MOST)).otherwise(F.greatest(F.lit(threshold(scale) - 1), F.element_at(h, -1)))
-
-    def share(limit: Column) -> Column:
-        upto = lambda h: F.size(F.filter(h, lambda x: x <= limit))
-        both = upto(F.array_intersect(a, b))
-        return let(F.least(upto(a), upto(b)), lambda n: F.when(n == 0, F.lit(0.0)).otherwise(both / n))
-
-    none = F.size(a) == 0
-    return F.when(none & (F.size(b) == 0), F.lit(1.0)).when(none | (F.size(b) == 0), F.lit(0.0)).otherwise(let(F.least(reach(a), reach(b)), share))
+    least = F.least(F.size(a["hashes"]), F.size(b["hashes"]))
+    both = F.size(F.array_intersect(a["hashes"], b["hashes"]))
+    same = F.coalesce(a["whole"] == b["whole"], F.lit(False))
+    return F.when(same, F.lit(1.0)).otherwise(F.coalesce(F.try_divide(both, least), F.lit(0.0)))
 
 
-def written(h: Column) -> Column:
-    """A sketch as text: 16 lower-case hex digits a hash, in order."""
-    return F.lower(F.array_join(F.transform(h, lambda x: F.lpad(F.hex(x), 16, "0")), ""))
+def written(sketched: Column) -> Column:
+    """A sketch as text: 16 lower-case hex digits for `whole` and for each hash in order."""
+    digits = lambda x: F.lpad(F.hex(x), 16, "0")
+    return F.lower(F.concat(digits(sketched["whole"]), F.array_join(F.transform(sketched["hashes"], digits), "")))
 
 
 def with_next(rows: DataFrame, order: str, columns: list[str], rows_per_bucket: int = 1000, most_buckets: int = 100_000) -> DataFrame:

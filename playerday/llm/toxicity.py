@@ -107,7 +107,12 @@ class ToxicityModel:
         self.lexicon, self.trees, self.curve, self.mean = lexicon, trees, curve, mean
 
     def score(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, score) for every row of docs(doc_id, text); null and empty texts are scored too."""
+        """(doc_id, score) for every row of docs(doc_id, text); null and empty texts are scored too.
+
+        A score depends on the text alone, so repeated rows score alike; other
+        columns are left out, whatever their names. A very long text is read
+        whole, in one task.
+        """
         rows = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
         if self.trees is None:
             return rows.select("doc_id", F.lit(self.mean).alias("score"))

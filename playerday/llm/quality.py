@@ -51,15 +51,10 @@ class QualityModel:
         return float(1 / (1 + np.exp(-np.clip(z, -35, 35))))
 
 
-def log_count_ratios(rows: list[np.ndarray], y: np.ndarray, smooth: float = 1.0) -> np.ndarray:
-    """Per n-gram: log of its smoothed share among the good documents over that among the bad ones."""
-    good = np.full(WIDTH, smooth)
-    bad = np.full(WIDTH, smooth)
-    for found, label in zip(rows, y):
-        (good if label > 0 else bad)[found] += 1
-    ratios = np.log(good / good.sum()) - np.log(bad / bad.sum())
-    seen = (good > smooth) | (bad > smooth)
-    return np.where(seen, ratios, 0.0).astype(np.float32)
+def log_count_ratios(good: np.ndarray, bad: np.ndarray, totals: tuple[float, float], smooth: float = 1.0) -> np.ndarray:
+    """Log of each n-gram's smoothed share of all n-grams of the good documents over that of the bad ones."""
+    shares = [(counts + smooth) / (total + WIDTH * smooth) for counts, total in zip((good, bad), totals)]
+    return np.log(shares[0] / shares[1]).astype(np.float32)
 
 
 def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, cost: float = 1.0, passes: int = 12, tolerance: float = 1e-3, seed: int = 5) -> tuple[np.ndarray, float]:
@@ -68,7 +63,7 @@ def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, ratios: np.nd
     for found in rows:
         v = ratios[found]
         values.append(v / (np.sqrt((v * v).sum()) or 1.0))
-    w, bias = np.zeros(WIDTH, np.float32), 0.0
+    w, bias = np.zeros(len(ratios), np.float32), 0.0
     alpha = np.zeros(len(rows))
     square = np.array([float((v * v).sum()) + 1.0 for v in values])  # the bias is a feature of 1
     rng = np.random.default_rng(seed)
@@ -102,35 +97,66 @@ def platt(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(at[0], 1e-3)), float(at[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 6000) -> QualityModel:
-    """Fit on at most `most` labelled rows (hashed n-grams only reach the driver); fold 1 sets the score's curve.
+def chosen_grams(sample: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and log-count ratios of the `most` n-grams that part good from bad documents most surely.
 
+    Documents are counted in Spark; only the chosen n-grams reach the driver.
+    Surest are those with the largest ratio for its standard error.
+    """
+    counts = sample.select("label", F.explode("grams").alias("gram")).groupBy("gram").agg(F.sum("label").alias("good"), F.sum(1 - F.col("label")).alias("bad"))
+    docs = sample.agg(F.sum("label").alias("good"), F.sum(1 - F.col("label")).alias("bad")).first()
+    odds = F.log((F.col("good") + 0.5) / (docs["good"] + 1.0)) - F.log((F.col("bad") + 0.5) / (docs["bad"] + 1.0))
+    surety = F.abs(odds) / F.sqrt(1 / (F.col("good") + 0.5) + 1 / (F.col("bad") + 0.5))
+    totals = counts.agg(F.sum("good"), F.sum("bad")).first()
+    top = counts.withColumn("surety", surety).orderBy(F.desc("surety"), "gram").limit(most).select("gram", "good", "bad").collect()
+    top = np.array(sorted(top), np.float64).reshape(-1, 3)
+    return top[:, 0].astype(np.int64), log_count_ratios(top[:, 1], top[:, 2], tuple(map(float, totals)))
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 6000, most_grams: int = 1 << 17) -> QualityModel:
+    """Fit on at most `most` labelled rows and their `most_grams` surest n-grams; fold 1 sets the score's curve.
+
+    What reaches the driver is bounded whatever the texts' length: a set of
+    bits, one for each chosen n-gram, for each row (16 KB at most, compressed).
     Without labels of both classes every score is their mean (0.5 without any).
     """
 
-    @F.pandas_udf("binary")
+    @F.pandas_udf("array<int>")
     def features(texts: pd.Series) -> pd.Series:
-        return pd.Series([grams(x).tobytes() for x in texts], dtype="object")
-
-    sample = training_rows(docs, labels, label, most).select(features("text").alias("grams"), "label", "fold").collect()
-    y = np.array([1.0 if r["label"] else -1.0 for r in sample])
-    rows = [np.frombuffer(r["grams"], np.int32) for r in sample]
-    learn = np.array([r["fold"] != 1 for r in sample], bool)
-    if not len(y) or (y > 0).all() or (y < 0).all() or len(set(y[learn])) < 2:
-        mean = float(np.clip((y > 0).mean(), 0.001, 0.999)) if len(y) else 0.5
+        return pd.Series([grams(x) for x in texts], dtype="object")
+
+    sample = materialise(training_rows(docs, labels, label, most).select(features("text").alias("grams"), "label", "fold"), "quality-sample")
+    seen = {(r["inner"], r["label"]): r["count"] for r in sample.groupBy((F.col("fold") != 1).alias("inner"), "label").count().collect()}
+    if not seen.get((True, 0)) or not seen.get((True, 1)):
+        good, all_ = sum(n for (_, y), n in seen.items() if y), sum(seen.values())
+        mean = float(np.clip(good / all_, 0.001, 0.999)) if all_ else 0.5
         zero = np.zeros(WIDTH, np.float32)
         return QualityModel(zero, zero, 0.0, 1.0, float(np.log(mean / (1 - mean))))
-    inner = [r for r, k in zip(rows, learn) if k]
-    ratios = log_count_ratios(inner, y[learn])
-    w, bias = dual_coordinate_descent(inner, y[learn], ratios)
-    model = QualityModel(w * ratios, ratios, bias, 1.0, 0.0)
+    chosen, ratios = chosen_grams(sample.where("fold <> 1"), most_grams)
+
+    @F.pandas_udf("binary")
+    def bits(found: pd.Series) -> pd.Series:
+        return pd.Series([zlib.compress(np.packbits(np.isin(chosen, x)).tobytes(), 1) for x in found], dtype="object")
+
+    rows = sample.select(bits("grams").alias("bits"), "label", "fold", F.xxhash64("grams").alias("order")).orderBy("order", "label").collect()
+    found = [np.flatnonzero(np.unpackbits(np.frombuffer(zlib.decompress(r["bits"]), np.uint8))) for r in rows]
+    y = np.array([1.0 if r["label"] else -1.0 for r in rows])
+    learn = np.array([r["fold"] != 1 for r in rows], bool)
+    w, bias = dual_coordinate_descent([f for f, k in zip(found, learn) if k], y[learn], ratios)
+    weights, wide = np.zeros(WIDTH, np.float32), np.zeros(WIDTH, np.float32)
+    weights[chosen], wide[chosen] = w * ratios, ratios
+    model = QualityModel(weights, wide, bias, 1.0, 0.0)
     curve = ~learn if len(set(y[~learn])) == 2 else learn
-    model.slope, model.shift = platt(np.array([model.margin(r) for r, k in zip(rows, curve) if k]), y[curve])
+    model.slope, model.shift = platt(np.array([model.margin(chosen[f]) for f, k in zip(found, curve) if k]), y[curve])
     return model
 
 
 def quality_score(text: Column, model: QualityModel) -> Column:
-    """Score column in [0, 1] of whole texts; null and empty texts have the score of no n-grams."""
+    """Score column in [0, 1] of whole texts; null and empty texts have the score of no n-grams.
+
+    A score depends on the text alone: repeated rows score alike, and a very
+    long text costs in proportion to its length, in one task.
+    """
     shared = SparkSession.active().sparkContext.broadcast(model)  # 8 bytes for each of WIDTH hashes
 
     @F.pandas_udf("double")
@@ -141,7 +167,7 @@ def quality_score(text: Column, model: QualityModel) -> Column:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most: int = 6000) -> DataFrame:
-    """docs without the rows that score below the threshold; columns unchanged, repeated rows alike."""
+    """docs without the rows that score below the threshold (a score at it stays); columns unchanged, repeated rows alike."""
     return docs.where(quality_score(F.col("text"), fit(docs, labels, most=most)) >= threshold)
 
 

@@ -51,7 +51,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.work_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the table of a materialised df that nothing reads any more."""
+    session = df.sparkSession
+    path = session._jvm.org.apache.hadoop.fs.Path(df.work_path)
+    path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fold(doc_id: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from playerday.llm.common import materialise
+from playerday.llm.common import discard, materialise
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -30,7 +30,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         root = hooked.select(F.col("node").alias("component"), F.col("component").alias("root"))
         jumped = materialise(hooked.join(root, "component").select("node", F.col("root").alias("component")), "cc-labels")
         moved = jumped.join(labels.withColumnRenamed("component", "before"), "node").where("component <> before").limit(1).count()
+        discard(hooked)
+        discard(labels)
         labels = jumped
         if not moved:
+            discard(both)
             return labels
     raise RuntimeError(f"labels still move after {max_rounds} rounds")

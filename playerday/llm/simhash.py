@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from playerday.llm.common import materialise, table
 from playerday.llm.components import connected_components
 from playerday.llm.jaccard import PART, near_copy_classes, shingles
+from playerday.llm.pairing import pairs_between_classes
 
 BITS = 64
 
@@ -70,7 +71,9 @@ def file_by_key(fingerprints: DataFrame, distance: int, *carried: str) -> DataFr
     for first, w in parts:
         value = F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << w) - 1))
         keys += [(F.lit((first + i) << width) + value.bitwiseAND(F.lit(~(1 << i)))) for i in range(w)]
-    return fingerprints.select(*carried).where(fp.isNotNull()).distinct().select(*carried, F.explode(F.array(*keys)).alias("key"))
+    spread = int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes become 64 times as many: no merging of partitions here
+    rows = fingerprints.select(*carried).where(fp.isNotNull()).repartition(spread, "fp").distinct()
+    return rows.select(*carried, F.explode(F.array(*keys)).alias("key"))
 
 
 def differing(a: Column, b: Column) -> Column:
@@ -88,16 +91,11 @@ def link_pairs(fingerprints: DataFrame, distance: int = 4, check_bits: int | Non
     join gives each link once however many keys agree. Nothing is capped. With
     check_bits the rows also carry a second fingerprint, check, that may differ
     in that many bits; a row is then (fp, check), and rows of equal fp link too. With apart only links between different values of that
-    column count, and (a, b) are those two values; a key whose rows, two or more,
-    all share one value is left out before the join.
+    column count, and (a, b) are those two values, in either order.
     """
     parts = segments(distance)
     width = max(w for _, w in parts)
     filed = file_by_key(fingerprints, distance, "fp", *([] if check_bits is None else ["check"]), *([] if apart is None else [apart]))
-    if apart is not None:
-        alike = filed.groupBy("key").agg(F.min(apart).alias("low"), F.max(apart).alias("high"), F.count("*").alias("n")).where("low = high AND n > 1").select("key")
-        filed = filed.join(alike, "key", "left_anti")
-    a, b = filed.alias("a"), filed.alias("b")
     differ = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
     slot = F.shiftright(F.col("a.key"), width)
     counts_here, before = F.lit(False), F.lit(True)
@@ -105,16 +103,16 @@ def link_pairs(fingerprints: DataFrame, distance: int = 4, check_bits: int | Non
         part = F.shiftrightunsigned(differ, first).bitwiseAND(F.lit((1 << w) - 1))
         counts_here |= before & (slot >= first) & (slot < first + w) & ((part != 0) | (slot == first))
         before &= F.bit_count(part) > 1
-    same = F.col("a.key") == F.col("b.key")
-    if check_bits is not None:
-        counts_here &= differing(F.col("a.check"), F.col("b.check")) <= check_bits
-    if apart is not None:
-        counts_here &= F.col(f"a.{apart}") != F.col(f"b.{apart}")
+    near = (F.bit_count(differ) <= distance) & counts_here
     ordered = F.col("a.fp") < F.col("b.fp")
     if check_bits is not None:
+        near &= differing(F.col("a.check"), F.col("b.check")) <= check_bits
         ordered |= (F.col("a.fp") == F.col("b.fp")) & (F.col("a.check") < F.col("b.check"))
     named = lambda side: F.col(f"{side}.{apart or 'fp'}") if apart or check_bits is None else F.struct(f"{side}.fp", f"{side}.check")
-    return a.join(b, same & ordered & (F.bit_count(differ) <= distance) & counts_here).select(named("a").alias("a"), named("b").alias("b"))
+    chosen = [named("a").alias("a"), named("b").alias("b")]
+    if apart is not None:
+        return pairs_between_classes(filed, apart, near, ordered, chosen)
+    return filed.alias("a").join(filed.alias("b"), (F.col("a.key") == F.col("b.key")) & ordered & near).select(*chosen)
 
 
 def star_links(nodes: DataFrame, distance: int, check_bits: int | None = None) -> DataFrame:
@@ -189,7 +187,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     held = materialise(held, "near-docs")
     first = F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).cast("bigint").alias("doc_id"), F.col("__row").alias("row")))
     sets = materialise(held.groupBy(F.col("__set").alias("node")).agg(F.max("__n").alias("n"), F.max("__part").alias("part"), first.alias("first")), "near-nodes")
-    classes = near_copy_classes(held.select(F.col("__set").alias("node"), F.col(text_col).alias("text")), sets)
+    once = sets.where("n > 0").select(F.col("first.row").alias("__row"))  # exact copies are one set, compared once
+    texts = held.join(once, "__row", "left_semi").select(F.col("__set").alias("node"), F.col(text_col).alias("text"))
+    classes = near_copy_classes(texts, sets)
     named = sets.join(classes, "node", "left").groupBy(F.coalesce("class", "node").alias("class"))
     kept = named.agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))
     return held.join(kept, "__row", "left_semi").select(*docs.columns)

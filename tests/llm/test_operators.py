@@ -1,9 +1,11 @@
 """Edge cases and brute-force comparisons of the corpus operators."""
 
 import hashlib
+import math
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -147,9 +149,84 @@ def test_pii_model(spark):
     model = pii.fit(docs)
     text = "ring (319) 555-1234 now, version 2.0. and 12 apples"
     assert [(k, text[s:e]) for k, s, e in pii.pii_spans(text, model)] == [("phone", "(319) 555-1234")]
+    text = "first +1 (843) 555-7672 170.106.47.218 last"  # the base pattern reads one number too long and drops it
+    assert [(k, text[s:e]) for k, s, e in pii.pii_spans(text, model)] == [("ip", "170.106.47.218"), ("phone", "+1 (843) 555-7672")]
     out = {r.doc_id: r.text for r in pii.mask_pii(docs).collect()}
     assert out[3].startswith("call <PHONE> or write <EMAIL> from <IP> on 3.3. end") and out[99] is None and out[100] == ""
-    assert pii.fit(docs.limit(0)) is None
+    made = pii.fit(docs.limit(0))  # without a corpus, from the made examples alone
+    seen, hits, others, wrong = 0, 0, 0, 0
+    for text, spans in pii.made_examples(np.random.default_rng(77), 60):
+        found = pii.pii_spans(text, made)
+        seen, hits = seen + len(spans), hits + sum((k, s, e) in found for s, e, k in spans)
+        others, wrong = others + (not spans), wrong + (not spans and bool(found))
+    assert hits >= 0.9 * seen and wrong <= 0.01 * others
+
+
+def test_long_texts_are_linear():
+    model = semicrf.train(pii.made_examples(np.random.default_rng(5), 20))
+    rng = random.Random(6)
+    mixed = "".join(rng.choice("abcdefXYZ0123456789+/") for _ in range(1_000_000))
+    for text in (mixed, "(" * 300_000 + "1" * 9, "a@" * 200_000, "0" * 500_000 + ".1.1.1", "1." * 200_000):
+        began = time.process_time()
+        pii.pii_spans(text, model)
+        assert time.process_time() - began < 10
+
+
+def segmentations(n, segs):
+    """All segmentations of n tokens: lists of (first, end, type)."""
+    if n == 0:
+        yield []
+        return
+    for rest in segmentations(n - 1, segs):
+        yield rest + [(n - 1, n, 0)]
+    for a, b, key in segs:
+        if b == n:
+            for y, may in enumerate(semicrf.allowed(key)):
+                if may:
+                    for rest in segmentations(a, segs):
+                        yield rest + [(a, b, y)]
+
+
+def test_random_field_against_enumeration():
+    rng = np.random.default_rng(4)
+    model = semicrf.train(pii.made_examples(rng, 6), passes=1)
+    model.moves = rng.normal(size=model.moves.shape)
+    for text in ("call 319-555-1234 x", "10.0.0.1 4111", "a@b.com or c@d.org", "4111 1111 1111 1111"):
+        tokens = semicrf.tokenise(text)
+        segs = semicrf.segments(tokens)
+        keys = {(a, b): key for a, b, key in segs}
+
+        def total(parts):
+            out, prev = 0.0, 0
+            for a, b, y in parts:
+                out += model.moves[prev, y] + (model.score(keys[a, b])[y] if y else model.plain(tokens[a]))
+                prev = y
+            return out
+
+        every = [(total(p), p) for p in segmentations(len(tokens), segs)]
+        best, parts = max(every, key=lambda x: x[0])
+        model._scores.clear()
+        assert [(a, b, y) for a, b, y, _ in model.decode(tokens)] == [p for p in parts if p[2]]
+        gold = {(a, b): y for a, b, y in every[len(every) // 2][1] if y}
+        truth = next(t for t, p in every if {(a, b): y for a, b, y in p if y} == gold)
+        top = max(t for t, _ in every)
+        log_z = top + math.log(sum(math.exp(t - top) for t, _ in every))
+        value, slope, move_slope = semicrf.gradient(model, tokens, segs, gold)
+        assert value == pytest.approx(truth - log_z)
+        step = 1e-5
+        for f in list(slope)[:6]:
+            w = model.weights.setdefault(f, np.zeros(len(semicrf.TYPES)))
+            for y in range(len(semicrf.TYPES)):
+                w[y] += step
+                up = semicrf.gradient(model, tokens, segs, gold)[0]
+                w[y] -= 2 * step
+                down = semicrf.gradient(model, tokens, segs, gold)[0]
+                w[y] += step
+                assert (up - down) / (2 * step) == pytest.approx(slope[f][y], abs=1e-4)
+        model.moves[0, 4] += step
+        up = semicrf.gradient(model, tokens, segs, gold)[0]
+        model.moves[0, 4] -= step
+        assert (up - value) / step == pytest.approx(move_slope[0, 4], abs=1e-3)
 
 
 def test_mixing(spark, docs):
@@ -174,7 +251,6 @@ def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     rows = packing.pack(docs, capacity=512).collect()
     by_id, bins = {}, {}
     for r in rows:
@@ -213,7 +289,6 @@ def test_unicode_words_encode_alike():
 
     path = public_tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     words = packing.WordEncoder(path, most_words=50)
     for text in ("It's a dog's life. Don't!", "Ünïcode Σίσυφος, <|endoftext|> éa.", "a b 12.5, x'. 'quoted.'   ok?!", ""):
         want = t.encode(text, add_special_tokens=False).ids
@@ -226,8 +301,9 @@ def test_fingerprints(spark, docs):
     df = spark.createDataFrame([(long, long), (long, None), (None, ""), ("one two", "ONE\ttwo")], "a string, b string")
     got = [r[0] for r in df.select(f.likeness(f.sketch(F.col("a")), f.sketch(F.col("b")))).collect()]
     assert got == [1.0, 0.0, 1.0, 1.0]
+    f_hashes = lambda text: spark.createDataFrame([(text,)], "t string").select(f.sketch(F.col("t"))).first()[0].hashes
     merged = spark.createDataFrame([("p q r s t u v", "u v w x y z")], "a string, b string").select(f.merge(f.sketch(F.col("a")), f.sketch(F.col("b")))).first()[0]
-    assert len(merged) == 5
+    assert set(merged.hashes) == set(f_hashes("p q r s t u v")) | set(f_hashes("u v w x y z"))
     rows = f.with_next(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", ["text"], rows_per_bucket=7).collect()
     order = sorted(((r.doc_id is not None, r.doc_id or 0), r.text or "") for r in docs.collect())
     assert sorted(((r.doc_id is not None, r.doc_id or 0), r.text, r.next_text) for r in rows) == sorted((k, t, order[(i + 1) % len(order)][1]) for i, (k, t) in enumerate(order))
@@ -258,7 +334,7 @@ def test_neighbours(spark):
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(1000, None), (1001, [0.0] * 16), (1002, [float("nan")] * 16), (1003, [None] * 16)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumn("rank", F.lit(1))
     got = {}
-    for r in neighbours.search(df, F.col("vec_id") % 20 == 0, block_rows=64).orderBy("query_id", "rank").collect():
+    for r in neighbours.search(df, F.col("vec_id") % 20 == 0, block_rows=64, shortlist=20).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     hit = 0
     for q, found in got.items():
@@ -299,6 +375,42 @@ def test_quality(spark):
     assert quality.fit(docs, labels.limit(0)).score("any") == pytest.approx(0.5)
 
 
+def test_linear_model_parts():
+    rng = np.random.default_rng(2)
+    rows = [np.flatnonzero(rng.random(12) < 0.4) for _ in range(80)]
+    y = np.array([1.0 if (len(r) % 3) or 2 in r else -1.0 for r in rows])
+    good = np.array([sum(k in r for r, v in zip(rows, y) if v > 0) for k in range(12)], float)
+    bad = np.array([sum(k in r for r, v in zip(rows, y) if v < 0) for k in range(12)], float)
+    ratios = quality.log_count_ratios(good, bad, (good.sum(), bad.sum()))
+    for k in range(12):
+        assert ratios[k] == pytest.approx(math.log((good[k] + 1) / (good.sum() + quality.WIDTH) / ((bad[k] + 1) / (bad.sum() + quality.WIDTH))), abs=1e-5)
+    w, bias = quality.dual_coordinate_descent(rows, y, ratios, passes=400, tolerance=1e-9)
+    x = np.zeros((len(rows), 13))
+    for i, r in enumerate(rows):
+        x[i, r] = ratios[r] / (np.linalg.norm(ratios[r]) or 1.0)
+        x[i, 12] = 1.0
+    cost = lambda v: 0.5 * v @ v + np.maximum(0, 1 - y * (x @ v)).sum()
+    v, least = np.zeros(13), np.inf
+    for n in range(1, 40_000):  # plain subgradient descent on the same loss
+        v = v - (v - x.T @ (y * (y * (x @ v) < 1))) / (n + 10)
+        least = min(least, cost(v)) if n % 50 == 0 else least
+    assert cost(np.append(w, bias)) <= least * 1.01 + 1e-6
+
+
+def test_toxic_features():
+    lexicon = {"be:scou": 2.0, "foul": 3.0}
+    dense = toxicity.Dense(lexicon)
+    text = "You are a scoundrel, FOUL foul you!! b*d soooo 12"
+    words = text.split()
+    got = dict(zip(toxicity.NAMES, dense.of(text)))
+    weights = [0, 0, 0, 2.0, 3.0, 3.0, 0, 0, 0, 0]
+    hits, you = [n for n, w in enumerate(weights) if w], [0, 6]
+    near = sum(math.exp(-min(abs(h - u) for u in you) / toxicity.NEAR) for h in hits) / len(words)
+    want = {"hit_rate": 3 / 10, "weight_rate": 0.8, "top": 3.0, "second": 2.0, "distinct": 2.0, "hits": 3.0, "near_you": near, "you_rate": 0.2, "capitals": 5 / len(text), "loud_words": 0.1, "punctuation": 4 / len(text), "marks": 2 / len(text), "digits": 2 / len(text), "masked": 0.1, "stretched": 0.1, "length": math.log1p(10)}
+    assert got == pytest.approx(want)
+    assert dense.of(None) == dense.of(" ") == [0.0] * len(toxicity.NAMES)
+
+
 def test_toxicity(spark):
     docs, labels = _labelled(spark)
     rows = toxicity.fit(docs, labels).score(docs).collect()

@@ -9,6 +9,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,8 +18,12 @@ from pyspark.sql import functions as F
 from playerday.llm.common import materialise, table
 
 PIECES = "array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint>>"
-#: Punctuation that never joins a letter before it into one token, so that "word." is "word" and ".".
-_END = re.compile(rb"(?<=[a-z])([.,;:!?])(?=[\x20\x09-\x0D]|\Z)")
+# The tokenizer's special tokens, found in a text as it stands, before it is lower-cased.
+SPECIAL = ("<|startoftext|>", "<|endoftext|>")
+_LETTERS = rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"  # ASCII and Latin-1 letters, which the tokenizer keeps as one run
+#: A word of letters, and one with a tail of ASCII symbols, which never joins the letters before it into one token.
+_PLAIN = re.compile(_LETTERS)
+_TAILED = re.compile(rb"(.*(?:[a-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([!-/:-@\[-`{-~]+)", re.S)
 
 
 class WordEncoder:
@@ -26,33 +31,71 @@ class WordEncoder:
 
     The tokenizer drops white space, lower-cases and never joins across white
     space, so a text's ids are its words' ids in turn. Each word new to the
-    cache goes through the tokenizer itself; the cache is emptied when full.
+    cache goes through the tokenizer itself; the cache is emptied when full. A
+    text that holds a special token goes through the tokenizer as a whole.
     """
 
     def __init__(self, path: str, most_words: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.whole, self.words = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.words.encode_special_tokens = True  # a lower-cased word that looks like one is ordinary text
         self.most_words, self.cache = most_words, {}
-
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [struct.pack(f"<{len(i)}I", *i) for i in (e.ids for e in found)]
+        self.ends = np.zeros(self.words.get_vocab_size(), bool)
+        for token, n in self.words.get_vocab().items():
+            self.ends[n] = token.endswith("</w>")
+
+    def _encode(self, words: list[bytes]) -> None:
+        """Put words into the cache."""
+        for at in range(0, len(words), 4096):
+            block = words[at : at + 4096]
+            found = self.words.encode_batch_fast([w.decode() for w in block], add_special_tokens=False)
+            self.cache.update((w, struct.pack(f"<{len(i)}I", *i)) for w, i in zip(block, (e.ids for e in found)))
+
+    def _encode_runs(self, words: list[bytes]) -> None:
+        """Put words of letters alone into the cache: many at once, parted again at the tokens that end a word."""
+        for at in range(0, len(words), 4096):
+            block = words[at : at + 4096]
+            ids = np.array(self.words.encode_batch_fast([b" ".join(block).decode()], add_special_tokens=False)[0].ids, "<u4")
+            cuts = [0, *(np.flatnonzero(self.ends[ids]) + 1).tolist()]
+            if len(cuts) != len(block) + 1 or cuts[-1] != len(ids):
+                self._encode(block)
+                continue
+            data = ids.tobytes()
+            self.cache.update((w, data[4 * a : 4 * b]) for w, a, b in zip(block, cuts, cuts[1:]))
+
+    def _learn(self, new: set[bytes]) -> None:
+        cache, runs, others, tailed = self.cache, set(), set(), []
+        for w in new:
+            if _PLAIN.fullmatch(w):
+                runs.add(w)
+            elif m := _TAILED.fullmatch(w):
+                stem, tail = m.groups()
+                tailed.append((w, stem, tail))
+                for part in (stem, tail):
+                    if part not in cache:
+                        (runs if _PLAIN.fullmatch(part) else others).add(part)
+            else:
+                others.add(w)
+        self._encode_runs(list(runs))
+        self._encode(list(others))
+        cache.update((w, cache[stem] + cache[tail]) for w, stem, tail in tailed)
 
     def ids(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        cache = self.cache
-        words = _END.sub(rb" \1", (text or "").encode("utf-8", "replace").lower()).split()
-        new = list(set(words).difference(cache))
+        text = text or ""
+        if "<|" in text and any(s in text for s in SPECIAL):
+            found = self.whole.encode(text.encode("utf-8", "replace").decode(), add_special_tokens=False).ids
+            return struct.pack(f"<{len(found)}I", *found)
+        words = text.encode("utf-8", "replace").lower().split()
+        new = set(words).difference(self.cache)
         if new:
-            if len(cache) + len(new) > self.most_words:
-                cache.clear()
-                new = list(set(words))
-            for at in range(0, len(new), 4096):
-                cache.update(zip(new[at : at + 4096], self._encode(new[at : at + 4096])))
-        return b"".join(map(cache.__getitem__, words))
+            if len(self.cache) + len(new) > self.most_words:
+                self.cache.clear()
+                new = set(words)
+            self._learn(new)
+        return b"".join(map(self.cache.__getitem__, words))
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -171,8 +214,10 @@ def pack(docs: DataFrame, capacity: int = 4096, tokenizer: str | None = None, sa
     pieces of one length are ranked in salted parts, so that a length that a
     third of all pieces share does not meet in one task.
 
-    A null or empty text is the end id alone. Null and repeated ids are fine:
-    every row is packed. An empty table gives no rows.
+    A null or empty text is the end id alone. Null and repeated ids and whole
+    repeated rows are fine: every row is packed. A very long text is encoded
+    whole and cut, in one task. Other columns of docs are left out, whatever
+    their names. An empty table gives no rows.
     """
     spark = docs.sparkSession
     tokenizer = tokenizer or public_tokenizers.path("word_bpe_49k.json")

@@ -108,9 +108,10 @@ def chosen_grams(sample: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     odds = F.log((F.col("good") + 0.5) / (docs["good"] + 1.0)) - F.log((F.col("bad") + 0.5) / (docs["bad"] + 1.0))
     surety = F.abs(odds) / F.sqrt(1 / (F.col("good") + 0.5) + 1 / (F.col("bad") + 0.5))
     totals = counts.agg(F.sum("good"), F.sum("bad")).first()
-    top = counts.withColumn("surety", surety).orderBy(F.desc("surety"), "gram").limit(most).select("gram", "good", "bad").collect()
-    top = np.array(sorted(top), np.float64).reshape(-1, 3)
-    return top[:, 0].astype(np.int64), log_count_ratios(top[:, 1], top[:, 2], tuple(map(float, totals)))
+    top = counts.withColumn("surety", surety).orderBy(F.desc("surety"), "gram").limit(most).select("gram", "good", "bad").toArrow()
+    gram, good, bad = (c.to_numpy() for c in top.columns)
+    order = np.argsort(gram)
+    return gram[order].astype(np.int32), log_count_ratios(good[order], bad[order], tuple(map(float, totals)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 6000, most_grams: int = 1 << 17) -> QualityModel:
@@ -138,10 +139,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
     def bits(found: pd.Series) -> pd.Series:
         return pd.Series([zlib.compress(np.packbits(np.isin(chosen, x)).tobytes(), 1) for x in found], dtype="object")
 
-    rows = sample.select(bits("grams").alias("bits"), "label", "fold", F.xxhash64("grams").alias("order")).orderBy("order", "label").collect()
-    found = [np.flatnonzero(np.unpackbits(np.frombuffer(zlib.decompress(r["bits"]), np.uint8))) for r in rows]
-    y = np.array([1.0 if r["label"] else -1.0 for r in rows])
-    learn = np.array([r["fold"] != 1 for r in rows], bool)
+    rows = sample.select(bits("grams").alias("bits"), "label", "fold", F.xxhash64("grams").alias("order")).orderBy("order", "label").toArrow()
+    found = [np.flatnonzero(np.unpackbits(np.frombuffer(zlib.decompress(b.as_py()), np.uint8))).astype(np.int32) for b in rows.column("bits")]
+    y = np.where(rows.column("label").to_numpy() > 0, 1.0, -1.0)
+    learn = rows.column("fold").to_numpy() != 1
     w, bias = dual_coordinate_descent([f for f, k in zip(found, learn) if k], y[learn], ratios)
     weights, wide = np.zeros(WIDTH, np.float32), np.zeros(WIDTH, np.float32)
     weights[chosen], wide[chosen] = w * ratios, ratios

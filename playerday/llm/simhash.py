@@ -183,19 +183,19 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     texts are copies of each other.
     """
     held = docs.withColumns({"__shingles": shingles(F.col(text_col)), "__row": F.monotonically_increasing_id()})
-    held = held.withColumns({"__n": F.size("__shingles"), "__part": F.filter("__shingles", in_part), "__set": F.xxhash64("__shingles")}).drop("__shingles")
+    held = held.withColumns({"__n": F.size("__shingles"), "__part": F.size(F.filter("__shingles", in_part)), "__set": F.xxhash64("__shingles")}).drop("__shingles")
     held = materialise(held, "near-docs")
     first = F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).cast("bigint").alias("doc_id"), F.col("__row").alias("row")))
-    sets = held.groupBy(F.col("__set").alias("node")).agg(F.max("__n").alias("n"), F.max(F.size("__part")).alias("part"), first.alias("first"), F.count("*").alias("copies"))
+    sets = held.groupBy(F.col("__set").alias("node")).agg(F.max("__n").alias("n"), F.max("__part").alias("part"), first.alias("first"), F.count("*").alias("copies"))
     sets = materialise(sets, "near-nodes")
     # a set with a thousandth of all rows or more is compared by its first row alone: at most 1,000 sets, which are broadcast
     total = sets.agg(F.sum("copies")).first()[0] or 0
     hot = sets.where((F.col("copies") > 1) & (F.col("copies") * 1000 >= total)).select(F.col("node").alias("__set"), F.col("first.row").alias("__only"))
     once = held.join(F.broadcast(hot), "__set", "left").where(F.col("__only").isNull() | (F.col("__only") == F.col("__row")))
-    classes = near_copy_classes(once.select(F.col("__set").alias("node"), F.col(text_col).alias("text"), F.col("__part").alias("part")), sets)
+    classes = near_copy_classes(once.select(F.col("__set").alias("node"), F.col(text_col).alias("text")), sets)
     named = sets.join(classes, "node", "left").groupBy(F.coalesce("class", "node").alias("class"))
     kept = named.agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))
-    return held.drop("__part").join(kept, "__row", "left_semi").select(*docs.columns)
+    return held.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def hex_of(fp: Column) -> Column:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from playerday.operators.review import require_valid
-from playerday.sources.schemas import NUMERIC, PLAYER_DAY
+from playerday.sources.schemas import MONEY, NUMERIC, PLAYER_DAY
 
 
 def validate_player_day(df: DataFrame) -> DataFrame:
@@ -19,7 +17,7 @@ def validate_player_day(df: DataFrame) -> DataFrame:
         return spark.createDataFrame([(f"missing column {c}", 1) for c in missing], "check string, violations bigint")
     text = lambda c: F.col(c).cast("string")
     bad = {"invalid ActivityDate": F.count_if(F.expr("try_cast(CAST(ActivityDate AS STRING) AS DATE)").isNull()), "invalid UserID": F.count_if(text("UserID").try_cast("bigint").isNull())}
-    bad |= {f"invalid {c}": F.count_if(text(c).try_cast("double").isNull()) for c in NUMERIC}
+    bad |= {f"invalid {c}": F.count_if(F.coalesce(F.isnan(text(c).try_cast("double")), F.lit(True)) | text(c).try_cast("double").isNull()) for c in NUMERIC}
     row = df.agg(F.when(F.count("*") == 0, 1).otherwise(0).cast("bigint").alias("no rows"), *[v.alias(k) for k, v in bad.items()])
     twice = df.groupBy("UserID", "ActivityDate").count().agg(F.count_if(F.col("count") > 1).alias("repeated player-day"))
     row = row.join(twice, how="cross")
@@ -29,7 +27,8 @@ def validate_player_day(df: DataFrame) -> DataFrame:
 def load_player_day(df: DataFrame) -> DataFrame:
     """A read player-day table, checked, typed and trimmed; raises on any violation."""
     require_valid(validate_player_day(df))
-    typed = {c: F.col(c).cast("double") for c in NUMERIC} | {"UserID": F.col("UserID").cast("bigint"), "ActivityDate": F.col("ActivityDate").cast("date"), "Gender": F.trim("Gender"), "Country": F.trim("Country")}
+    money = [c for c in NUMERIC if c.endswith(("Wagers", "Winnings", "Amount"))]
+    typed = {c: F.col(c).cast(MONEY if c in money else "bigint") for c in NUMERIC} | {"UserID": F.col("UserID").cast("bigint"), "ActivityDate": F.col("ActivityDate").cast("date"), "Gender": F.trim("Gender"), "Country": F.trim("Country")}
     return df.withColumns(typed).select(*PLAYER_DAY)
 
 
@@ -45,13 +44,14 @@ def profile(df: DataFrame, name: str, key: str, distinct: list[str], dates: list
 
 def summarize(df: DataFrame) -> DataFrame:
     """A row per column: type, min, max, approximate distinct count, mean, deviation, quartiles, count, null share."""
-    one = []
+    each = []
     for c, t in df.dtypes:
         numeric = t in ("int", "bigint", "double", "float", "smallint") or t.startswith("decimal")
         x = F.col(c).cast("double") if numeric else F.lit(None).cast("double")
         q = F.percentile_approx(x, [0.25, 0.5, 0.75], 10000)
-        one.append(df.agg(F.lit(c).alias("column_name"), F.lit(t).alias("column_type"), F.min(c).cast("string").alias("min"), F.max(c).cast("string").alias("max"), F.approx_count_distinct(c).alias("approx_unique"), F.avg(x).alias("avg"), F.stddev_samp(x).alias("std"), q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"), F.count("*").alias("count"), F.try_divide(100.0 * F.count_if(F.col(c).isNull()), F.count("*")).alias("null_percentage")))
-    return reduce(DataFrame.unionByName, one)
+        facts = {"column_name": F.lit(c), "column_type": F.lit(t), "min": F.min(c).cast("string"), "max": F.max(c).cast("string"), "approx_unique": F.approx_count_distinct(c), "avg": F.avg(x), "std": F.stddev_samp(x), "q25": q[0], "q50": q[1], "q75": q[2], "count": F.count("*"), "null_percentage": F.try_divide(100.0 * F.count_if(F.col(c).isNull()), F.count("*"))}
+        each.append(F.struct(*[v.alias(k) for k, v in facts.items()]))
+    return df.agg(F.array(*each).alias("columns")).select(F.inline("columns"))
 
 
 def frequencies(df: DataFrame, column: str, amount: str | None = None) -> DataFrame:

@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from playerday.functions.scalars import age_band, rank_of, safe_divide
-from playerday.functions.stats import avg_ranks
+from playerday.functions.stats import avg_ranks, category_mix, mix_text
 from playerday.operators.activity import by_game_type
 from playerday.operators.features import net_gaming
 from playerday.operators.value import RFM_LABEL
-from playerday.sources.schemas import MIN_LEGAL_AGE, RISK_LABELS, VALUE_LABELS, RiskThresholds
+from playerday.sources.schemas import MIN_LEGAL_AGE, PLAYER_SEGMENTS, RISK_LABELS, VALUE_LABELS, RiskThresholds
 
 # The action of each cell of the value by risk matrix.
 ACTIONS = {
@@ -34,7 +34,7 @@ def d(c: str) -> Column:
 
 
 def segment_profile(df: DataFrame, segment: str) -> DataFrame:
-    """Medians, totals, means and shares of the players of each segment."""
+    """Medians, totals, means, shares and category mixes (as texts) of the players of each segment."""
     med = lambda c: F.median(d(c))
     out = df.groupBy(F.col(segment).alias("Segment")).agg(
         F.count("*").alias("Players"), med("Age").alias("MedianRecordedAge"), F.median(F.when(F.col("Age") >= MIN_LEGAL_AGE, d("Age"))).alias("MedianAge19Plus"), F.sum("AgeEligibilityFlag").alias("Under19Players"),
@@ -43,9 +43,22 @@ def segment_profile(df: DataFrame, segment: str) -> DataFrame:
     )
     whole = Window.partitionBy()  # a row per segment
     share = lambda c: F.try_divide(d(c), F.sum(d(c)).over(whole))
+    for column, top in (("AgeBand", None), ("Gender", None), ("Country", 3)):
+        texts = mix_text(category_mix(df, segment, column, top)).select(F.col("segment").alias("Segment"), F.col("text").alias(f"{column}Mix"))
+        out = out.join(F.broadcast(texts), "Segment", "left")  # a row per segment
     return out.withColumns({"PlayerShare": share("Players"), "Under19Share": d("Under19Players") / d("Players"), "NetGamingShare": share("TotalNetGaming"), "WagerShare": share("TotalWagerAmount")})
 
 
+def order_segments(df: DataFrame, value: str = "Value Segment") -> DataFrame:
+    """Highest value first, then highest risk, then most net gaming."""
+    return df.orderBy(rank_of(value, VALUE_LABELS).desc(), rank_of("Risk Segment", RISK_LABELS).desc(), F.desc("NetGaming"), "UserID")
+
+
+def player_segments(df: DataFrame) -> DataFrame:
+    """The delivered table: 60 columns in their order, sorted."""
+    return order_segments(df).select(*PLAYER_SEGMENTS)
+
+
 def value_risk_matrix(df: DataFrame, value: str = RFM_LABEL, t: RiskThresholds = RiskThresholds()) -> DataFrame:
     """All twelve cells, empty ones with zeros, highest value and risk first."""
     spark = df.sparkSession
@@ -123,7 +136,11 @@ def game_mix_by_year(player_day: DataFrame) -> DataFrame:
 
 def contribution_by(player_day: DataFrame, dimension: str) -> DataFrame:
     """Wagers and net gaming of each value of a dimension (Country, Gender or AgeBand) and their shares of the total."""
-    df = net_gaming(player_day).withColumn("AgeBand", age_band("Age"))
+    return contribution(net_gaming(player_day).withColumn("AgeBand", age_band("Age")), dimension)
+
+
+def contribution(df: DataFrame, dimension: str) -> DataFrame:
+    """The same for rows that have WagerAmount and NetGaming, such as players by segment."""
     df = df.groupBy(F.coalesce(dimension, F.lit("Unknown")).alias("Value")).agg(F.sum("WagerAmount").cast("double").alias("Wagers"), F.sum("NetGaming").cast("double").alias("NetGaming"))
     whole = Window.partitionBy()
     return df.select(F.lit(dimension).alias("Dimension"), "*", F.try_divide("Wagers", F.sum("Wagers").over(whole)).alias("WagerShare"), F.try_divide("NetGaming", F.sum("NetGaming").over(whole)).alias("NetGamingShare"))

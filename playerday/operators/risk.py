@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from playerday.functions.stats import exact_quantiles
 from playerday.sources.schemas import RiskThresholds
 
 # Points of each rule.
@@ -20,23 +21,27 @@ def _flag(cond: Column) -> Column:
 def risk_segments(features: DataFrame, t: RiskThresholds = RiskThresholds()) -> DataFrame:
     """features with ten flags, both scores, Risk Segment and Risk Driver.
 
-    The three quantile cuts are exact and join as one row; all else is projection.
+    The three quantile cuts are exact, from counts of values in buckets, and no
+    task holds all values; all else is projection. features is read for each
+    cut, so it should be a written table.
     """
     d = lambda c: F.col(c).cast("double")
-    cuts = features.agg(F.percentile(d("WithdrawalAmount"), t.withdrawal_quantile).alias("__w"), F.percentile("NetLossPerActiveDay", t.velocity_quantile).alias("__v"), F.percentile(d("NetGaming"), t.loss_quantile).alias("__n"))
-    df = features.join(F.broadcast(cuts), how="cross")
+    values = features.select(d("WithdrawalAmount").alias("w"), F.col("NetLossPerActiveDay").alias("v"), d("NetGaming").alias("n"))
+    cut = {c: exact_quantiles(values, c, [q])[0] for c, q in (("w", t.withdrawal_quantile), ("v", t.velocity_quantile), ("n", t.loss_quantile))}
+    at_least = lambda x, c: x >= F.lit(cut[c]).cast("double")
+    df = features
     df = df.withColumns({
         "AML_PassThrough": _flag((d("DepositAmount") >= t.passthrough_deposit) & (F.col("Playthrough") < t.passthrough_playthrough) & (F.col("WithdrawalToDeposit") >= t.passthrough_ratio) & (F.col("WithdrawalAmount") > 0)),
         "AML_WithdrawalNoDeposit": _flag((F.col("DepositAmount") == 0) & (F.col("WithdrawalAmount") > 0)),
         "AML_WithdrawalExceedsDeposit": _flag((d("DepositAmount") >= t.ratio_deposit) & (F.col("WithdrawalToDeposit") >= t.ratio)),
         "AML_CardTesting": _flag((F.col("DepositFailedCount") >= t.card_fails) & (F.col("DepositFailedRate") >= t.card_rate)),
-        "AML_LargeWithdrawalVolume": _flag(d("WithdrawalAmount") >= F.col("__w")),
+        "AML_LargeWithdrawalVolume": _flag(at_least(d("WithdrawalAmount"), "w")),
         "RG_LossChasing": _flag(F.col("LossChasingDays") >= t.chasing_days),
         "RG_DepositEscalation": _flag((F.coalesce(F.col("DepositEscalationRatio") >= t.escalation_ratio, F.lit(False)) | (F.col("RecentDepositWithoutEarlierBaseline") == 1)) & (F.col("TenureDays") >= t.escalation_tenure)),
-        "RG_HighLossVelocity": _flag(F.col("NetLossPerActiveDay") >= F.col("__v")),
+        "RG_HighLossVelocity": _flag(at_least(F.col("NetLossPerActiveDay"), "v")),
         "RG_SustainedIntensity": _flag(F.col("MaxConsecutiveActiveDays") >= t.streak_days),
-        "RG_HighAbsoluteLoss": _flag(d("NetGaming") >= F.col("__n")),
-    }).drop("__w", "__v", "__n")
+        "RG_HighAbsoluteLoss": _flag(at_least(d("NetGaming"), "n")),
+    })
     pattern = sum(F.col(c) * p for c, p in AML_POINTS.items())
     df = df.withColumns({"AMLRiskScore": pattern + F.col("AML_LargeWithdrawalVolume") * (pattern > 0).cast("int"), "RGRiskScore": sum(F.col(c) * p for c, p in RG_POINTS.items())})
     aml, rg = F.col("AMLRiskScore"), F.col("RGRiskScore")

@@ -101,12 +101,15 @@ def silhouette(df: DataFrame, columns: list[str] = LRFM, key: str = "UserID", cl
 
 def silhouette_sample(scaled: DataFrame, config: KMeansConfig = KMeansConfig()) -> DataFrame:
     """The rows with the smallest id hashes: the same sample on every run."""
-    return scaled.orderBy(F.xxhash64("UserID"), "UserID").limit(config.silhouette_sample)
+    return scaled.orderBy(F.md5(F.col("UserID").cast("string").cast("binary")), "UserID").limit(config.silhouette_sample)
 
 
-def kmeans_diagnostics(scaled: DataFrame, config: KMeansConfig = KMeansConfig(), n_init: int = 2) -> DataFrame:
-    """(K, Inertia, MeanSilhouette, SilhouetteSampleSize, Selected) for each K; the silhouette's sample is clustered on its own."""
-    spark = scaled.sparkSession
+def kmeans_diagnostics(scaled: DataFrame, config: KMeansConfig = KMeansConfig()) -> DataFrame:
+    """(K, Inertia, MeanSilhouette, SilhouetteSampleSize, Selected) for each K, and a row of commentary without K.
+
+    The silhouette's sample is clustered on its own.
+    """
+    spark, n_init = scaled.sparkSession, config.diagnostic_starts
     sample = silhouette_sample(scaled, config).persist()
     size, rows = sample.count(), []
     for k in config.k_range:
@@ -114,13 +117,15 @@ def kmeans_diagnostics(scaled: DataFrame, config: KMeansConfig = KMeansConfig(),
         width = silhouette(kmeans_assign(sample, kmeans_fit(sample, config, k, n_init))).first()[0]
         rows.append((k, round(cost, 2), round(width, 4), size, "Yes" if k == config.k else ""))
     sample.unpersist()
-    return spark.createDataFrame(rows, "K int, Inertia double, MeanSilhouette double, SilhouetteSampleSize bigint, Selected string")
+    found = spark.createDataFrame(rows, "K int, Inertia double, MeanSilhouette double, SilhouetteSampleSize bigint, Selected string")
+    note = diagnostics_note(found, config).select(F.format_string(f"K={config.k} is selected; the silhouette is best at K=%d with %.4f, and all values lie within %.3f of each other", F.col("BestK.K"), "BestSilhouette", "Spread"))
+    return found.union(note.select(*[F.lit(None)] * 4, "*"))
 
 
 def diagnostics_note(diagnostics: DataFrame, config: KMeansConfig = KMeansConfig()) -> DataFrame:
     """(BestK, BestSilhouette, Spread, SelectedIsBest) of a diagnostics table."""
-    best = F.max_by("K", F.struct("MeanSilhouette", -F.col("K")))
-    return diagnostics.agg(best.alias("BestK"), F.max("MeanSilhouette").alias("BestSilhouette"), F.round(F.max("MeanSilhouette") - F.min("MeanSilhouette"), 3).alias("Spread"), (best == config.k).alias("SelectedIsBest"))
+    best = F.max_by(F.struct("K"), F.struct("MeanSilhouette", -F.col("K")))
+    return diagnostics.agg(best.alias("BestK"), F.max("MeanSilhouette").alias("BestSilhouette"), F.round(F.max("MeanSilhouette") - F.min("MeanSilhouette"), 3).alias("Spread"), (best["K"] == config.k).alias("SelectedIsBest"))
 
 
 def archetypes(centroids: DataFrame) -> DataFrame:

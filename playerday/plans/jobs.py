@@ -21,13 +21,12 @@ def build_player_day(spark: SparkSession, source: str, out: str) -> None:
 def build_segments(spark: SparkSession, source: str, out: str, config: KMeansConfig = KMeansConfig()) -> None:
     """A player-day table to segments, profiles, matrix, comparison and notes."""
     days = quality.load_player_day(files.read_player_day(spark, source))
-    risk.risk_segments(features.player_features(days)).write.mode("overwrite").parquet(f"{out}/Player_Features")
-    players = spark.read.parquet(f"{out}/Player_Features")
-    clustered, clusters = value.kmeans_segments(value.rfm_scores(players), config)
-    clustered.write.mode("overwrite").parquet(f"{out}/Player_Segments")
-    df = spark.read.parquet(f"{out}/Player_Segments")
+    players = files.written(features.player_features(days), "features")
+    scored = files.written(value.rfm_scores(files.written(risk.risk_segments(players), "risk")), "scores")
+    clustered, clusters = value.kmeans_segments(scored, config)
+    df = files.written(clustered, "clusters")
     tables: dict[str, DataFrame] = {
-        "Method_Summary": reports.method_summary(df), "Value_Profile": reports.segment_profile(df, "Value Segment"), "Risk_Profile": reports.segment_profile(df, "Risk Segment"), "Archetype_Profile": reports.segment_profile(df, "Behaviour Archetype"),
+        "Player_Segments": reports.player_segments(df), "Method_Summary": reports.method_summary(df), "Value_Profile": reports.segment_profile(df, "Value Segment"), "Risk_Profile": reports.segment_profile(df, "Risk Segment"), "Archetype_Profile": reports.segment_profile(df, "Behaviour Archetype"),
         "Value_Risk_Matrix": reports.value_risk_matrix(df, "Value Segment"), "Data_Quality_Notes": reports.data_quality_notes(days, df), "Risk_Flag_Summary": risk.risk_flag_summary(df), "Cluster_Profile": clusters,
         "KMeans_Diagnostics": value.kmeans_diagnostics(value.standardize(value.lrfm_features(df)), config), "Method_Crosstab": reports.method_crosstab(df),
     }

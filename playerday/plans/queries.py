@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from playerday.functions.stats import category_mix
 from playerday.operators import activity, features, quality, reports, review, risk, value
 from playerday.plans.oracle import CENTROIDS, PREFIX, cast, distance, r, rs
-from playerday.sources.schemas import PLAYER_DAY, RiskThresholds
+from playerday.sources.files import written
+from playerday.sources.schemas import NUMERIC, PLAYER_DAY, REVIEW, SOURCES, RiskThresholds
 from playerday.sources.testdata import load_testdata
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,17 +22,13 @@ ORACLES: dict[str, str] = {}
 LOWERED = RiskThresholds(1000.0, 0.50, 0.50, 500.0, 1.20, 3, 0.30, 0.90, 3, 1.5, 90, 0.80, 0.80, 5)
 
 
-def plain(df: DataFrame, digits: int = 4) -> DataFrame:
-    """Decimals and doubles as doubles rounded to so many digits, other integers as bigint.
-
-    Engines differ at ties: decimal or binary rounding, order of summation. A
-    value within rounding error below a tie therefore counts as the tie here.
-    """
+def plain(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Decimals and doubles as doubles rounded to so many digits (money has five), other integers as bigint."""
     out = []
     for c, t in df.dtypes:
         x = F.col(f"`{c}`")
         if t.startswith("decimal") or t in ("double", "float"):
-            x = F.round(x.cast("double") * 1.000000000000001 + 1e-10, digits)
+            x = F.round(x.cast("double"), digits)
         elif t in ("int", "smallint", "tinyint"):
             x = x.cast("bigint")
         out.append(x.alias(c))
@@ -51,24 +49,52 @@ def src(spark, sf):
     return load_testdata(spark, sf)
 
 
+_shared: dict[tuple, object] = {}
+
+
+def shared(build: Callable) -> Callable:
+    """build(spark, sf), whose frames are written once for each session and folder and read by every query that uses them."""
+
+    def get(spark, sf):
+        key = (spark.sparkContext.applicationId, sf, build.__name__)
+        if key not in _shared:
+            made = build(spark, sf)
+            frames = [written(df, build.__name__) for df in (made if isinstance(made, tuple) else (made,))]
+            _shared[key] = tuple(frames) if isinstance(made, tuple) else frames[0]
+        return _shared[key]
+
+    return get
+
+
+@shared
 def day(spark, sf):
     return activity.player_day(src(spark, sf))
 
 
+@shared
 def feats(spark, sf):
     return features.player_features(day(spark, sf))
 
 
+@shared
 def risks(spark, sf):
     return risk.risk_segments(feats(spark, sf))
 
 
+@shared
 def segs(spark, sf):
-    return value.rfm_scores(risks(spark, sf).persist()).persist()
+    return value.rfm_scores(risks(spark, sf))
 
 
+@shared
+def clusters(spark, sf):
+    """Players with cluster and value segment, and the profile of the clusters."""
+    return value.kmeans_segments(segs(spark, sf))
+
+
+@shared
 def scaled(spark, sf):
-    return value.standardize(value.lrfm_features(feats(spark, sf)).persist())
+    return value.standardize(value.lrfm_features(feats(spark, sf)))
 
 
 MONEY = ("DepositAmount", "DepositFailedAmount", "WithdrawalAmount", "WithdrawalFailedAmount")
@@ -111,11 +137,20 @@ query("inertia", f"SELECT {r('sum(list_min(l))', 'Inertia', 3)} FROM (SELECT {_D
 query("top_withdrawers", "SELECT l.ActivityDate, UserID, l.Gender, l.Age::BIGINT AS Age, l.Country, " + rs("WagerAmount", "WinningAmount", "DepositAmount", "WithdrawalAmount") + " FROM (SELECT UserID, arg_max({'ActivityDate': ActivityDate, 'Gender': Gender, 'Age': Age, 'Country': Country}, CASE WHEN WithdrawalAmount > 0 THEN ActivityDate END) AS l, " + ", ".join(f"sum({c}) AS {c}" for c in ("WagerAmount", "WinningAmount", "DepositAmount")) + ", sum(WithdrawalAmount) AS WithdrawalAmount FROM net GROUP BY UserID HAVING max(WithdrawalAmount) > 0 ORDER BY sum(WithdrawalAmount) DESC, UserID LIMIT 50)")(lambda s, d: review.top_withdrawers(day(s, d)))
 query("review_table")(lambda s, d: review.review_table(review.top_withdrawers(day(s, d))))
 _PROFILE = "SELECT {g} AS Segment, count(*) AS Players, " + r("median(Age)", "MedianRecordedAge") + ", " + r("median(CASE WHEN Age >= 19 THEN Age END)", "MedianAge19Plus") + ", sum(AgeEligibilityFlag)::BIGINT AS Under19Players, " + ", ".join(r(f"median({c}::DOUBLE)", f"Median{c}") for c in ("TenureDays", "RecencyDays", "Frequency", "WagerAmount", "NetGaming", "DepositAmount", "WithdrawalAmount", "WithdrawalToDeposit", "AvgCashOdds", "CashGameShare")) + ", " + r("quantile_cont(WagerAmount::DOUBLE, 0.9)", "P90WagerAmount") + ", " + r("sum(WagerAmount)", "TotalWagerAmount") + ", " + r("sum(NetGaming)", "TotalNetGaming") + ", " + r("avg(FailedTxnRate)", "AvgFailedTxnRate") + ", " + r("avg(LossChasingDays)", "AvgLossChasingDays") + ", " + r("count(*)::DOUBLE / sum(count(*)) OVER ()", "PlayerShare") + ", " + r("sum(AgeEligibilityFlag)::DOUBLE / count(*)", "Under19Share") + ", " + r("sum(NetGaming)::DOUBLE / sum(sum(NetGaming)) OVER ()::DOUBLE", "NetGamingShare") + ", " + r("sum(WagerAmount)::DOUBLE / sum(sum(WagerAmount)) OVER ()::DOUBLE", "WagerShare") + " FROM seg GROUP BY 1"
+
+
+def _mix_sql(column: str, top: int) -> str:
+    """(g, text) of the shares of a category in each segment {g}."""
+    name = f"coalesce({column}, 'Unknown')"
+    return f"(SELECT g, string_agg(v || ': ' || round_even(100 * (n::DOUBLE / t), 0)::INT || '%', ', ' ORDER BY n DESC, v) AS {column}Mix FROM (SELECT {{g}} AS g, {name} AS v, count(*) AS n, sum(count(*)) OVER (PARTITION BY {{g}}) AS t, row_number() OVER (PARTITION BY {{g}} ORDER BY count(*) DESC, {name}) AS k FROM seg GROUP BY 1, 2) WHERE k <= {top} GROUP BY g)"
+
+
+_PROFILE = f"SELECT p.*, AgeBandMix, GenderMix, CountryMix FROM ({_PROFILE}) p JOIN {_mix_sql('AgeBand', 99)} a ON a.g = p.Segment JOIN {_mix_sql('Gender', 99)} b ON b.g = p.Segment JOIN {_mix_sql('Country', 3)} c ON c.g = p.Segment"
 query("segment_profile_value", _PROFILE.replace("{g}", "rfm"))(lambda s, d: reports.segment_profile(segs(s, d), value.RFM_LABEL))
 query("segment_profile_risk", _PROFILE.replace("{g}", '"Risk Segment"'))(lambda s, d: reports.segment_profile(segs(s, d), "Risk Segment"))
 query("value_risk_matrix", 'SELECT v AS "Value Segment", k AS "Risk Segment", act AS "Recommended Action", count(UserID) AS Players, ' + ", ".join([r("coalesce(sum(NetGaming), 0)", "TotalNetGaming"), r("median(NetGaming::DOUBLE)", "MedianNetGaming"), r("coalesce(sum(WithdrawalAmount), 0)", "TotalWithdrawalAmount"), "count(*) FILTER (AMLRiskScore > 0) AS AMLIndicatorPlayers", "count(*) FILTER (RGRiskScore > 0) AS RGIndicatorPlayers", "count(*) FILTER (AMLRiskScore >= 3) AS AMLHighPriorityPlayers", "count(*) FILTER (RGRiskScore >= 4) AS RGHighPriorityPlayers", r("count(UserID)::DOUBLE / sum(count(UserID)) OVER ()", "PlayerShare"), r("coalesce(sum(NetGaming), 0)::DOUBLE / sum(sum(NetGaming)) OVER ()::DOUBLE", "NetGamingShare")]) + " FROM (VALUES " + ", ".join("('{}', '{}', '{}')".format(v, k, a.replace("'", "''")) for (v, k), a in reports.ACTIONS.items()) + ') g(v, k, act) LEFT JOIN seg ON rfm = v AND "Risk Segment" = k GROUP BY v, k, act')(lambda s, d: reports.value_risk_matrix(segs(s, d)))
 query("category_mix", " UNION ALL ".join(f"SELECT segment, dimension, value, players, share FROM (SELECT \"Risk Segment\" AS segment, '{c}' AS dimension, coalesce({c}, 'Unknown') AS value, count(*) AS players, {r('count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY any_value(\"Risk Segment\"))', 'share')}, row_number() OVER (PARTITION BY any_value(\"Risk Segment\") ORDER BY count(*) DESC, coalesce({c}, 'Unknown')) AS n FROM risk GROUP BY \"Risk Segment\", coalesce({c}, 'Unknown')) WHERE n <= {top}" for c, top in (("Gender", 99), ("AgeBand", 99), ("Country", 3))))(lambda s, d: (lambda x: category_mix(x, "Risk Segment", "Gender").union(category_mix(x, "Risk Segment", "AgeBand")).union(category_mix(x, "Risk Segment", "Country", 3)))(risks(s, d)))
-query("data_quality_notes", "SELECT unnest(['FirstDay', 'LastDay', 'Players', 'MedianRecencyDays', 'MinAge', 'MaxAge', 'MedianAge', 'Under19Players', 'TotalTurnover', 'TotalNetGaming', 'NetAheadPlayers', 'NeverWithdrew', 'NeverDeposited', 'ZeroWagerPlayers']) AS Topic, unnest(l) AS Value FROM (SELECT list_transform([(SELECT date_diff('day', DATE '1970-01-01', min(ActivityDate)) FROM pd)::DOUBLE, (SELECT date_diff('day', DATE '1970-01-01', max(ActivityDate)) FROM pd), count(*), median(RecencyDays), min(Age), max(Age), median(Age), count(*) FILTER (Age < 19), sum(WagerAmount)::DOUBLE, sum(NetGaming)::DOUBLE, count(*) FILTER (NetGaming < 0), count(*) FILTER (WithdrawalAmount = 0), count(*) FILTER (DepositAmount = 0), count(*) FILTER (WagerAmount = 0)], lambda x: round(x, 4)) AS l FROM pf)")(lambda s, d: (lambda p: reports.data_quality_notes(p, features.player_features(p)))(day(s, d)))
+query("data_quality_notes", "SELECT unnest(['FirstDay', 'LastDay', 'Players', 'MedianRecencyDays', 'MinAge', 'MaxAge', 'MedianAge', 'Under19Players', 'TotalTurnover', 'TotalNetGaming', 'NetAheadPlayers', 'NeverWithdrew', 'NeverDeposited', 'ZeroWagerPlayers']) AS Topic, unnest(l) AS Value FROM (SELECT list_transform([(SELECT date_diff('day', DATE '1970-01-01', min(ActivityDate)) FROM pd)::DOUBLE, (SELECT date_diff('day', DATE '1970-01-01', max(ActivityDate)) FROM pd), count(*), median(RecencyDays), min(Age), max(Age), median(Age), count(*) FILTER (Age < 19), sum(WagerAmount)::DOUBLE, sum(NetGaming)::DOUBLE, count(*) FILTER (NetGaming < 0), count(*) FILTER (WithdrawalAmount = 0), count(*) FILTER (DepositAmount = 0), count(*) FILTER (WagerAmount = 0)], lambda x: round(x, 6)) AS l FROM pf)")(lambda s, d: (lambda p: reports.data_quality_notes(p, features.player_features(p)))(day(s, d)))
 query("kpi_summary", "SELECT count(DISTINCT UserID) AS ActivePlayers, " + ", ".join(r(f"sum({c})", n) for n, c in (("Wagers", "WagerAmount"), ("Winnings", "WinningAmount"), ("NetGaming", "NetGaming"), ("Deposits", "DepositAmount"), ("Withdrawals", "WithdrawalAmount"))) + ", " + r("sum(WagerAmount)::DOUBLE / count(DISTINCT UserID)", "AvgWagerPerPlayer") + ", " + r("sum(NetGaming)::DOUBLE / sum(WagerAmount)::DOUBLE", "HoldRate") + ", " + r("sum(NetGaming)::DOUBLE / count(DISTINCT UserID)", "NetGamingPerPlayer") + " FROM net")(lambda s, d: reports.kpi_summary(day(s, d)))
 query("monthly_trend", "SELECT MonthDate, " + rs("WagerAmount", "WinningAmount", "NetGaming") + ", " + r("WagerAmount - lag(WagerAmount) OVER (ORDER BY MonthDate)", "WagerChange") + ", " + r("NetGaming - lag(NetGaming) OVER (ORDER BY MonthDate)", "NetGamingChange") + " FROM (SELECT date_trunc('month', ActivityDate)::DATE AS MonthDate, sum(WagerAmount)::DOUBLE AS WagerAmount, sum(WinningAmount)::DOUBLE AS WinningAmount, sum(NetGaming)::DOUBLE AS NetGaming FROM net GROUP BY 1)")(lambda s, d: reports.monthly_trend(day(s, d)))
 query("game_mix_by_year", "SELECT year(MonthDate) AS Year, GameType, " + r("sum(w)", "Wagers") + ", " + r("sum(w)::DOUBLE / sum(sum(w)) OVER (PARTITION BY year(MonthDate))::DOUBLE", "WagerShare") + " FROM unpiv WHERE c > 0 OR w > 0 OR v > 0 OR o IS NOT NULL GROUP BY year(MonthDate), GameType")(lambda s, d: reports.game_mix_by_year(day(s, d)))
@@ -126,8 +161,7 @@ query("payment_success_by_year", "SELECT year(ActivityDate) AS Year, " + ", ".jo
 query("segment_kpis", "SELECT rfm AS Segment, count(*) AS Players, " + r("avg(WagerAmount::DOUBLE)", "AvgWager") + ", " + r("avg(DepositAmount::DOUBLE)", "AvgDeposit") + ", " + r("avg(Frequency)", "AvgFrequency") + ", " + r("sum(NetGaming)", "NetGaming") + ", " + r("sum(NetGaming)::DOUBLE / sum(sum(NetGaming)) OVER ()::DOUBLE", "RevenueShare") + " FROM seg GROUP BY 1")(lambda s, d: reports.segment_kpis(segs(s, d)))
 query("high_risk_by_value", "SELECT rfm AS Segment, count(*) FILTER (\"Risk Segment\" = 'High Risk') AS HighRiskPlayers FROM seg GROUP BY 1")(lambda s, d: reports.high_risk_by_value(segs(s, d)))
 query("dim_date", "SELECT x::DATE AS Date, year(x) AS Year, quarter(x) AS Quarter, month(x) AS Month, dayofweek(x) + 1 AS DayOfWeek, date_trunc('month', x)::DATE AS MonthDate FROM (SELECT unnest(generate_series(min(ActivityDate)::TIMESTAMP, max(ActivityDate)::TIMESTAMP, INTERVAL 1 DAY)) AS x FROM pd)")(lambda s, d: reports.dim_date(day(s, d)))
-query("dim_player", 'SELECT dim.UserID, DateOfBirth, dim.Gender, dim.CountryCode::BIGINT AS CountryCode, dim.Country, rfm AS "Value Segment", "Risk Segment" FROM dim LEFT JOIN seg USING (UserID)')(lambda s, d: (lambda t: reports.dim_player(activity.player_dimension(t), value.rfm_scores(risk.risk_segments(features.player_features(activity.player_day(t))).persist())))(src(s, d)))
-query("validate_player_day", "SELECT unnest(['no rows', 'repeated player-day', 'invalid Age']) AS \"check\", unnest([0, 0, count(*) FILTER (Age IS NULL)])::BIGINT AS violations FROM pd")(lambda s, d: quality.validate_player_day(day(s, d)).where(F.col("check").isin("no rows", "repeated player-day", "invalid Age")))
+query("dim_player", 'SELECT dim.UserID, DateOfBirth, dim.Gender, dim.CountryCode::BIGINT AS CountryCode, dim.Country, rfm AS "Value Segment", "Risk Segment" FROM dim LEFT JOIN seg USING (UserID)')(lambda s, d: (lambda t: reports.dim_player(activity.player_dimension(t), segs(s, d)))(src(s, d)))
 query("freq_gender", "SELECT Gender, count(*) AS RowCount FROM demo GROUP BY 1")(lambda s, d: quality.frequencies(src(s, d)["demographics"], "Gender"))
 query("freq_paymethcat", "SELECT source_table, PayMethCat, count(*) AS RowCount, " + r("sum(Amount)", "TotalAmount", 2) + " FROM detail GROUP BY 1, 2")(lambda s, d: activity.transaction_detail(src(s, d)).groupBy("source_table", "PayMethCat").agg(F.count("*").alias("RowCount"), F.round(F.sum("Amount"), 2).alias("TotalAmount")))
 _YEARS = (("birth", "demo", "demographics", "DateOfBirth"), ("games", "games", "games", "Date"), ("tournaments", "tournaments", "tournaments", "Date"))
@@ -135,12 +169,67 @@ query("rows_by_year", " UNION ALL ".join(f"SELECT '{n}' AS source, year({c}) AS
     lambda s, d: (lambda t: activity.transaction_detail(t).groupBy(F.col("source_table").alias("source"), F.year("ActivityDate").alias("Year")).agg(F.count("*").alias("RowCount")).union(quality.rows_by_year(t["demographics"], "DateOfBirth").select(F.lit("birth"), "*")).union(quality.rows_by_year(t["games"], "Date").select(F.lit("games"), "*")).union(quality.rows_by_year(t["tournaments"], "Date").select(F.lit("tournaments"), "*")))(src(s, d))
 )
 query("top_active_users", "SELECT UserID, count(*) AS RowCount FROM games GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")(lambda s, d: quality.top_active_users(src(s, d)["games"]))
-query("profile_games", "SELECT 'games' AS \"Table\", unnest(['rows', 'distinct UserID', 'min Date', 'max Date', 'sum Wagers', 'avg Wagers', 'nulls Odds']) AS Metric, unnest(l) AS Value FROM (SELECT list_transform([count(*)::DOUBLE, count(DISTINCT UserID), date_diff('day', DATE '1970-01-01', min(Date)), date_diff('day', DATE '1970-01-01', max(Date)), sum(Wagers)::DOUBLE, sum(Wagers)::DOUBLE / count(Wagers), count(*) FILTER (Odds IS NULL)], lambda x: round(x, 4)) AS l FROM games)")(lambda s, d: quality.profile(src(s, d)["games"], "games", "UserID", [], ["Date"], ["Wagers"]).where("Metric NOT LIKE 'nulls%' OR Metric = 'nulls Odds'"))
 query("summarize_demographics", " UNION ALL ".join(f"SELECT '{c}' AS column_name, min({c})::VARCHAR AS min, max({c})::VARCHAR AS max, count(*) AS count, {r(f'100.0 * count(*) FILTER ({c} IS NULL) / count(*)', 'null_percentage')} FROM demo" for c in ("UserID", "DateOfBirth", "Gender", "CountryCode")))(lambda s, d: quality.summarize(src(s, d)["demographics"]).select("column_name", "min", "max", "count", "null_percentage"))
-query("kmeans_segments")(lambda s, d: value.kmeans_segments(feats(s, d).persist(), n_init=3)[0].select("UserID", "KMeansCluster", "Value Segment", "Behaviour Archetype"))
-query("cluster_profile")(lambda s, d: value.kmeans_segments(feats(s, d).persist(), n_init=3)[1])
-query("method_crosstab")(lambda s, d: reports.method_crosstab(value.kmeans_segments(segs(s, d), n_init=2)[0]))
-query("method_summary")(lambda s, d: reports.method_summary(value.kmeans_segments(segs(s, d), n_init=2)[0]))
-query("silhouette")(lambda s, d: value.silhouette(value.kmeans_assign(value.silhouette_sample(scaled(s, d)), CENTROIDS)))
-query("kmeans_diagnostics")(lambda s, d: value.kmeans_diagnostics(scaled(s, d), n_init=1))
+query("kmeans_segments")(lambda s, d: clusters(s, d)[0].select("UserID", "KMeansCluster", "Value Segment", "Behaviour Archetype"))
+query("cluster_profile")(lambda s, d: clusters(s, d)[1])
+query("player_segments")(lambda s, d: reports.player_segments(clusters(s, d)[0]))
+query("method_crosstab")(lambda s, d: reports.method_crosstab(clusters(s, d)[0]))
+query("method_summary")(lambda s, d: reports.method_summary(clusters(s, d)[0]))
+query("kmeans_diagnostics")(lambda s, d: value.kmeans_diagnostics(scaled(s, d)))
+
+_SAMPLE = f"(SELECT *, list_position(l, list_min(l)) AS c FROM (SELECT *, {_D4} AS l FROM scaled ORDER BY md5(UserID::VARCHAR), UserID LIMIT 1500))"
+_APART = "sqrt(" + " + ".join(f"(p.{c} - q.{c})**2" for c in value.LRFM) + ")"
+query("silhouette", f"""SELECT round(coalesce(avg(CASE WHEN a IS NULL OR b IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END), 0), 6) AS MeanSilhouette FROM (
+  SELECT i, max(m) FILTER (ci = cj) AS a, min(m) FILTER (ci <> cj) AS b FROM (
+    SELECT p.UserID AS i, p.c AS ci, q.c AS cj, avg({_APART}) AS m FROM {_SAMPLE} p, {_SAMPLE} q WHERE p.UserID <> q.UserID GROUP BY ALL) GROUP BY i)""")(
+    lambda s, d: value.silhouette(value.kmeans_assign(value.silhouette_sample(scaled(s, d)), CENTROIDS))
+)
+_MEANS = f"(SELECT list_position(l, list_min(l)) - 1 AS k, {', '.join(f'avg({c}) AS {c}' for c in value.LRFM)} FROM (SELECT *, {_D4} AS l FROM scaled) GROUP BY 1)"
+query("kmeans_shift", f"""SELECT {r("(SELECT sum(list_min(l)) FROM (SELECT " + _D4 + " AS l FROM scaled))", "Inertia", 3)}, {r("max(move)", "Shift")} FROM (SELECT greatest({', '.join(f"abs({c} - {[m[i] for m in CENTROIDS]}[k + 1])" for i, c in enumerate(value.LRFM))}) AS move FROM {_MEANS})""")(
+    lambda s, d: value.kmeans_update(scaled(s, d), CENTROIDS)[1].select(F.round("Inertia", 3).alias("Inertia"), "Shift")
+)
+query("archetypes", f"""SELECT k::BIGINT AS KMeansCluster, CASE WHEN count(*) OVER (PARTITION BY t) > 1 THEN t || ' (C' || k || ')' ELSE t END AS "Behaviour Archetype" FROM (SELECT k,
+  CASE WHEN Recency < -0.5 THEN 'Active' WHEN Recency > 0.5 THEN 'Lapsed' ELSE 'Cooling' END || ' ' || CASE WHEN Monetary < -0.5 THEN 'Net Winners' WHEN Monetary > 0.5 THEN 'Whales' WHEN Frequency > 0 THEN 'Regulars' ELSE 'Casuals' END AS t FROM {_MEANS})""")(
+    lambda s, d: value.archetypes(value.kmeans_update(scaled(s, d), CENTROIDS)[0]).select("KMeansCluster", "Behaviour Archetype")
+)
+_REVIEW = ", ".join(f'{e} AS "{c}"' for e, c in zip(("ActivityDate", "UserID::VARCHAR", "Gender", "Age", "Country", *[f"round({c}, 6)" for c in ("WagerAmount", "WinningAmount", "DepositAmount", "WithdrawalAmount")], "'To be reviewed'", "''", "''"), REVIEW))
+ORACLES["review_table"] = f"SELECT {_REVIEW} FROM ({ORACLES['top_withdrawers']})"
+
+
+def _returned(s, d) -> DataFrame:
+    """Checks of the review table as it would come back with every fifth amount changed and every seventh decision left blank."""
+    by = Window.orderBy(F.desc("Withdrawal Amount"), "Player ID")  # fifty rows
+    base = review.review_table(review.top_withdrawers(day(s, d))).withColumn("position", F.row_number().over(by))
+    at = F.col("position")
+    back = base.withColumns({"Decision": F.when(at % 7 == 0, "").otherwise("No Action required"), "Wager Amount": F.col("Wager Amount") + F.when(at % 5 == 0, 1e-3).otherwise(0.0)})
+    return review.validate_review(back, base)
+
+
+query("validate_review", "SELECT unnest(['columns', 'row count', 'duplicate players', 'changed fields', 'review status', 'decision']) AS \"check\", unnest([0, 50 - least(50, n), 0, least(50, n) // 5, 0, least(50, n) // 7])::BIGINT AS violations FROM (SELECT count(*) AS n FROM (SELECT UserID FROM pd WHERE WithdrawalAmount > 0 GROUP BY UserID))")(_returned)
+query("contribution_by_segment", "SELECT 'Value Segment (RFM Score)' AS Dimension, rfm AS Value, " + r("sum(WagerAmount)", "Wagers") + ", " + r("sum(NetGaming)", "NetGaming") + ", " + r("sum(WagerAmount)::DOUBLE / sum(sum(WagerAmount)) OVER ()::DOUBLE", "WagerShare") + ", " + r("sum(NetGaming)::DOUBLE / sum(sum(NetGaming)) OVER ()::DOUBLE", "NetGamingShare") + " FROM seg GROUP BY rfm")(lambda s, d: reports.contribution(segs(s, d), value.RFM_LABEL))
+query("top_active_tournament_users", "SELECT UserID, count(*) AS RowCount FROM tournaments GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")(lambda s, d: quality.top_active_users(src(s, d)["tournaments"]))
+
+#: By source table: its rows in SQL, key, dates and measures; payments are named by their tag in the detail table.
+_STAGING = {"country_reference": ("country", "CountryCode", [], []), "demographics": ("demo", "UserID", ["DateOfBirth"], []), "games": ("games", "UserID", ["Date"], ["Wagers", "Winnings"]), "tournaments": ("tournaments", "UserID", ["Date"], ["Wagers", "Winnings"])}
+for _name, _tag, _kind in (("deposits_successful", "Deposit_Success", "Deposit"), ("deposits_failed", "Deposit_Failed", "Deposit"), ("withdrawals_successful", "Withdrawal_Success", "Withdrawal"), ("withdrawals_failed", "Withdrawal_Failed", "Withdrawal")):
+    _STAGING[_name] = (f"(SELECT *, ActivityDate AS Date, TransactionID AS {_kind}ID, '' AS Time FROM detail WHERE source_table = '{_tag}')", "UserID", ["Date"], ["Amount"])
+
+
+def _staging_sql(name: str) -> str:
+    rows, key, dates, measures = _STAGING[name]
+    columns = [c.split()[0] for c in SOURCES[name].split(", ")]
+    day_of = lambda f, c: f"date_diff('day', DATE '1970-01-01', {f}({c}))"
+    facts = {"rows": "count(*)", f"distinct {key}": f"count(DISTINCT {key})"} | {f"min {c}": day_of("min", c) for c in dates} | {f"max {c}": day_of("max", c) for c in dates}
+    facts |= {f"sum {c}": f"sum({c})::DOUBLE" for c in measures} | {f"avg {c}": f"sum({c})::DOUBLE / count({c})" for c in measures} | {f"nulls {c}": f"count(*) FILTER ({c} IS NULL)" for c in columns}
+    return f"SELECT '{name}' AS \"Table\", unnest({list(facts)}) AS Metric, round(unnest([{', '.join(f'({v})::DOUBLE' for v in facts.values())}]), 6) AS Value FROM {rows}"
+
+
+def _staging_profiles(s, d) -> DataFrame:
+    tables = src(s, d)
+    return reduce(DataFrame.union, [quality.profile(tables[n], n, key, [], dates, measures) for n, (_, key, dates, measures) in _STAGING.items()])
+
+
+query("profile_staging", " UNION ALL ".join(map(_staging_sql, _STAGING)))(_staging_profiles)
+_CHECKS = ["no rows", "invalid ActivityDate", "invalid UserID", *[f"invalid {c}" for c in NUMERIC], "repeated player-day"]
+query("validate_player_day", f"SELECT unnest({_CHECKS}) AS \"check\", unnest([{', '.join(['0', 'count(*) FILTER (ActivityDate IS NULL)', 'count(*) FILTER (UserID IS NULL)', *[f'count(*) FILTER ({c} IS NULL)' for c in NUMERIC], 'count(*) - count(DISTINCT (UserID, ActivityDate))'])}])::BIGINT AS violations FROM pd")(lambda s, d: quality.validate_player_day(day(s, d)))
 assert set(ORACLES) <= set(QUERIES) and len(PLAYER_DAY) == 22

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,3 +58,23 @@ def write_tables(tables: dict[str, DataFrame], path: str, fmt: str = "parquet")
 def export_review_csv(review: DataFrame, path: str) -> None:
     """The review table with its dates as yyyy-MM-dd."""
     review.withColumn("Activity Date", F.date_format("Activity Date", "yyyy-MM-dd")).write.mode("overwrite").csv(path, header=True)
+
+
+_local: str | None = None
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the shared folder spark.checkpoint.dir and read back, for frames that several results use.
+
+    Where the folder is unset, a temporary one serves a local master; on a cluster that is an error.
+    """
+    global _local
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = _local = _local or "file://" + tempfile.mkdtemp(prefix="spark-playerday-")
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

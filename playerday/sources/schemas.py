@@ -28,7 +28,21 @@ PLAYER_DAY = [
     "DepositAmount", "DepositFailedAmount", "DepositSuccessCount", "DepositFailedCount",
     "WithdrawalAmount", "WithdrawalFailedAmount", "WithdrawalSuccessCount", "WithdrawalFailedCount",
 ]
-NUMERIC = [c for c in PLAYER_DAY if c not in ("UserID", "ActivityDate", "Gender", "Country", "CountryCode", "CashGameAvgOdds", "TournamentAvgOdds")]
+NUMERIC = [c for c in PLAYER_DAY if c not in ("UserID", "ActivityDate", "Gender", "Country", "CashGameAvgOdds", "TournamentAvgOdds")]
+
+# Column order of the delivered player segments.
+PLAYER_SEGMENTS = [
+    "UserID", "Gender", "Age", "AgeBand", "AgeEligibilityFlag", "Country", "CountryCode",
+    "FirstActivityDate", "LastActivityDate", "TenureDays", "RecencyDays", "Frequency", "ActivityRate", "MaxConsecutiveActiveDays",
+    "CashGames", "CashGameWagers", "CashGameWinnings", "AvgCashOdds", "Tournaments", "TournamentWagers", "TournamentWinnings",
+    "WagerAmount", "WinningAmount", "CashGameShare", "TournamentShare", "WagerPerActiveDay", "NetGaming", "NetLossPerActiveDay",
+    "DepositAmount", "WithdrawalAmount", "WithdrawalToDeposit", "Playthrough", "DepositFailedCount", "WithdrawalFailedCount", "FailedTxnRate",
+    "LossChasingDays", "DepositEscalationRatio", "RecentDepositWithoutEarlierBaseline",
+    "RecencyScore", "FrequencyScore", "MonetaryScore", "RFMScore", "KMeansCluster", "Behaviour Archetype", "Value Segment", "Value Segment (RFM Score)",
+    "AML_PassThrough", "AML_WithdrawalNoDeposit", "AML_WithdrawalExceedsDeposit", "AML_CardTesting", "AML_LargeWithdrawalVolume", "AMLRiskScore",
+    "RG_LossChasing", "RG_DepositEscalation", "RG_HighLossVelocity", "RG_SustainedIntensity", "RG_HighAbsoluteLoss", "RGRiskScore",
+    "Risk Driver", "Risk Segment",
+]
 
 # Ordered labels, lowest first.
 VALUE_LABELS = ["Low Value", "Medium Value", "High Value", "Premium"]
@@ -40,6 +54,7 @@ REVIEW_STATUSES = ["To be reviewed", "Review in Progress", "Review Completed"]
 REVIEW_DECISIONS = ["No Action required", "Operator Review needed", "Account Freeze requested"]
 
 
+# Default thresholds and settings of both classes below.
 @dataclass(frozen=True)
 class RiskThresholds:
     """Cut-offs of the review rules."""
@@ -75,6 +90,8 @@ class KMeansConfig:
     tol: float = 1e-6
     k_range: tuple[int, ...] = (2, 3, 4, 5, 6, 7, 8)
     silhouette_sample: int = 1500
+    #: Starts of each of the fits behind the diagnostics: two for each K, so twenty would make 280 fits.
+    diagnostic_starts: int = 2
 
 
 MIN_LEGAL_AGE = 19

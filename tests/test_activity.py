@@ -122,7 +122,7 @@ def test_review(spark):
 def test_validate_player_day(src):
     df = activity.player_day(src)
     bad = {r[0]: r[1] for r in quality.validate_player_day(df.union(df.where("UserID = 3"))).collect() if r[1]}
-    assert bad == {"invalid Age": 4, "repeated player-day": 1}  # two without a birth date, one unknown twice
+    assert bad == {"invalid Age": 4, "invalid CountryCode": 2, "repeated player-day": 1}  # two without a birth date, one unknown twice
     assert {r[0]: r[1] for r in quality.validate_player_day(df.limit(0)).collect() if r[1]} == {"no rows": 1}
     assert quality.validate_player_day(df.drop("Age")).first()[0] == "missing column Age"
 

@@ -35,11 +35,11 @@ class WordEncoder:
     text that holds a special token goes through the tokenizer as a whole.
     """
 
-    def __init__(self, path: str, most_words: int = 1_000_000):
+    def __init__(self, path: str, most_words: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.whole, self.words = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.load, self.whole, self.words = lambda: Tokenizer.from_file(path), None, Tokenizer.from_file(path)
         self.words.encode_special_tokens = True  # a lower-cased word that looks like one is ordinary text
         self.most_words, self.cache = most_words, {}
         self.ends = np.zeros(self.words.get_vocab_size(), bool)
@@ -86,6 +86,7 @@ class WordEncoder:
         """Little-endian unsigned 32-bit ids."""
         text = text or ""
         if "<|" in text and any(s in text for s in SPECIAL):
+            self.whole = self.whole or self.load()  # few texts need it
             found = self.whole.encode(text.encode("utf-8", "replace").decode(), add_special_tokens=False).ids
             return struct.pack(f"<{len(found)}I", *found)
         words = text.encode("utf-8", "replace").lower().split()

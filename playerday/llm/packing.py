@@ -8,8 +8,8 @@ import struct
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,9 +20,10 @@ from playerday.llm.common import materialise, table
 PIECES = "array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint>>"
 # The tokenizer's special tokens, found in a text as it stands, before it is lower-cased.
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
-_LETTERS = rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"  # ASCII and Latin-1 letters, which the tokenizer keeps as one run
-#: A word of letters, and one with a tail of ASCII symbols, which never joins the letters before it into one token.
-_PLAIN = re.compile(_LETTERS)
+_LETTERS = rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])"  # ASCII and Latin-1 letters, which the tokenizer keeps as one run
+#: A word of letters.
+_PLAIN = re.compile(_LETTERS + b"+")
+#: One with a tail of ASCII symbols, which never joins the letter or digit before it into one token.
 _TAILED = re.compile(rb"(.*(?:[a-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([!-/:-@\[-`{-~]+)", re.S)
 
 
@@ -30,73 +31,89 @@ class WordEncoder:
     """Ids of whole texts by a public tokenizer, with a bounded cache of words.
 
     The tokenizer drops white space, lower-cases and never joins across white
-    space, so a text's ids are its words' ids in turn. Each word new to the
-    cache goes through the tokenizer itself; the cache is emptied when full. A
-    text that holds a special token goes through the tokenizer as a whole.
+    space, so a text's ids are its words' ids in turn. A word of letters that
+    is new to the cache goes to the tokenizer's model, since normalising and
+    parting leave it as it is; any other new word goes through the whole
+    tokenizer. The cache is emptied when full. A text that holds a special
+    token goes through the tokenizer as a whole.
     """
 
     def __init__(self, path: str, most_words: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.load, self.whole, self.words = lambda: Tokenizer.from_file(path), None, Tokenizer.from_file(path)
         self.words.encode_special_tokens = True  # a lower-cased word that looks like one is ordinary text
-        self.most_words, self.cache = most_words, {}
-        self.ends = np.zeros(self.words.get_vocab_size(), bool)
-        for token, n in self.words.get_vocab().items():
-            self.ends[n] = token.endswith("</w>")
-
-    def _encode(self, words: list[bytes]) -> None:
-        """Put words into the cache."""
-        for at in range(0, len(words), 4096):
-            block = words[at : at + 4096]
-            found = self.words.encode_batch_fast([w.decode() for w in block], add_special_tokens=False)
-            self.cache.update((w, struct.pack(f"<{len(i)}I", *i)) for w, i in zip(block, (e.ids for e in found)))
-
-    def _encode_runs(self, words: list[bytes]) -> None:
-        """Put words of letters alone into the cache: many at once, parted again at the tokens that end a word."""
-        for at in range(0, len(words), 4096):
-            block = words[at : at + 4096]
-            ids = np.array(self.words.encode_batch_fast([b" ".join(block).decode()], add_special_tokens=False)[0].ids, "<u4")
-            cuts = [0, *(np.flatnonzero(self.ends[ids]) + 1).tolist()]
-            if len(cuts) != len(block) + 1 or cuts[-1] != len(ids):
-                self._encode(block)
-                continue
-            data = ids.tobytes()
-            self.cache.update((w, data[4 * a : 4 * b]) for w, a, b in zip(block, cuts, cuts[1:]))
+        self.model, self.most_words, self.cache = self.words.model, most_words, {}
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spelt = [chr(n) for n in range(128)] + [""] * 128  # the model's character for each byte
+        for c in map(chr, range(0xC0, 0x100)):
+            for byte, spelt in zip(c.encode(), level.pre_tokenize_str(c)[0][0]):
+                self.spelt[byte] = spelt
+
+    def _model_ids(self, word: bytes) -> bytes:
+        """Ids of a word of letters."""
+        word = word.decode() if word.isascii() else "".join([self.spelt[n] for n in word.decode().lower().encode()])
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(word)])
 
     def _learn(self, new: set[bytes]) -> None:
-        cache, runs, others, tailed = self.cache, set(), set(), []
+        """Put words into the cache."""
+        cache, others, tailed = self.cache, set(), []
+        plain, parted = _PLAIN.fullmatch, _TAILED.fullmatch
         for w in new:
-            if _PLAIN.fullmatch(w):
-                runs.add(w)
-            elif m := _TAILED.fullmatch(w):
-                stem, tail = m.groups()
-                tailed.append((w, stem, tail))
-                for part in (stem, tail):
-                    if part not in cache:
-                        (runs if _PLAIN.fullmatch(part) else others).add(part)
+            if plain(w):
+                cache[w] = self._model_ids(w)
+            elif m := parted(w):
+                tailed.append((w, *m.groups()))
             else:
                 others.add(w)
-        self._encode_runs(list(runs))
-        self._encode(list(others))
+        for part in {x for t in tailed for x in t[1:]}.difference(cache):
+            if plain(part):
+                cache[part] = self._model_ids(part)
+            else:
+                others.add(part)
+        rest = list(others)
+        for at in range(0, len(rest), 4096):
+            block = rest[at : at + 4096]
+            found = self.words.encode_batch_fast([w.decode() for w in block], add_special_tokens=False)
+            cache.update((w, struct.pack(f"<{len(i)}I", *i)) for w, i in zip(block, (e.ids for e in found)))
         cache.update((w, cache[stem] + cache[tail]) for w, stem, tail in tailed)
 
-    def ids(self, text: str | None) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        text = text or ""
-        if "<|" in text and any(s in text for s in SPECIAL):
-            self.whole = self.whole or self.load()  # few texts need it
-            found = self.whole.encode(text.encode("utf-8", "replace").decode(), add_special_tokens=False).ids
-            return struct.pack(f"<{len(found)}I", *found)
-        words = text.encode("utf-8", "replace").lower().split()
-        new = set(words).difference(self.cache)
+    def _whole(self, text: str) -> bytes:
+        self.whole = self.whole or self.load()  # few texts need it
+        found = self.whole.encode(text.encode("utf-8", "replace").decode(), add_special_tokens=False).ids
+        return struct.pack(f"<{len(found)}I", *found)
+
+    def _of_words(self, texts: list[str]) -> list[bytes]:
+        lists = [x.encode("utf-8", "replace").lower().split() for x in texts]
+        new = set().union(*lists).difference(self.cache)
         if new:
             if len(self.cache) + len(new) > self.most_words:
                 self.cache.clear()
-                new = set(words)
+                new = set().union(*lists)
             self._learn(new)
-        return b"".join(map(self.cache.__getitem__, words))
+        known = self.cache.__getitem__
+        return [b"".join(map(known, words)) for words in lists]
+
+    def all_ids(self, texts: Iterable[str | None], block: int = 1 << 20) -> Iterator[bytes]:
+        """Little-endian unsigned 32-bit ids of each text; new words are looked up together for about `block` characters of text."""
+        waiting, held = [], 0
+        for text in texts:
+            text = text or ""
+            if "<|" in text and any(s in text for s in SPECIAL):
+                yield from self._of_words(waiting)
+                yield self._whole(text)
+                waiting, held = [], 0
+                continue
+            waiting.append(text)
+            held += len(text)
+            if held >= block:
+                yield from self._of_words(waiting)
+                waiting, held = [], 0
+        yield from self._of_words(waiting)
+
+    def ids(self, text: str | None) -> bytes:
+        return next(self.all_ids([text]))
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -120,8 +137,7 @@ def pieces_of(docs: DataFrame, capacity: int, tokenizer: str) -> DataFrame:
 
     @F.pandas_udf(PIECES)
     def split(texts: pd.Series) -> pd.Series:
-        words = encoder(tokenizer)
-        return pd.Series([cut(words.ids(x), capacity) for x in texts], dtype="object")
+        return pd.Series([cut(ids, capacity) for ids in encoder(tokenizer).all_ids(texts)], dtype="object")
 
     rows = docs.select(F.col("doc_id").alias("doc_id"), F.explode(split("text")).alias("p"))
     return rows.select("doc_id", "p.*")
@@ -247,10 +263,9 @@ def sequences(docs: DataFrame, capacity: int = 4096, tokenizer: str | None = Non
 
     @F.pandas_udf("array<array<int>>")
     def ids_of(texts: pd.Series) -> pd.Series:
-        words = encoder(path)
         out = []
-        for x in texts:
-            ids = list(memoryview(words.ids(x) + (1).to_bytes(4, "little")).cast("I"))
+        for found in encoder(path).all_ids(texts):
+            ids = list(memoryview(found + (1).to_bytes(4, "little")).cast("I"))
             out.append([ids[at : at + capacity] for at in range(0, len(ids), capacity)])
         return pd.Series(out, dtype="object")
 

@@ -26,7 +26,7 @@ BLOCK, CHUNK = 1 << 18, 4 << 20
 #: Different stretches of one anchor beyond which they are dealt anew, by columns.
 HOT = 512
 #: Columns that stretches of a hot anchor are cut into, level by level. At one column a stretch is the substring itself.
-LEVELS = (8, 1)
+LEVELS = (24, 4, 1)
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)

@@ -14,11 +14,9 @@ KEY = ["UserID", "ActivityDate"]
 _PAYMENTS = (("deposits_successful", "Deposit_Success", "Deposit"), ("deposits_failed", "Deposit_Failed", "Deposit"), ("withdrawals_successful", "Withdrawal_Success", "Withdrawal"), ("withdrawals_failed", "Withdrawal_Failed", "Withdrawal"))
 
 
-def player_dimension(src: dict[str, DataFrame], max_broadcast: int = 100_000) -> DataFrame:
-    """A row per player with the trimmed country name; the country table is broadcast while it is small."""
+def player_dimension(src: dict[str, DataFrame]) -> DataFrame:
+    """A row per player with the trimmed country name; adaptive execution broadcasts the country table while it is small."""
     country = src["country_reference"].select("CountryCode", F.trim("Country").alias("Country"))
-    if country.limit(max_broadcast + 1).count() <= max_broadcast:
-        country = F.broadcast(country)
     return src["demographics"].join(country, "CountryCode", "left").select("UserID", "DateOfBirth", F.trim("Gender").alias("Gender"), "CountryCode", "Country")
 
 
@@ -74,8 +72,10 @@ def player_day(src: dict[str, DataFrame]) -> DataFrame:
     The six fact tables are stacked with their measures in place and grouped
     once, instead of a distinct spine and three joins on the same key: one
     shuffle, combined before it, so a player with very many rows costs no task
-    more than its days. A measure without a fact is 0, an average without odds
-    null. Rows without a key are left out (see rejected_keys).
+    more than its days. The days are then dealt by player once, which serves
+    the join with the dimension and a table laid out by player (files.laid_out).
+    A measure without a fact is 0, an average without odds null. Rows without a
+    key are left out (see rejected_keys).
     """
     money = "decimal(18,5)"
     games = src["games"].selectExpr("UserID", "Date AS ActivityDate", "CashGames", "Wagers AS CashGameWagers", "Winnings AS CashGameWinnings", "Odds AS CashOdds")
@@ -85,7 +85,7 @@ def player_day(src: dict[str, DataFrame]) -> DataFrame:
     zero = lambda c, t: F.coalesce(F.sum(c), F.lit(0).cast(t)).alias(c)
     plays = [zero("CashGames", "bigint"), zero("CashGameWagers", money), zero("CashGameWinnings", money), F.avg("CashOdds").alias("CashGameAvgOdds"), zero("Tournaments", "bigint"), zero("TournamentWagers", money), zero("TournamentWinnings", money), F.avg("TourOdds").alias("TournamentAvgOdds")]
     days = rows.groupBy(*KEY).agg(*plays, *_payment_sums())
-    joined = days.join(player_dimension(src), "UserID", "left")
+    joined = days.repartition("UserID").join(player_dimension(src), "UserID", "left")
     return joined.withColumn("Age", age_at("DateOfBirth", "ActivityDate")).select(*PLAYER_DAY)
 
 
@@ -97,7 +97,42 @@ def by_game_type(player_day: DataFrame) -> DataFrame:
     return rows.where("Count > 0 OR Wagers > 0 OR Winnings > 0 OR Odds IS NOT NULL")
 
 
+def _active() -> Column:
+    return (F.col("Count") > 0) | (F.col("Wagers") > 0) | (F.col("Winnings") > 0)
+
+
+def _players() -> list[Column]:
+    """A bitmap of the players, in buckets of 32,768 ids: exact, and merged by or."""
+    return [F.bitmap_construct_agg(F.bitmap_bit_position(F.when(_active(), F.col("UserID")))).alias("Players")]
+
+
 def monthly_by_game_type(player_day: DataFrame) -> DataFrame:
-    """Players, wagers, winnings and average odds by month and game type."""
-    active = F.when((F.col("Count") > 0) | (F.col("Wagers") > 0) | (F.col("Winnings") > 0), F.col("UserID"))
-    return by_game_type(player_day).groupBy("MonthDate", "GameType").agg(F.countDistinct(active).alias("PlayerVolume"), F.sum("Wagers").alias("TotalWagers"), F.sum("Winnings").alias("TotalWinnings"), F.avg(F.when(F.col("Odds") > 0, F.col("Odds"))).alias("AverageOdds"))
+    """Players, wagers, winnings and average odds by month and game type.
+
+    Players are counted from bitmaps by bucket of ids, so one aggregation serves
+    the sums and the distinct count, and no row is multiplied for it.
+    """
+    odds = F.when(F.col("Odds") > 0, F.col("Odds"))
+    part = by_game_type(player_day).groupBy("MonthDate", "GameType", F.bitmap_bucket_number("UserID").alias("Bucket"))
+    part = part.agg(F.sum("Wagers").alias("Wagers"), F.sum("Winnings").alias("Winnings"), F.sum(odds).alias("Odds"), F.count(odds).alias("WithOdds"), *_players())
+    return part.groupBy("MonthDate", "GameType").agg(F.sum(F.bitmap_count("Players")).alias("PlayerVolume"), F.sum("Wagers").alias("TotalWagers"), F.sum("Winnings").alias("TotalWinnings"), F.try_divide(F.sum("Odds"), F.sum("WithOdds").cast("double")).alias("AverageOdds"))
+
+
+def player_sets(player_day: DataFrame) -> DataFrame:
+    """(MonthDate, GameType, Bucket, Players): the players active in each game type and month, and all with a player-day as type Any.
+
+    Players is a bitmap of one bucket of ids. Sets of new months are put beside
+    the old ones (union); counts over any span come from the sets alone (see
+    distinct_players), without the days.
+    """
+    active = by_game_type(player_day).where(_active()).select("MonthDate", "GameType", "UserID")
+    present = player_day.select(F.trunc("ActivityDate", "month").alias("MonthDate"), F.lit("Any").alias("GameType"), "UserID")
+    rows = active.union(present).groupBy("MonthDate", "GameType", F.bitmap_bucket_number("UserID").alias("Bucket"))
+    return rows.agg(F.bitmap_construct_agg(F.bitmap_bit_position("UserID")).alias("Players"))
+
+
+def distinct_players(sets: DataFrame, span: Column | None = None) -> DataFrame:
+    """(Span, GameType, Players): distinct players by a span of months (an expression of MonthDate; null: all months together)."""
+    rows = sets.withColumn("Span", F.lit(None).cast("date") if span is None else span)
+    merged = rows.groupBy("Span", "GameType", "Bucket").agg(F.bitmap_or_agg("Players").alias("Players"))
+    return merged.groupBy("Span", "GameType").agg(F.sum(F.bitmap_count("Players")).alias("Players"))

@@ -1,4 +1,4 @@
-"""Player features from player-days: one exchange on the player serves windows, streaks and roll-up."""
+"""Player features from player-days: one exchange on the player serves windows, streaks and roll-up, none from a table laid out by player."""
 
 from __future__ import annotations
 
@@ -19,15 +19,19 @@ def net_gaming(player_day: DataFrame) -> DataFrame:
 
 
 def with_sequence(days: DataFrame) -> DataFrame:
-    """Adds the previous active day, ChaseFlag, StreakID and DaysBeforeEnd to days that have NetGaming."""
-    by = Window.partitionBy("UserID").orderBy("ActivityDate")
-    days = days.withColumns({"PrevNetGaming": F.lag("NetGaming").over(by), "PrevDate": F.lag("ActivityDate").over(by)})
-    days = days.withColumn("GapDays", F.datediff("ActivityDate", "PrevDate"))
-    chase = (F.col("PrevNetGaming") > 0) & (F.col("GapDays") <= 1) & (F.col("DepositAmount") > 0)
-    broken = F.coalesce(F.col("GapDays") != 1, F.lit(True)).cast("int")
-    days = days.withColumns({"ChaseFlag": F.coalesce(chase, F.lit(False)).cast("int"), "StreakBreak": broken})
-    last = F.max("ActivityDate").over(Window.partitionBy("UserID"))
-    return days.withColumns({"StreakID": F.sum("StreakBreak").over(by.rowsBetween(Window.unboundedPreceding, 0)), "DaysBeforeEnd": F.datediff(last, "ActivityDate")})
+    """Adds the active day before, ChaseFlag, the run of consecutive days and DaysBeforeEnd to days that have NetGaming.
+
+    Days of a run have one difference of date and row number: StreakID numbers
+    these by player, StreakDay is a day's place in its run.
+    """
+    player = Window.partitionBy("UserID")
+    by = player.orderBy("ActivityDate")
+    days = days.withColumns({"__before": F.lag(F.struct("ActivityDate", "NetGaming")).over(by), "__run": F.date_sub("ActivityDate", F.row_number().over(by)), "DaysBeforeEnd": F.datediff(F.max("ActivityDate").over(player), "ActivityDate")})
+    gap = F.datediff("ActivityDate", "__before.ActivityDate")
+    chase = (F.col("__before.NetGaming") > 0) & (gap <= 1) & (F.col("DepositAmount") > 0)
+    days = days.withColumns({"PrevNetGaming": F.col("__before.NetGaming"), "GapDays": gap, "ChaseFlag": F.coalesce(chase.cast("int"), F.lit(0))})
+    runs = {"StreakID": F.dense_rank().over(player.orderBy("__run")), "StreakDay": F.row_number().over(Window.partitionBy("UserID", "__run").orderBy("ActivityDate"))}
+    return days.withColumns(runs).drop("__before", "__run")
 
 
 def _sequence_aggs() -> list:
@@ -36,11 +40,6 @@ def _sequence_aggs() -> list:
     return [F.sum("ChaseFlag").alias("LossChasingDays"), F.max("DepositAmount").alias("MaxDailyDeposit"), F.max("NetGaming").alias("MaxDailyLoss"), F.max("StreakDay").alias("MaxConsecutiveActiveDays"), mean_if(recent).alias("RecentAvgDeposit"), mean_if(~recent).alias("EarlierAvgDeposit")]
 
 
-def _with_streak_day(days: DataFrame) -> DataFrame:
-    """Adds each day's place in its run of consecutive days; the largest is the run's length."""
-    return days.withColumn("StreakDay", F.row_number().over(Window.partitionBy("UserID", "StreakID").orderBy("ActivityDate")))
-
-
 def _escalation(df: DataFrame) -> DataFrame:
     sudden = (F.coalesce("RecentAvgDeposit", F.lit(0.0)) > 0) & (F.coalesce("EarlierAvgDeposit", F.lit(0.0)) == 0)
     return df.withColumns({"DepositEscalationRatio": safe_divide("RecentAvgDeposit", "EarlierAvgDeposit"), "RecentDepositWithoutEarlierBaseline": sudden.cast("int")})
@@ -48,7 +47,7 @@ def _escalation(df: DataFrame) -> DataFrame:
 
 def sequence_features(player_day: DataFrame) -> DataFrame:
     """Per player: chasing days, daily maxima, longest streak, recent against earlier deposits."""
-    days = _with_streak_day(with_sequence(net_gaming(player_day)))
+    days = with_sequence(net_gaming(player_day))
     return _escalation(days.groupBy("UserID").agg(*_sequence_aggs()))
 
 
@@ -61,7 +60,7 @@ def player_features(player_day: DataFrame) -> DataFrame:
     Everything per player is one aggregation over the windowed days; the last
     day of the data joins as a single row.
     """
-    days = _with_streak_day(with_sequence(net_gaming(player_day)))
+    days = with_sequence(net_gaming(player_day))
     df = days.groupBy("UserID").agg(
         F.min("ActivityDate").alias("FirstActivityDate"),
         F.max("ActivityDate").alias("LastActivityDate"),

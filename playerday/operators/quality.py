@@ -2,34 +2,64 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from playerday.operators.review import require_valid
+from playerday.sources.files import laid_out, work_tables
 from playerday.sources.schemas import MONEY, NUMERIC, PLAYER_DAY
 
 
+def _violations(df: DataFrame) -> dict[str, Column]:
+    """Check -> aggregate of its violations in the rows of df, whatever the types that they were read in."""
+    text = lambda c: F.col(c).cast("string")
+    bad = {"no rows": F.when(F.count("*") == 0, 1).otherwise(0).cast("bigint"), "invalid ActivityDate": F.count_if(text("ActivityDate").try_cast("date").isNull()), "invalid UserID": F.count_if(text("UserID").try_cast("bigint").isNull())}
+    return bad | {f"invalid {c}": F.count_if(text(c).try_cast("double").isNull() | F.isnan(text(c).try_cast("double"))) for c in NUMERIC}
+
+
+def _missing(df: DataFrame) -> list[tuple[str, int]]:
+    return [(f"missing column {c}", 1) for c in PLAYER_DAY if c not in df.columns]
+
+
 def validate_player_day(df: DataFrame) -> DataFrame:
     """(check, violations): missing columns, no rows, bad dates, non-numeric values, repeated player-days."""
-    spark = df.sparkSession
-    missing = [c for c in PLAYER_DAY if c not in df.columns]
-    if missing:
-        return spark.createDataFrame([(f"missing column {c}", 1) for c in missing], "check string, violations bigint")
-    text = lambda c: F.col(c).cast("string")
-    bad = {"invalid ActivityDate": F.count_if(F.expr("try_cast(CAST(ActivityDate AS STRING) AS DATE)").isNull()), "invalid UserID": F.count_if(text("UserID").try_cast("bigint").isNull())}
-    bad |= {f"invalid {c}": F.count_if(F.coalesce(F.isnan(text(c).try_cast("double")), F.lit(True)) | text(c).try_cast("double").isNull()) for c in NUMERIC}
-    row = df.agg(F.when(F.count("*") == 0, 1).otherwise(0).cast("bigint").alias("no rows"), *[v.alias(k) for k, v in bad.items()])
+    if missing := _missing(df):
+        return df.sparkSession.createDataFrame(missing, "check string, violations bigint")
+    row = df.agg(*[v.alias(k) for k, v in _violations(df).items()])
     twice = df.groupBy("UserID", "ActivityDate").count().agg(F.count_if(F.col("count") > 1).alias("repeated player-day"))
     row = row.join(twice, how="cross")
     return row.unpivot([], row.columns, "check", "violations")
 
 
 def load_player_day(df: DataFrame) -> DataFrame:
-    """A read player-day table, checked, typed and trimmed; raises on any violation."""
-    require_valid(validate_player_day(df))
+    """A read player-day table, checked, typed, trimmed and laid out by player; raises on any violation.
+
+    The checks are metrics observed on the one pass that writes the laid-out
+    table. An executor lost during it may count a violation twice, never a
+    violation where there is none.
+    """
+    spark = df.sparkSession
+    if missing := _missing(df):
+        raise ValueError(f"violations: {dict(missing)}")
     money = [c for c in NUMERIC if c.endswith(("Wagers", "Winnings", "Amount"))]
-    typed = {c: F.col(c).cast(MONEY if c in money else "bigint") for c in NUMERIC} | {"UserID": F.col("UserID").cast("bigint"), "ActivityDate": F.col("ActivityDate").cast("date"), "Gender": F.trim("Gender"), "Country": F.trim("Country")}
-    return df.withColumns(typed).select(*PLAYER_DAY)
+    text = lambda c: F.col(c).cast("string")
+    kinds = {c: MONEY if c in money else "bigint" for c in NUMERIC} | {"UserID": "bigint", "ActivityDate": "date", "CashGameAvgOdds": "double", "TournamentAvgOdds": "double"}
+    # whole numbers may be written like 19.0, as exact decimals they keep all digits
+    cast = {c: text(c).try_cast("decimal(28,5)").try_cast(k) if k == "bigint" else text(c).try_cast(k) for c, k in kinds.items()}
+    rows, days = Observation(), Observation()
+    read = df.observe(rows, *[v.alias(k) for k, v in _violations(df).items()])
+    read = read.withColumns(cast | {"Gender": F.trim("Gender"), "Country": F.trim("Country")}).select(*PLAYER_DAY)
+    by = Window.partitionBy("UserID", "ActivityDate").orderBy("ActivityDate")
+    read = read.repartition("UserID").withColumn("__place", F.row_number().over(by))  # a repeated day is counted once, at its second row
+    read = read.observe(days, F.count_if(F.col("__place") == 2).alias("repeated player-day")).drop("__place")
+    with work_tables(spark) as work:
+        out = laid_out(read, "player-days")
+        # of a table without rows nothing may be observed at all
+        bad = {"no rows": 1} if out.isEmpty() else {k: v for k, v in (rows.get | days.get).items() if v}
+        if not bad:
+            work.keep()
+    if bad:
+        raise ValueError(f"violations: {bad}")
+    return out
 
 
 def profile(df: DataFrame, name: str, key: str, distinct: list[str], dates: list[str] = (), measures: list[str] = ()) -> DataFrame:
@@ -42,16 +72,46 @@ def profile(df: DataFrame, name: str, key: str, distinct: list[str], dates: list
     return row.unpivot([], row.columns, "Metric", "Value").select(F.lit(name).alias("Table"), "Metric", "Value")
 
 
-def summarize(df: DataFrame) -> DataFrame:
-    """A row per column: type, min, max, approximate distinct count, mean, deviation, quartiles, count, null share."""
+#: Of a sketch: k of the quantiles (rank error about 1.65 / k^0.9) and lg of the registers of the distinct count (error 1.04 / 2^(lg / 2)).
+KLL_K, HLL_LG = 2000, 14
+
+
+def _is_number(kind: str) -> bool:
+    return kind in ("int", "bigint", "double", "float", "smallint") or kind.startswith("decimal")
+
+
+def column_sketches(df: DataFrame, span: Column | None = None) -> DataFrame:
+    """(Span, column_name, column_type, ...): what summaries of each column are made of, by span of the rows (null: one span).
+
+    Counts, extremes, sums and two sketches: quantiles (KLL) and distinct
+    values (HLL). Rows of new spans are put beside the old ones; a summary over
+    any of them is a merge. One pass over df, a row per column and span.
+    """
     each = []
     for c, t in df.dtypes:
-        numeric = t in ("int", "bigint", "double", "float", "smallint") or t.startswith("decimal")
-        x = F.col(c).cast("double") if numeric else F.lit(None).cast("double")
-        q = F.percentile_approx(x, [0.25, 0.5, 0.75], 10000)
-        facts = {"column_name": F.lit(c), "column_type": F.lit(t), "min": F.min(c).cast("string"), "max": F.max(c).cast("string"), "approx_unique": F.approx_count_distinct(c), "avg": F.avg(x), "std": F.stddev_samp(x), "q25": q[0], "q50": q[1], "q75": q[2], "count": F.count("*"), "null_percentage": F.try_divide(100.0 * F.count_if(F.col(c).isNull()), F.count("*"))}
+        x = F.col(c).cast("double") if _is_number(t) else F.lit(None).cast("double")
+        facts = {"column_name": F.lit(c), "column_type": F.lit(t), "min": F.min(c).cast("string"), "max": F.max(c).cast("string"), "least": F.min(x), "most": F.max(x), "rows": F.count("*"), "nulls": F.count_if(F.col(c).isNull()), "values": F.count(x), "mean": F.avg(x), "squares": F.var_pop(x) * F.count(x), "quantiles": F.kll_sketch_agg_double(x, F.lit(KLL_K)), "distinct": F.hll_sketch_agg(F.col(c).cast("string"), HLL_LG)}
         each.append(F.struct(*[v.alias(k) for k, v in facts.items()]))
-    return df.agg(F.array(*each).alias("columns")).select(F.inline("columns"))
+    spans = df.groupBy((F.lit(None).cast("date") if span is None else span).alias("Span")).agg(F.array(*each).alias("columns"))
+    return spans.select("Span", F.inline("columns"))
+
+
+def summarize(sketches: DataFrame) -> DataFrame:
+    """A row per column of column_sketches: type, min, max, approximate distinct count, mean, deviation, quartiles, count, null share.
+
+    Spans are merged: deviations by the sums of squares within and between
+    spans, quartiles and distinct counts by their sketches. Texts compare as
+    texts, numbers as numbers.
+    """
+    n = F.sum("values")
+    mean = F.try_divide(F.sum(F.col("mean") * F.col("values")), n)
+    between = F.sum(F.col("values") * F.col("mean") * F.col("mean")) - n * mean * mean
+    quarter = lambda q: F.when(n > 0, F.kll_sketch_get_quantile_double(F.kll_merge_agg_double("quantiles", KLL_K), F.lit(q)))
+    return sketches.groupBy("column_name", "column_type").agg(
+        F.coalesce(F.min_by("min", "least"), F.min("min")).alias("min"), F.coalesce(F.max_by("max", "most"), F.max("max")).alias("max"),
+        F.hll_sketch_estimate(F.hll_union_agg("distinct")).alias("approx_unique"), mean.alias("avg"), F.sqrt(F.try_divide(F.sum("squares") + F.greatest(between, F.lit(0.0)), n - 1)).alias("std"),
+        quarter(0.25).alias("q25"), quarter(0.5).alias("q50"), quarter(0.75).alias("q75"), F.sum("rows").alias("count"), F.try_divide(100.0 * F.sum("nulls"), F.sum("rows")).alias("null_percentage"),
+    )
 
 
 def frequencies(df: DataFrame, column: str, amount: str | None = None) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from playerday.functions.scalars import age_band, rank_of, safe_divide
-from playerday.functions.stats import avg_ranks, category_mix, mix_text
-from playerday.operators.activity import by_game_type
+from playerday.functions.stats import avg_ranks, category_mix, mix_text, quantiles, with_quantiles
+from playerday.operators.activity import by_game_type, distinct_players, player_sets
 from playerday.operators.features import net_gaming
 from playerday.operators.value import RFM_LABEL
 from playerday.sources.schemas import MIN_LEGAL_AGE, PLAYER_SEGMENTS, RISK_LABELS, VALUE_LABELS, RiskThresholds
@@ -33,14 +33,18 @@ def d(c: str) -> Column:
     return F.col(c).cast("double")
 
 
+PROFILE_MEDIANS = ("TenureDays", "RecencyDays", "Frequency", "WagerAmount", "NetGaming", "DepositAmount", "WithdrawalAmount", "WithdrawalToDeposit", "AvgCashOdds", "CashGameShare")
+
+
 def segment_profile(df: DataFrame, segment: str) -> DataFrame:
     """Medians, totals, means, shares and category mixes (as texts) of the players of each segment."""
-    med = lambda c: F.median(d(c))
     out = df.groupBy(F.col(segment).alias("Segment")).agg(
-        F.count("*").alias("Players"), med("Age").alias("MedianRecordedAge"), F.median(F.when(F.col("Age") >= MIN_LEGAL_AGE, d("Age"))).alias("MedianAge19Plus"), F.sum("AgeEligibilityFlag").alias("Under19Players"),
-        *[med(c).alias(f"Median{c}") for c in ("TenureDays", "RecencyDays", "Frequency", "WagerAmount", "NetGaming", "DepositAmount", "WithdrawalAmount", "WithdrawalToDeposit", "AvgCashOdds", "CashGameShare")],
-        F.percentile(d("WagerAmount"), 0.9).alias("P90WagerAmount"), F.sum("WagerAmount").cast("double").alias("TotalWagerAmount"), F.sum("NetGaming").cast("double").alias("TotalNetGaming"), F.avg("FailedTxnRate").alias("AvgFailedTxnRate"), F.avg(d("LossChasingDays")).alias("AvgLossChasingDays"),
+        F.count("*").alias("Players"), F.sum("AgeEligibilityFlag").alias("Under19Players"), F.sum("WagerAmount").cast("double").alias("TotalWagerAmount"), F.sum("NetGaming").cast("double").alias("TotalNetGaming"),
+        F.avg("FailedTxnRate").alias("AvgFailedTxnRate"), F.avg(d("LossChasingDays")).alias("AvgLossChasingDays"),
     )
+    wanted = {"MedianRecordedAge": ("Age", 0.5), "MedianAge19Plus": (F.when(F.col("Age") >= MIN_LEGAL_AGE, d("Age")), 0.5), "P90WagerAmount": ("WagerAmount", 0.9)}
+    wanted |= {f"Median{c}": (c, 0.5) for c in PROFILE_MEDIANS}
+    out = with_quantiles(out, df.withColumn("Segment", F.col(segment)), wanted, ["Segment"])
     whole = Window.partitionBy()  # a row per segment
     share = lambda c: F.try_divide(d(c), F.sum(d(c)).over(whole))
     for column, top in (("AgeBand", None), ("Gender", None), ("Country", 3)):
@@ -64,10 +68,11 @@ def value_risk_matrix(df: DataFrame, value: str = RFM_LABEL, t: RiskThresholds =
     spark = df.sparkSession
     grid = spark.createDataFrame([(v, r, ACTIONS[v, r]) for v in VALUE_LABELS for r in RISK_LABELS], "`Value Segment` string, `Risk Segment` string, `Recommended Action` string")
     cells = df.groupBy(F.col(value).alias("Value Segment"), "Risk Segment").agg(
-        F.count("*").alias("Players"), F.sum("NetGaming").cast("double").alias("TotalNetGaming"), F.median(d("NetGaming")).alias("MedianNetGaming"), F.sum("WithdrawalAmount").cast("double").alias("TotalWithdrawalAmount"),
+        F.count("*").alias("Players"), F.sum("NetGaming").cast("double").alias("TotalNetGaming"), F.sum("WithdrawalAmount").cast("double").alias("TotalWithdrawalAmount"),
         F.count_if(F.col("AMLRiskScore") > 0).alias("AMLIndicatorPlayers"), F.count_if(F.col("RGRiskScore") > 0).alias("RGIndicatorPlayers"),
         F.count_if(F.col("AMLRiskScore") >= t.high_aml).alias("AMLHighPriorityPlayers"), F.count_if(F.col("RGRiskScore") >= t.high_rg).alias("RGHighPriorityPlayers"),
     )
+    cells = with_quantiles(cells, df.withColumn("Value Segment", F.col(value)), {"MedianNetGaming": ("NetGaming", 0.5)}, ["Value Segment", "Risk Segment"])
     filled = [c for c in cells.columns if c not in ("Value Segment", "Risk Segment", "MedianNetGaming")]
     out = F.broadcast(grid).join(cells, ["Value Segment", "Risk Segment"], "left").fillna(0, filled)
     whole = Window.partitionBy()
@@ -90,34 +95,46 @@ def rank_correlation(df: DataFrame) -> DataFrame:
     return ranked.agg(F.corr(d("a"), d("b")).alias("RankCorrelation"))
 
 
-def method_summary(df: DataFrame, value: str = "Value Segment", other: str = RFM_LABEL) -> DataFrame:
-    """(Metric, Value) of the measured comparison of two value labels and of the risk tiers."""
-    gap = F.abs(rank_of(value, VALUE_LABELS) - rank_of(other, VALUE_LABELS))
-    aggs = {"Players segmented": F.count("*"), "Methods agree exactly (players)": F.count_if(gap == 0), "Exact agreement rate": F.avg((gap == 0).cast("double")), "Agreement within one tier": F.avg((gap <= 1).cast("double")), "Disagreement of two tiers or more": F.count_if(gap >= 2), "High Risk share of players": F.avg((F.col("Risk Segment") == "High Risk").cast("double"))}
+def risk_summary(df: DataFrame, value: str = RFM_LABEL) -> DataFrame:
+    """(Metric, Value) of one value label and the risk tiers: players, tiers of both, High Risk share, rank correlation."""
+    aggs = {"Players segmented": F.count("*"), "High Risk share of players": F.avg((F.col("Risk Segment") == "High Risk").cast("double"))}
     aggs |= {f"{v} players": F.count_if(F.col(value) == v) for v in VALUE_LABELS} | {f"{r} players": F.count_if(F.col("Risk Segment") == r) for r in RISK_LABELS}
     one = df.agg(*[F.round(v.cast("double"), 4).alias(k) for k, v in aggs.items()])
     corr = rank_correlation(df).select(F.round("RankCorrelation", 4).alias("Value / Risk rank correlation"))
-    one = one.join(corr, how="cross")
+    one = one.join(corr, how="cross")  # a row each
     return one.unpivot([], one.columns, "Metric", "Value")
 
 
+def method_summary(df: DataFrame, value: str = "Value Segment", other: str = RFM_LABEL) -> DataFrame:
+    """(Metric, Value) of the measured comparison of two value labels, and the risk summary of the first."""
+    gap = F.abs(rank_of(value, VALUE_LABELS) - rank_of(other, VALUE_LABELS))
+    aggs = {"Methods agree exactly (players)": F.count_if(gap == 0), "Exact agreement rate": F.avg((gap == 0).cast("double")), "Agreement within one tier": F.avg((gap <= 1).cast("double")), "Disagreement of two tiers or more": F.count_if(gap >= 2)}
+    one = df.agg(*[F.round(v.cast("double"), 4).alias(k) for k, v in aggs.items()])
+    return risk_summary(df, value).union(one.unpivot([], one.columns, "Metric", "Value"))
+
+
 def data_quality_notes(player_day: DataFrame, features: DataFrame) -> DataFrame:
     """(Topic, Value): the measured facts behind the data-quality notes, as text-free numbers (dates as days since 1970)."""
     days = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date"))
     span = player_day.agg(F.min(days("ActivityDate")).alias("FirstDay"), F.max(days("ActivityDate")).alias("LastDay"))
     zero = lambda c: F.count_if(F.col(c) == 0)
     facts = features.agg(
-        F.count("*").alias("Players"), F.median(d("RecencyDays")).alias("MedianRecencyDays"), F.min("Age").alias("MinAge"), F.max("Age").alias("MaxAge"), F.median(d("Age")).alias("MedianAge"), F.count_if(F.col("Age") < MIN_LEGAL_AGE).alias("Under19Players"),
+        F.count("*").alias("Players"), F.min("Age").alias("MinAge"), F.max("Age").alias("MaxAge"), F.count_if(F.col("Age") < MIN_LEGAL_AGE).alias("Under19Players"),
         F.sum("WagerAmount").alias("TotalTurnover"), F.sum("NetGaming").alias("TotalNetGaming"), F.count_if(F.col("NetGaming") < 0).alias("NetAheadPlayers"), zero("WithdrawalAmount").alias("NeverWithdrew"), zero("DepositAmount").alias("NeverDeposited"), zero("WagerAmount").alias("ZeroWagerPlayers"),
     )
-    one = span.join(facts, how="cross")
+    medians = quantiles(features, {"MedianRecencyDays": ("RecencyDays", 0.5), "MedianAge": ("Age", 0.5)})
+    one = span.join(facts, how="cross").join(medians, how="cross")  # a row each
     one = one.select(*[d(c).alias(c) for c in one.columns])
     return one.unpivot([], one.columns, "Topic", "Value")
 
 
-def kpi_summary(player_day: DataFrame) -> DataFrame:
+def kpi_summary(player_day: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+    """Totals of the whole span; players are counted from stored player sets where they are given."""
     df = net_gaming(player_day)
-    out = df.agg(F.countDistinct("UserID").alias("ActivePlayers"), *[F.sum(c).cast("double").alias(n) for n, c in (("Wagers", "WagerAmount"), ("Winnings", "WinningAmount"), ("NetGaming", "NetGaming"), ("Deposits", "DepositAmount"), ("Withdrawals", "WithdrawalAmount"))])
+    sums = [F.sum(c).cast("double").alias(n) for n, c in (("Wagers", "WagerAmount"), ("Winnings", "WinningAmount"), ("NetGaming", "NetGaming"), ("Deposits", "DepositAmount"), ("Withdrawals", "WithdrawalAmount"))]
+    players = distinct_players(player_sets(player_day) if sets is None else sets).where("GameType = 'Any'")
+    players = players.agg(F.coalesce(F.sum("Players"), F.lit(0)).alias("ActivePlayers"))
+    out = players.join(df.agg(*sums), how="cross")  # a row each
     return out.withColumns({"AvgWagerPerPlayer": safe_divide("Wagers", "ActivePlayers"), "HoldRate": safe_divide("NetGaming", "Wagers"), "NetGamingPerPlayer": safe_divide("NetGaming", "ActivePlayers")})
 
 
@@ -134,9 +151,28 @@ def game_mix_by_year(player_day: DataFrame) -> DataFrame:
     return df.withColumn("WagerShare", F.try_divide("Wagers", F.sum("Wagers").over(Window.partitionBy("Year"))))
 
 
+#: Dimensions of contributions.
+DIMENSIONS = ("Country", "Gender", "AgeBand")
+
+
+def contributions(player_day: DataFrame) -> DataFrame:
+    """Wagers and net gaming of each country, gender and age band and of all, with their shares of all; one pass, by grouping sets."""
+    named = {c: F.coalesce(F.col(c), F.lit("Unknown")) for c in DIMENSIONS}
+    df = net_gaming(player_day).withColumn("AgeBand", age_band("Age")).select(*[v.alias(k) for k, v in named.items()], "WagerAmount", "NetGaming")
+    sums = [F.sum("WagerAmount").cast("double").alias("Wagers"), F.sum("NetGaming").cast("double").alias("NetGaming")]
+    rows = df.groupingSets([*([c] for c in DIMENSIONS), []], *DIMENSIONS).agg(*sums, F.grouping_id().alias("__left"))
+    every = (1 << len(DIMENSIONS)) - 1  # bits of the dimensions that a row leaves out
+    dimension = F.lit("All")
+    for i, c in enumerate(DIMENSIONS):
+        dimension = F.when(F.col("__left") == every - (1 << (len(DIMENSIONS) - 1 - i)), c).otherwise(dimension)
+    whole = Window.partitionBy()  # a row for each value of a dimension
+    total = lambda c: F.max(F.when(F.col("__left") == every, F.col(c))).over(whole)
+    return rows.select(dimension.alias("Dimension"), F.coalesce(*DIMENSIONS, F.lit("All")).alias("Value"), "Wagers", "NetGaming", F.try_divide("Wagers", total("Wagers")).alias("WagerShare"), F.try_divide("NetGaming", total("NetGaming")).alias("NetGamingShare"))
+
+
 def contribution_by(player_day: DataFrame, dimension: str) -> DataFrame:
-    """Wagers and net gaming of each value of a dimension (Country, Gender or AgeBand) and their shares of the total."""
-    return contribution(net_gaming(player_day).withColumn("AgeBand", age_band("Age")), dimension)
+    """The contributions of one dimension (Country, Gender or AgeBand)."""
+    return contributions(player_day).where(F.col("Dimension") == dimension)
 
 
 def contribution(df: DataFrame, dimension: str) -> DataFrame:

@@ -21,13 +21,12 @@ def _flag(cond: Column) -> Column:
 def risk_segments(features: DataFrame, t: RiskThresholds = RiskThresholds()) -> DataFrame:
     """features with ten flags, both scores, Risk Segment and Risk Driver.
 
-    The three quantile cuts are exact, from counts of values in buckets, and no
-    task holds all values; all else is projection. features is read for each
-    cut, so it should be a written table.
+    The three quantile cuts are exact, from cumulative counts that one pass
+    gives for all three; all else is projection. features is read twice, so it
+    should be a written table.
     """
     d = lambda c: F.col(c).cast("double")
-    values = features.select(d("WithdrawalAmount").alias("w"), F.col("NetLossPerActiveDay").alias("v"), d("NetGaming").alias("n"))
-    cut = {c: exact_quantiles(values, c, [q])[0] for c, q in (("w", t.withdrawal_quantile), ("v", t.velocity_quantile), ("n", t.loss_quantile))}
+    cut = exact_quantiles(features, {"w": ("WithdrawalAmount", t.withdrawal_quantile), "v": ("NetLossPerActiveDay", t.velocity_quantile), "n": ("NetGaming", t.loss_quantile)})
     at_least = lambda x, c: x >= F.lit(cut[c]).cast("double")
     df = features
     df = df.withColumns({

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from playerday.functions.scalars import signed_log1p
-from playerday.functions.stats import avg_ranks, quintile
+from playerday.functions.stats import quintile_scores, with_quantiles
 from playerday.sources.schemas import VALUE_LABELS, KMeansConfig
 
 LRFM = ["Recency", "Frequency", "Monetary", "Deposit", "Tenure"]
@@ -18,14 +22,12 @@ RFM_LABEL = "Value Segment (RFM Score)"
 def rfm_scores(features: DataFrame) -> DataFrame:
     """features with the three quintile scores, RFMScore and its label; ties share a score.
 
-    features is read once for each score and once for the count: hand over a
-    written or persisted table (a row per player).
+    features is read once for the cuts of all three scores and once for its
+    rows: hand over a written table (a row per player).
     """
-    df = avg_ranks(features, {"RecencyDays": "__Recency", "Frequency": "__Frequency", "NetGaming": "__Monetary"})
-    df = df.join(F.broadcast(features.agg(F.count("*").alias("__n"))), how="cross")
-    n = F.col("__n")
-    df = df.withColumns({"RecencyScore": quintile(F.col("__Recency"), n, reverse=True), "FrequencyScore": quintile(F.col("__Frequency"), n), "MonetaryScore": quintile(F.col("__Monetary"), n)})
-    df = df.drop("__n", "__Recency", "__Frequency", "__Monetary").withColumn("RFMScore", F.col("RecencyScore") + F.col("FrequencyScore") + F.col("MonetaryScore"))
+    scored = {"RecencyDays": "RecencyScore", "Frequency": "FrequencyScore", "NetGaming": "MonetaryScore"}
+    df = quintile_scores(features, scored, reverse=["RecencyDays"])
+    df = df.withColumn("RFMScore", F.col("RecencyScore") + F.col("FrequencyScore") + F.col("MonetaryScore"))
     score = F.col("RFMScore")
     return df.withColumn(RFM_LABEL, F.when(score >= 13, "Premium").when(score >= 10, "High Value").when(score >= 7, "Medium Value").otherwise("Low Value"))
 
@@ -68,26 +70,58 @@ def inertia(df: DataFrame, centroids: list[list[float]], columns: list[str] = LR
     return kmeans_assign(df, centroids, columns).agg(F.sum("Distance").alias("Inertia"))
 
 
+#: Rows of the matrix in one partition of a fit, and fits that run side by side.
+ROWS_PER_PART, SIDE_BY_SIDE = 100_000, 8
+
+
+def _matrix(scaled: DataFrame, columns: list[str]) -> DataFrame:
+    """The features as one cached vector column, in as many partitions as its rows need."""
+    data = scaled.select(array_to_vector(F.array(*columns)).alias("features"))
+    return data.repartition(max(1, math.ceil(scaled.count() / ROWS_PER_PART))).persist()
+
+
+def kmeans_fits(matrices: list[DataFrame], ks: list[int], config: KMeansConfig = KMeansConfig(), n_init: int | None = None) -> dict[tuple[int, int], list[list[float]]]:
+    """(number of the matrix, k) -> centroids of the best of n_init MLlib runs (seed, seed + 1, ...) by training cost.
+
+    Each fit is a chain of small Spark jobs over a cached matrix, so several
+    run side by side from threads that inherit the session's properties; with
+    spark.scheduler.mode=FAIR each thread's jobs are a pool of their own. The
+    best of a (matrix, k) does not depend on which fit ends first.
+    """
+    tasks = [(i, k, start) for i in range(len(matrices)) for k in ks for start in range(n_init or config.n_init)]
+    spark = matrices[0].sparkSession
+
+    def fit(task: tuple[int, int, int]) -> tuple[float, int, list[list[float]]]:
+        i, k, start = task
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"kmeans-{i}-{k}")
+        model = KMeans(k=k, seed=config.seed + start, maxIter=config.max_iter, tol=config.tol).fit(matrices[i])
+        return model.summary.trainingCost, start, [list(map(float, c)) for c in model.clusterCenters()]
+
+    with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
+        results = list(pool.map(inheritable_thread_target(spark)(fit), tasks))
+    best: dict[tuple[int, int], tuple] = {}
+    for (i, k, _), found in zip(tasks, results):
+        best[i, k] = min(best.get((i, k), found), found)
+    return {key: centroids for key, (_, _, centroids) in best.items()}
+
+
 def kmeans_fit(scaled: DataFrame, config: KMeansConfig = KMeansConfig(), k: int | None = None, n_init: int | None = None, columns: list[str] = LRFM) -> list[list[float]]:
-    """Centroids of the best of n_init MLlib runs (seed, seed + 1, ...) by training cost."""
-    data = scaled.select(array_to_vector(F.array(*columns)).alias("features")).persist()
+    """Centroids of the best of n_init runs."""
+    data = _matrix(scaled, columns)
     try:
-        best = None
-        for i in range(n_init or config.n_init):
-            model = KMeans(k=k or config.k, seed=config.seed + i, maxIter=config.max_iter, tol=config.tol).fit(data)
-            if best is None or model.summary.trainingCost < best[0]:
-                best = (model.summary.trainingCost, [list(map(float, c)) for c in model.clusterCenters()])
-        return best[1]
+        return kmeans_fits([data], [k or config.k], config, n_init)[0, k or config.k]
     finally:
         data.unpersist()
 
 
-def silhouette(df: DataFrame, columns: list[str] = LRFM, key: str = "UserID", cluster: str = "KMeansCluster") -> DataFrame:
+def silhouette(df: DataFrame, columns: list[str] = LRFM, key: str = "UserID", cluster: str = "KMeansCluster", most: int = KMeansConfig.silhouette_sample) -> DataFrame:
     """Exact mean Euclidean silhouette of a bounded sample; a lone point counts 0, a single cluster gives 0.
 
-    Pairs are taken within the sample only (at most silhouette_sample rows, so
-    their number is bounded whatever the data).
+    All pairs of the sample are taken, so df may have `most` rows at most; more
+    raise an error (see silhouette_sample).
     """
+    if (rows := df.limit(most + 1).count()) > most:
+        raise ValueError(f"a silhouette takes {most} rows at most, found {rows} or more: hand over a sample")
     a = df.select(F.col(key).alias("i"), F.col(cluster).alias("ci"), F.array(*columns).alias("x"))
     b = df.select(F.col(key).alias("j"), F.col(cluster).alias("cj"), F.array(*columns).alias("y"))
     far = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
@@ -109,16 +143,21 @@ def kmeans_diagnostics(scaled: DataFrame, config: KMeansConfig = KMeansConfig())
 
     The silhouette's sample is clustered on its own.
     """
-    spark, n_init = scaled.sparkSession, config.diagnostic_starts
+    spark = scaled.sparkSession
     sample = silhouette_sample(scaled, config).persist()
-    size, rows = sample.count(), []
-    for k in config.k_range:
-        cost = inertia(scaled, kmeans_fit(scaled, config, k, n_init)).first()[0]
-        width = silhouette(kmeans_assign(sample, kmeans_fit(sample, config, k, n_init))).first()[0]
-        rows.append((k, round(cost, 2), round(width, 4), size, "Yes" if k == config.k else ""))
-    sample.unpersist()
+    matrices = [_matrix(scaled, LRFM), _matrix(sample, LRFM)]
+    try:
+        best = kmeans_fits(matrices, list(config.k_range), config)
+        size, rows = sample.count(), []
+        for k in config.k_range:
+            cost = inertia(scaled, best[0, k]).first()[0]
+            width = silhouette(kmeans_assign(sample, best[1, k]), most=config.silhouette_sample).first()[0]
+            rows.append((k, round(cost, 2), round(width, 4), size, "Yes" if k == config.k else ""))
+    finally:
+        for cached in (sample, *matrices):
+            cached.unpersist()
     found = spark.createDataFrame(rows, "K int, Inertia double, MeanSilhouette double, SilhouetteSampleSize bigint, Selected string")
-    note = diagnostics_note(found, config).select(F.format_string(f"K={config.k} is selected; the silhouette is best at K=%d with %.4f, and all values lie within %.3f of each other", F.col("BestK.K"), "BestSilhouette", "Spread"))
+    note = diagnostics_note(found, config).select(F.format_string(f"K={config.k} is selected; the silhouette is best at K=%d with %.4f, and all values lie within %.3f of each other ({config.n_init} starts for each fit)", F.col("BestK.K"), "BestSilhouette", "Spread"))
     return found.union(note.select(*[F.lit(None)] * 4, "*"))
 
 
@@ -143,8 +182,9 @@ def cluster_profile(clustered: DataFrame, centroids: list[list[float]]) -> DataF
     """One row per cluster: size, net gaming, medians, share, tier (by net gaming per player) and archetype."""
     spark = clustered.sparkSession
     points = spark.createDataFrame([(i, *c) for i, c in enumerate(centroids)], "KMeansCluster int, " + ", ".join(f"{c} double" for c in LRFM))
-    med = lambda c: F.median(F.col(c).cast("double"))
-    rows = clustered.groupBy("KMeansCluster").agg(F.count("*").alias("Players"), F.sum("NetGaming").cast("double").alias("TotalNetGaming"), med("NetGaming").alias("MedianNetGaming"), med("RecencyDays").alias("MedianRecencyDays"), med("Frequency").alias("MedianFrequency"), med("DepositAmount").alias("MedianDepositAmount"))
+    rows = clustered.groupBy("KMeansCluster").agg(F.count("*").alias("Players"), F.sum("NetGaming").cast("double").alias("TotalNetGaming"))
+    medians = {f"Median{c}": (c, 0.5) for c in ("NetGaming", "RecencyDays", "Frequency", "DepositAmount")}
+    rows = with_quantiles(rows, clustered, medians, ["KMeansCluster"])
     rows = rows.withColumn("NetGamingPerPlayer", F.col("TotalNetGaming") / F.col("Players")).join(F.broadcast(archetypes(points)), "KMeansCluster")
     place = F.row_number().over(Window.orderBy("NetGamingPerPlayer", "KMeansCluster"))  # a row per cluster
     label = F.get(F.array(*map(F.lit, VALUE_LABELS)), F.least(place - 1, F.lit(len(VALUE_LABELS) - 1)))

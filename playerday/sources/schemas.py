@@ -90,8 +90,6 @@ class KMeansConfig:
     tol: float = 1e-6
     k_range: tuple[int, ...] = (2, 3, 4, 5, 6, 7, 8)
     silhouette_sample: int = 1500
-    #: Starts of each of the fits behind the diagnostics: two for each K, so twenty would make 280 fits.
-    diagnostic_starts: int = 2
 
 
 MIN_LEGAL_AGE = 19

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from playerday.sources.files import typed
 from playerday.sources.schemas import SOURCES
 
+#: The tables of the test schema that are read.
+READ = ("orders", "lineitem", "customer", "nation")
 _USER = "CASE WHEN o_orderkey % 5 = 0 THEN o_custkey % 15 ELSE o_custkey END"
 
 

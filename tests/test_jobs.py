@@ -21,7 +21,7 @@ def built(spark, tmp_path_factory):
     for name, df in load_testdata(spark, "/root/testdata/sf0.001").items():
         df.write.parquet(f"{root}/sources/{name}")
     jobs.build_player_day(spark, f"{root}/sources", f"{root}/out")
-    jobs.build_segments(spark, f"{root}/out/player_day", f"{root}/segments", KMeansConfig(n_init=2, k_range=(2, 3), diagnostic_starts=1))
+    jobs.build_segments(spark, f"{root}/out/player_day", f"{root}/segments", KMeansConfig(n_init=2, k_range=(2, 3)))
     jobs.build_review(spark, f"{root}/out/player_day", f"{root}/out")
     return root
 
@@ -29,8 +29,8 @@ def built(spark, tmp_path_factory):
 def test_player_day_and_months(spark, built):
     days = files.read_player_day(spark, f"{built}/out/player_day")
     assert sorted(days.columns) == sorted(PLAYER_DAY) and days.count() > 0
-    assert len(os.listdir(f"{built}/out/player_day")) > 12  # a folder for each month
-    months = spark.read.parquet(f"{built}/out/monthly")
+    assert sum(x.startswith("Month=") for x in os.listdir(f"{built}/out/player_day")) == 12  # a folder for each month
+    months = files.read_monthly(spark, f"{built}/out/monthly")
     assert months.columns == ["MonthDate", "GameType", "PlayerVolume", "TotalWagers", "TotalWinnings", "AverageOdds"]
     sums = days.agg(F.sum("CashGameWagers") + F.sum("TournamentWagers")).first()[0]
     assert months.agg(F.sum("TotalWagers")).first()[0] == sums

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playerday.llm.common import fold, materialise, table
+from playerday.llm.common import fold, table
 from playerday.llm.labelled import training_rows
 
 WIDTH = 1 << 20
@@ -57,24 +58,23 @@ def log_count_ratios(good: np.ndarray, bad: np.ndarray, totals: tuple[float, flo
     return np.log(shares[0] / shares[1]).astype(np.float32)
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, cost: float = 1.0, passes: int = 12, tolerance: float = 1e-3, seed: int = 5) -> tuple[np.ndarray, float]:
+def dual_coordinate_descent(rows: Sequence[np.ndarray], y: np.ndarray, ratios: np.ndarray, cost: float = 1.0, passes: int = 12, tolerance: float = 1e-3, seed: int = 5) -> tuple[np.ndarray, float]:
     """Linear hinge loss over ratio-scaled indicators of length one, solved in the dual one row at a time (Hsieh et al. 2008)."""
-    values = []
-    for found in rows:
-        v = ratios[found]
-        values.append(v / (np.sqrt((v * v).sum()) or 1.0))
     w, bias = np.zeros(len(ratios), np.float32), 0.0
     alpha = np.zeros(len(rows))
-    square = np.array([float((v * v).sum()) + 1.0 for v in values])  # the bias is a feature of 1
     rng = np.random.default_rng(seed)
     for _ in range(passes):
         worst = 0.0
         for i in rng.permutation(len(rows)):
-            slope = y[i] * (float(w[rows[i]] @ values[i]) + bias) - 1.0
-            step = min(max(alpha[i] - slope / square[i], 0.0), cost) - alpha[i]
+            found = rows[i]
+            value = ratios[found]
+            value = value / (np.sqrt((value * value).sum()) or 1.0)
+            slope = y[i] * (float(w[found] @ value) + bias) - 1.0
+            square = float((value * value).sum()) + 1.0  # the bias is a feature of 1
+            step = min(max(alpha[i] - slope / square, 0.0), cost) - alpha[i]
             if step:
                 alpha[i] += step
-                w[rows[i]] += np.float32(step * y[i]) * values[i]
+                w[found] += np.float32(step * y[i]) * value
                 bias += step * y[i]
                 worst = max(worst, abs(step))
         if worst < tolerance:
@@ -97,58 +97,66 @@ def platt(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(at[0], 1e-3)), float(at[1])
 
 
-def chosen_grams(sample: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and log-count ratios of the `most` n-grams that part good from bad documents most surely.
+def pack(found: np.ndarray) -> bytes:
+    """Sorted n-grams of a text as the shorter of their gaps and a set of WIDTH bits, compressed: 128 KB at most."""
+    gaps = zlib.compress(np.diff(found, prepend=0).astype("<u4").tobytes(), 1)
+    if len(gaps) < WIDTH // 64:
+        return b"g" + gaps
+    bits = np.zeros(WIDTH, np.uint8)
+    bits[found] = 1
+    return min(b"g" + gaps, b"b" + np.packbits(bits).tobytes(), key=len)
 
-    Documents are counted in Spark; only the chosen n-grams reach the driver.
-    Surest are those with the largest ratio for its standard error.
-    """
-    counts = sample.select("label", F.explode("grams").alias("gram")).groupBy("gram").agg(F.sum("label").alias("good"), F.sum(1 - F.col("label")).alias("bad"))
-    docs = sample.agg(F.sum("label").alias("good"), F.sum(1 - F.col("label")).alias("bad")).first()
-    odds = F.log((F.col("good") + 0.5) / (docs["good"] + 1.0)) - F.log((F.col("bad") + 0.5) / (docs["bad"] + 1.0))
-    surety = F.abs(odds) / F.sqrt(1 / (F.col("good") + 0.5) + 1 / (F.col("bad") + 0.5))
-    totals = counts.agg(F.sum("good"), F.sum("bad")).first()
-    top = counts.withColumn("surety", surety).orderBy(F.desc("surety"), "gram").limit(most).select("gram", "good", "bad").toArrow()
-    gram, good, bad = (c.to_numpy() for c in top.columns)
-    order = np.argsort(gram)
-    return gram[order].astype(np.int32), log_count_ratios(good[order], bad[order], tuple(map(float, totals)))
-
-
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 6000, most_grams: int = 1 << 17) -> QualityModel:
-    """Fit on at most `most` labelled rows and their `most_grams` surest n-grams; fold 1 sets the score's curve.
-
-    What reaches the driver is bounded whatever the texts' length: a set of
-    bits, one for each chosen n-gram, for each row (16 KB at most, compressed).
-    Without labels of both classes every score is their mean (0.5 without any).
-    """
 
-    @F.pandas_udf("array<int>")
-    def features(texts: pd.Series) -> pd.Series:
-        return pd.Series([grams(x) for x in texts], dtype="object")
+def unpack(packed: bytes) -> np.ndarray:
+    if packed[:1] == b"g":
+        return np.cumsum(np.frombuffer(zlib.decompress(packed[1:]), "<u4"), dtype=np.int32)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(packed, np.uint8, offset=1))).astype(np.int32)
+
+
+class Packed(Sequence):
+    """Rows of n-grams that stay packed until they are looked at."""
+
+    def __init__(self, rows: list[bytes]):
+        self.rows = rows
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, i):
+        return unpack(self.rows[i])
 
-    sample = materialise(training_rows(docs, labels, label, most).select(features("text").alias("grams"), "label", "fold"), "quality-sample")
-    seen = {(r["inner"], r["label"]): r["count"] for r in sample.groupBy((F.col("fold") != 1).alias("inner"), "label").count().collect()}
-    if not seen.get((True, 0)) or not seen.get((True, 1)):
-        good, all_ = sum(n for (_, y), n in seen.items() if y), sum(seen.values())
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 6000) -> QualityModel:
+    """Fit on at most `most` labelled rows, with all their hashed n-grams; fold 1 sets the score's curve.
+
+    What reaches the driver is bounded whatever the texts' length: each row's
+    n-grams packed, 128 KB at most. Without labels of both classes every score
+    is their mean (0.5 without any).
+    """
+
+    @F.pandas_udf("binary")
+    def packed(texts: pd.Series) -> pd.Series:
+        return pd.Series([pack(grams(x)) for x in texts], dtype="object")
+
+    sample = training_rows(docs, labels, label, most).select(packed("text").alias("grams"), "label", "fold").toArrow().to_pylist()
+    sample.sort(key=lambda r: (r["grams"], r["label"]))  # the same order on every run
+    learn = [r for r in sample if r["fold"] != 1]
+    y = np.array([1.0 if r["label"] > 0 else -1.0 for r in learn])
+    if len(set(y)) < 2:
+        good, all_ = sum(r["label"] > 0 for r in sample), len(sample)
         mean = float(np.clip(good / all_, 0.001, 0.999)) if all_ else 0.5
         zero = np.zeros(WIDTH, np.float32)
         return QualityModel(zero, zero, 0.0, 1.0, float(np.log(mean / (1 - mean))))
-    chosen, ratios = chosen_grams(sample.where("fold <> 1"), most_grams)
-
-    @F.pandas_udf("binary")
-    def bits(found: pd.Series) -> pd.Series:
-        return pd.Series([zlib.compress(np.packbits(np.isin(chosen, x)).tobytes(), 1) for x in found], dtype="object")
-
-    rows = sample.select(bits("grams").alias("bits"), "label", "fold", F.xxhash64("grams").alias("order")).orderBy("order", "label").toArrow()
-    found = [np.flatnonzero(np.unpackbits(np.frombuffer(zlib.decompress(b.as_py()), np.uint8))).astype(np.int32) for b in rows.column("bits")]
-    y = np.where(rows.column("label").to_numpy() > 0, 1.0, -1.0)
-    learn = rows.column("fold").to_numpy() != 1
-    w, bias = dual_coordinate_descent([f for f, k in zip(found, learn) if k], y[learn], ratios)
-    weights, wide = np.zeros(WIDTH, np.float32), np.zeros(WIDTH, np.float32)
-    weights[chosen], wide[chosen] = w * ratios, ratios
-    model = QualityModel(weights, wide, bias, 1.0, 0.0)
-    curve = ~learn if len(set(y[~learn])) == 2 else learn
-    model.slope, model.shift = platt(np.array([model.margin(chosen[f]) for f, k in zip(found, curve) if k]), y[curve])
+    rows = Packed([r["grams"] for r in learn])
+    good, bad = np.zeros(WIDTH), np.zeros(WIDTH)
+    for found, sign in zip(rows, y):
+        (good if sign > 0 else bad)[found] += 1
+    ratios = log_count_ratios(good, bad, (good.sum(), bad.sum()))
+    w, bias = dual_coordinate_descent(rows, y, ratios)
+    model = QualityModel(w * ratios, ratios, bias, 1.0, 0.0)
+    held = [r for r in sample if r["fold"] == 1]
+    curve = held if len({r["label"] > 0 for r in held}) == 2 else learn
+    model.slope, model.shift = platt(np.array([model.margin(unpack(r["grams"])) for r in curve]), np.array([1.0 if r["label"] > 0 else -1.0 for r in curve]))
     return model
 
 

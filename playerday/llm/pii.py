@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playerday.llm.common import table
-from playerday.llm.semicrf import TYPES, SemiCrf, luhn, octet, tokenise, train
+from playerday.llm.semicrf import ENDINGS, TYPES, SemiCrf, luhn, octet, tokenise, train
 
 KINDS = TYPES[1:]
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -21,14 +21,18 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
-_NUMBERS = re.compile(r"[0-9][0-9 \t().\[\]/+-]*")
-_BRACKETED = re.compile(r"[(\[{<]\s?(?:at|AT)\s?[)\]}>]")
-_MARK = re.compile(r"@|[(\[{<]\s?(?:at|AT)\s?[)\]}>]|(?<=\x20)(?:at|AT)(?=\x20[A-Za-z0-9-]+\x20(?:dot|DOT)\x20)")
-_SPELT_DOMAIN = re.compile(r"\s?[A-Za-z0-9-]+(?:(?:\.|\x20?[(\[{]\x20?(?:\.|dot|DOT)\x20?[)\]}]\x20?|\x20(?:dot|DOT)\x20)[A-Za-z0-9-]+)+")
+_NUMBERS = re.compile(r"[0-9](?:[0-9 \t().\[\]{}<>/+-]|(?<=[ (\[{<])(?:dot|DOT)(?=[ )\]}>]))*")
+_BRACKETED = re.compile(r"[(\[{<]\s?(?:at|AT|@)\s?[)\]}>]")
+_HOST = r"[A-Za-z0-9-]+"
+_DOT = r"(?:\x20?[(\[{<]\x20?(?:\.|dot|DOT)\x20?[)\]}>]\x20?|\x20(?:dot|DOT|\.)\x20|\.)"
+#: " at " counts as a sign only before a domain that is spelt out or ends like one.
+_ENDED = rf"{_HOST}(?:\.{_HOST})*\.(?:{'|'.join(sorted(ENDINGS))})(?![A-Za-z0-9-])"
+_MARK = re.compile(rf"[(\[{{<]\s?(?:at|AT|@)\s?[)\]}}>]|@|(?<=\x20)(?:at|AT)(?=\x20(?:{_HOST}\x20(?:dot|DOT|\.)\x20|{_ENDED}))")
+_SPELT_DOMAIN = re.compile(rf"\s?{_HOST}(?:{_DOT}{_HOST})+")
 #: No address is longer (a name of 64 and a domain of 255 characters), and so many characters beside a stretch are its context.
 MOST_ADDRESS, CONTEXT = 320, 20
 #: An added span must beat reading its tokens as plain text by this much log-likelihood.
-LEAST_GAIN = 3.0
+LEAST_GAIN = 1.0
 
 Span = tuple[str, int, int]
 
@@ -63,6 +67,10 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
+def _may_have_address(text: str) -> bool:
+    return "@" in text or " at " in text or " AT " in text or bool(_BRACKETED.search(text))
+
+
 def stretches(text: str) -> list[tuple[int, int]]:
     """Where an entity may stand: runs of digits and their marks, and names and domains around an at sign, spelt out or not.
 
@@ -75,7 +83,7 @@ def stretches(text: str) -> list[tuple[int, int]]:
             while start and text[start - 1] in "+([":
                 start -= 1
             out.append((start, m.end()))
-    if "@" in text or _BRACKETED.search(text) or " dot " in text or " DOT " in text:
+    if _may_have_address(text):
         last = 0
         for m in _MARK.finditer(text):
             if domain := _SPELT_DOMAIN.match(text, m.end(), m.end() + MOST_ADDRESS):
@@ -120,6 +128,12 @@ def _card_number(rng, good: bool) -> str:
     return next(body + d for d in "0123456789" if luhn(body + d) == good)
 
 
+def _amex(rng, good: bool) -> str:
+    """15 digits, as some cards have."""
+    body = rng.choice(["34", "37"]) + _digits(rng, 12)
+    return next(body + d for d in "0123456789" if luhn(body + d) == good)
+
+
 def _parted(rng, digits: str, marks: tuple[str, ...]) -> str:
     return str(rng.choice(marks)).join(digits[i : i + 4] for i in range(0, len(digits), 4))
 
@@ -127,17 +141,25 @@ def _parted(rng, digits: str, marks: tuple[str, ...]) -> str:
 def _national(rng, country: str = "") -> str:
     """A phone number as it is written within a country, or abroad without a plus sign."""
     area, a, b = str(rng.integers(200, 990)), _digits(rng, 3), _digits(rng, 4)
-    form = rng.choice(["({0}) {1}-{2}", "{0}-{1}-{2}", "{0}.{1}.{2}", "({0}) {1} {2}", "0{0} {1} {2}", "0{0}/{1}{2}", "00{3} {0} {1} {2}", "{3}-{0}-{1}-{2}", "+{3} ({0}) {1}-{2}"])
-    return str(form).format(area, a, b, country or rng.integers(1, 99))
+    pairs = [_digits(rng, 2) for _ in range(4)]
+    forms = (
+        ["({0}) {1}-{2}", "{0}-{1}-{2}", "{0}.{1}.{2}", "({0}) {1} {2}", "({0}){1}-{2}", "{0} {1} {2}", "1 ({0}) {1}-{2}", "1-{0}-{1}-{2}", "0{0} {1} {2}", "0{0}/{1}{2}", "00{3} {0} {1} {2}", "00{3} {0} {1}{2}", "{3}-{0}-{1}-{2}", "{3} {0} {1} {2}", "+{3} ({0}) {1}-{2}"]
+        + ["0{5} {4}", "0{5} {4}", "0{5}-{4}", "00{3} {5} {4}", "00 {3} {0} {1} {2}", "00 {3} {5}{5} {2} {2}", "{3} {6} {7}", "0{6} {7}", "0{0}-{6}", "({3}) {0} {1} {2}"]
+    )
+    form = str(rng.choice(forms))
+    parted = ("-" if "-" in form else " ").join(pairs)
+    return form.format(area, a, b, country or rng.integers(1, 99), parted, rng.integers(1, 10), f"{rng.integers(6, 10)}{_digits(rng, 4)}", _digits(rng, 5))
 
 
 def _mail(rng, value: str) -> str:
     """An address with its signs spelt out."""
     name, _, domain = value.partition("@")
-    dot = str(rng.choice([".", " [dot] ", "[.]", " dot ", "(dot)"]))
-    if dot == " dot ":
-        return f"{name} at {domain.replace('.', dot)}"
-    return name + str(rng.choice(["(at)", "[at]", " (at) ", " [at] ", "{at}", " @ "] if dot == "." else ["(at)", "[at]", " [at] ", "@"])) + domain.replace(".", dot)
+    dot = str(rng.choice([".", ".", " [dot] ", "[.]", " dot ", "(dot)", "<dot>", " . "]))
+    if dot in (" dot ", " . "):
+        return name + str(rng.choice([" at ", " @ "])) + domain.replace(".", dot)
+    if dot == "." and set(name) & set("._0123456789") and domain.rpartition(".")[2] in ENDINGS and rng.random() < 0.6:
+        return f"{name} at {domain}"
+    return name + str(rng.choice(["(at)", "[at]", " (at) ", " [at] ", "{at}", "<at>", "[@]", "(@)", " @ "] if dot == "." else ["(at)", "[at]", " [at] ", "<at>", "[@]", "@"])) + domain.replace(".", dot)
 
 
 def disguised(rng, kind: str, value: str) -> str:
@@ -145,7 +167,8 @@ def disguised(rng, kind: str, value: str) -> str:
     if kind == "email":
         return _mail(rng, value)
     if kind == "ip":
-        return value.replace(".", str(rng.choice(["[.]", "(.)"])))
+        mark = str(rng.choice(["[.]", "(.)", " . ", " dot ", "[dot]", "(dot)"]))
+        return value.replace(".", mark) if rng.random() < 0.8 or "dot" in mark else mark.join(value.rsplit(".", 1))
     if kind == "card":
         return _parted(rng, _NOT_DIGIT.sub("", value), (".", " - ", "/", "  "))
     return _national(rng)
@@ -157,8 +180,8 @@ def other_number(rng) -> str:
     forms = (
         lambda: f"{i(1990, 2030)}-{i(1, 13):02}-{i(1, 29):02}", lambda: f"{i(1, 29):02}/{i(1, 13):02}/{i(1990, 2030)}", lambda: f"{i(1, 29)}.{i(1, 13)}.{i(1990, 2030)}", lambda: f"{i(1990, 2030)}-{i(1990, 2030)}",
         lambda: f"{i(1990, 2030)}-{i(1, 13):02}-{i(1, 29):02} {i(0, 24):02}", lambda: f"{i(1, 999)} {d(rng, 3)} {d(rng, 3)}", lambda: f"{i(1, 99)}.{d(rng, 3)}.{d(rng, 3)}", lambda: f"{i(1, 9)}.{d(rng, 9)}", lambda: d(rng, int(i(7, 20))),
-        lambda: _card_number(rng, False), lambda: _card_number(rng, False), lambda: _parted(rng, _card_number(rng, False), (" ", "-", ".")), lambda: f"{i(1, 20)}.{i(0, 20)}.{i(256, 99999)}.{i(0, 9999)}", lambda: f"978-{i(0, 10)}-{d(rng, 2)}-{d(rng, 6)}-{i(0, 10)}", lambda: f"{d(rng, 5)}-{d(rng, 4)}", lambda: f"{d(rng, 8)}-{d(rng, 2)}", lambda: f"{i(1, 9)}.{i(0, 99)}.{i(0, 99)}-{d(rng, 4)}",
-        lambda: f"{i(1, 13)} {i(1, 99)} {i(100, 9999)} {i(1, 99)}", lambda: f"{d(rng, 3)}/{d(rng, 4)}",
+        lambda: _card_number(rng, False), lambda: _amex(rng, False), lambda: _parted(rng, _card_number(rng, False), (" ", "-", ".")), lambda: f"{i(1, 20)}.{i(0, 20)}.{i(256, 99999)}.{i(0, 9999)}", lambda: f"978-{i(0, 10)}-{d(rng, 2)}-{d(rng, 6)}-{i(0, 10)}", lambda: f"{d(rng, 5)}-{d(rng, 4)}", lambda: f"{d(rng, 8)}-{d(rng, 2)}", lambda: f"{i(1, 9)}.{i(0, 99)}.{i(0, 99)}-{d(rng, 4)}",
+        lambda: f"{i(1, 13)} {i(1, 99)} {i(100, 9999)} {i(1, 99)}", lambda: f"{d(rng, 3)}/{d(rng, 4)}", lambda: " ".join(str(i(1, 60)) for _ in range(i(4, 9))), lambda: f"{i(1, 20)} . {i(0, 20)} . {i(256, 99999)} . {i(0, 9999)}", lambda: ".".join(str(i(0, 99)) for _ in range(3)), lambda: "".join(rng.choice(list("0123456789" * 3 + "abcdef"), int(i(16, 41)))),
     )
     return forms[i(len(forms))]()
 
@@ -167,28 +190,34 @@ _BEFORE = {"email": ("mail ", "contact: ", ""), "ip": ("host ", "ip ", ""), "car
 
 
 def made_examples(rng, many: int) -> list[tuple[str, list[tuple[int, int, str]]]]:
-    """`many` examples by rule for each type, in many forms, and four times as many numbers that are none."""
+    """`many` examples by rule for each type (phones twice), in many forms, and three times as many numbers that are none."""
     words = ["".join(rng.choice(list("aeinorstlu"), int(rng.integers(2, 8)))) for _ in range(200)]
     some = lambda: " ".join(rng.choice(words, int(rng.integers(0, 4))))
     out = []
     for n in range(many * 8):
-        kind = (*KINDS, "O", "O", "O", "O")[n % 8]
+        kind = (*KINDS, "phone", "O", "O", "O")[n % 8]
         if kind == "email":
-            value = disguised(rng, kind, f"{rng.choice(words)}{rng.choice(['', '.', '_'])}{rng.choice(words)}@{rng.choice(words)}{rng.choice(['', '-x', '3'])}.{rng.choice(['com', 'org', 'net', 'de', 'example.com', 'co.uk'])}")
+            value = disguised(rng, kind, f"{rng.choice(words)}{rng.choice(['', '.', '_'])}{rng.choice(words)}@{rng.choice(words)}{rng.choice(['', '-x', '3'])}.{rng.choice(['com', 'org', 'net', 'de', 'it', 'fr', 'example.com', 'co.uk'])}")
         elif kind == "ip":
             value = ".".join(str(rng.integers(0, 256)) for _ in range(4))
             value = value if rng.random() < 0.3 else disguised(rng, kind, value)
         elif kind == "card":
-            value = disguised(rng, kind, _card_number(rng, True))
+            number = _amex(rng, True)
+            value = str(rng.choice([number, f"{number[:4]} {number[4:10]} {number[10:]}", f"{number[:4]}-{number[4:10]}-{number[10:]}"])) if rng.random() < 0.25 else disguised(rng, kind, _card_number(rng, True))
         else:
             value = _national(rng) if kind == "phone" else other_number(rng)
+        cued = kind == "phone" and rng.random() < 0.15  # ten digits in a row are a phone number only after a word that says so
+        value = str(rng.integers(200, 990)) + _digits(rng, 7) if cued else value
         left = " ".join(filter(None, (some(), str(rng.choice(_BEFORE[kind])).strip())))
-        left += " " if left else ""
+        left = f"{some()} {rng.choice(['tel', 'phone', 'call', 'mobile', 'fax'])}{rng.choice([':', ': ', ' '])}" if cued else left + (" " if left else "")
         right = str(rng.choice(["", ".", " " + some(), ". " + some(), ", " + some()]))
+        if not cued and rng.random() < 0.2:
+            left = right = ""
         out.append((left + value + right, [] if kind == "O" else [(len(left), len(left) + len(value), kind)]))
         if kind == "O" and n % 3 == 0:  # an at sign that is no address
             out.append((f"{some()} @ {rng.choice(words)} {some()}. {str(rng.choice(words)).title()}", []))
             out.append((f"{rng.choice(words)} at {rng.choice(words)}.{rng.choice(words)} {some()}", []))
+            out.append((f"{some()} {rng.choice(words)} at {rng.choice(words)}.{rng.choice(['com', 'org', 'net', 'de'])} {some()}", []))
     return out
 
 
@@ -221,7 +250,7 @@ def pii_spans(text: str | None, model: SemiCrf | None) -> list[Span]:
     """Base spans, and those that the model adds beside them; by kind as listed, then start."""
     text = text or ""
     base = base_spans(text)
-    if model is None or not (_DIGIT.search(text) or "@" in text or _BRACKETED.search(text) or " dot " in text or " DOT " in text):
+    if model is None or not (_DIGIT.search(text) or _may_have_address(text)):
         return base
     found, last = list(base), 0
     taken, t = sorted((s, e) for _, s, e in base), 0

@@ -11,13 +11,13 @@ import numpy as np
 TYPES = ("O", "email", "ip", "card", "phone")
 #: No entity spans more tokens; an O segment is one token.
 MOST_TOKENS = 20
-_AT = r"\s?[(\[{<]\s?(?:at|AT)\s?[)\]}>]\s?|\x20?@\x20?|\x20(?:at|AT)\x20"
-_DOT = r"\x20?[(\[{]\x20?(?:\.|dot|DOT)\x20?[)\]}]\x20?|\x20(?:dot|DOT)\x20"
+_AT = r"\s?[(\[{<]\s?(?:at|AT|@)\s?[)\]}>]\s?|\x20?@\x20?|\x20(?:at|AT)\x20"
+_DOT = r"\x20?[(\[{<]\x20?(?:\.|dot|DOT)\x20?[)\]}>]\x20?|\x20(?:dot|DOT|\.)\x20"
 _TOKEN = re.compile(rf"(?P<a>[A-Za-z]+)|(?P<n>[0-9]+)|(?P<at>{_AT})|(?P<dot>{_DOT}|\.)|(?P<s>\s+)|(?P<c>.)", re.S)
 _KINDS = {"a": "a", "n": "9", "at": "@", "dot": ".", "s": " "}
 _NUMERIC, _FIRST, _LOCAL, _DOMAIN = frozenset("9 -./()+"), frozenset("9+("), frozenset("a9._%+-"), frozenset("a9.-")
 # Endings of common domains, and words that go before an entity of a type or before other numbers.
-ENDINGS = frozenset("com org net edu gov io co info de fr es uk".split())
+ENDINGS = frozenset("com org net edu gov io co info eu de fr es it nl ch uk us".split())
 CUES = {w: kind for kind, words in {"phone": "tel phone telephone telefon call mobile cell fax ring whatsapp", "card": "card visa mastercard amex credit debit", "ip": "ip host server address", "email": "mail email contact write", "other": "version isbn order invoice id no nr ref page date total year"}.items() for w in words.split()}
 
 Token = tuple[str, str]  # kind, text
@@ -45,10 +45,9 @@ def _edge(token: Token | None) -> str:
 
 
 def _cue(tokens: list[Token], a: int) -> str:
-    for kind, text in reversed(tokens[max(0, a - 3) : a]):
-        if kind == "a":
-            return CUES.get(text.lower(), "")
-    return ""
+    """What the nearer of the two words before a token tells of it."""
+    words = [text.lower() for kind, text in tokens[max(0, a - 5) : a] if kind == "a"][-2:]
+    return next((CUES[w] for w in reversed(words) if w in CUES), "")
 
 
 def segments(tokens: list[Token]) -> list[Segment]:
@@ -74,7 +73,7 @@ def segments(tokens: list[Token]) -> list[Segment]:
                     dotted = shape == "9.9.9.9"
                     if dotted or 7 <= len(digits) <= 19:
                         good = dotted and all(octet(tokens[i][1]) for i in range(a, b + 1, 2))
-                        key = (shape, sizes, len(digits), 13 <= len(digits) <= 19 and luhn(digits), good, digits[0] == "0", _edge(tokens[a - 1] if a else None), _edge(tokens[b + 1] if b + 1 < n else None), _cue(tokens, a), "")
+                        key = (shape, sizes, len(digits), 13 <= len(digits) <= 19 and luhn(digits), good, digits[0] == "0", _edge(tokens[a - 1] if a else None), _edge(tokens[b + 1] if b + 1 < n else None), _cue(tokens, a), any(t[0] == "." and t[1] != "." for t in tokens[a:b]), "")
                         out.append((a, b + 1, key))
                     elif len(digits) > 19:
                         break
@@ -92,10 +91,11 @@ def segments(tokens: list[Token]) -> list[Segment]:
                     break
                 dots += k == "."
                 if k == "a" and dots and tokens[b - 1][0] == ".":
-                    style = "@" if tokens[a][1] == "@" else " @" if "@" in tokens[a][1] else "(at)" if tokens[a][1].strip()[0] in "([{<" else " at "
+                    style = "@" if tokens[a][1] == "@" else "(at)" if tokens[a][1].strip()[0] in "([{<" else " @" if "@" in tokens[a][1] else " at "
                     spelt = any(t[0] == "." and t[1] != "." for t in tokens[a + 1 : b])
                     for s in starts:
-                        out.append((s, b + 1, (style, (), int(spelt), text.lower() in ENDINGS, b + 1 < n and tokens[b + 1][0] in "9a.-", dots > 1, _edge(tokens[s - 1] if s else None), _edge(tokens[b + 1] if b + 1 < n else None), _cue(tokens, s), "@")))
+                        marked = any(t[0] != "a" for t in tokens[s:a])
+                        out.append((s, b + 1, (style, marked, int(spelt), text.lower() in ENDINGS, b + 1 < n and tokens[b + 1][0] in "9a.-", dots > 1, _edge(tokens[s - 1] if s else None), _edge(tokens[b + 1] if b + 1 < n else None), _cue(tokens, s), "@")))
     return out
 
 
@@ -109,11 +109,13 @@ def allowed(key: Key) -> tuple[bool, ...]:
 def features(key: Key) -> list[str]:
     """Whole-span features of a candidate."""
     if key[-1] == "@":
-        style, _, spelt, known, runs_on, deep, left, right, cue, _ = key
-        return ["email", "at:" + style, f"spelt:{spelt}", f"ending:{known}", f"at ending:{style} {known}", f"runs on:{runs_on}", f"deep:{deep}", "mail left:" + left, "mail right:" + right, "cue:" + cue]
-    shape, sizes, digits, check, octets, zero, left, right, cue, _ = key
+        style, marked, spelt, known, runs_on, deep, left, right, cue, _ = key
+        return ["email", f"at name:{style} {marked} {known}", f"at spelt:{style} {spelt}", f"ending:{known}", f"runs on:{runs_on}", "mail left:" + left, "mail right:" + right, "cue:" + cue]
+    shape, sizes, digits, check, octets, zero, left, right, cue, spelt, _ = key
+    if shape == "9.9.9.9":  # how many digits each part has says little
+        return ["dotted", f"dots:{octets} {spelt}", f"dots beside:{octets} {spelt} {left} {right}", f"check:{check} {digits >= 15}", f"dots cue:{cue}"]
     groups = "-".join(map(str, sizes[:7]))
-    return ["number", "shape:" + shape, f"digits:{digits}", "groups:" + groups, f"form:{shape} {groups}", "first:" + shape[0], f"check:{check} {digits >= 15}", f"octets:{octets}", f"zero:{zero}", f"parts:{min(len(sizes), 6)}", "left:" + left, "right:" + right, "cue:" + cue]
+    return ["number", "shape:" + shape, f"digits:{digits}", "groups:" + groups, f"form:{shape} {groups}", "first:" + shape[0], f"check:{check} {digits >= 15}", f"zero:{zero}", f"zero form:{zero} {digits} {shape}", f"cue form:{cue} {len(sizes)} {digits}", f"parts:{min(len(sizes), 6)}", "left:" + left, "right:" + right, "cue:" + cue]
 
 
 @dataclass

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,15 +11,28 @@ from playerday.llm.common import WORD, materialise, table
 
 #: Sources by code point take these weights in turn.
 WEIGHTS = (5.0, 2.0, 1.0)
-#: Characters that prose seldom holds; their share lowers a document's quality weight.
+#: Characters that prose seldom holds, and letters of Latin scripts.
 JUNK = r"[|%&$#*{}<>\\~^=_]"
+LETTER = r"[A-Za-z\x{00C0}-\x{024F}]"
+#: Word length of plain prose, and the words at which a text counts half for its length.
+USUAL, SHORT = 6.0, 20.0
+#: Rows that a bin of sampling keys holds at most, about, and bins in an octave at least.
+PER_BIN, BINS = 1_000_000, 64
 
 
 def quality_weight(text: Column) -> Column:
-    """Weight in [0.1, 1]: the less of a text is made of unusual symbols, the nearer to 1."""
+    """Weight in [0.05, 1], a composite of four marks of prose, each in [0, 1] and multiplied.
+
+    The share of letters among the characters that are no white space; few
+    unusual symbols; words of a usual length on average; enough words to tell.
+    """
     text = F.coalesce(text, F.lit(""))
-    junk = F.regexp_count(text, F.lit(JUNK)).cast("double")
-    return 1.0 - F.least(F.lit(0.9), 4.0 * junk / F.greatest(F.length(text), F.lit(1)))
+    count = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("double")
+    solid, words = count(r"[^\x20\x09-\x0D]"), count(WORD)
+    letters = count(LETTER) / F.greatest(solid, F.lit(1.0))
+    symbols = 1.0 - F.least(F.lit(0.9), 4.0 * count(JUNK) / F.greatest(solid, F.lit(1.0)))
+    apart = F.abs(solid / F.greatest(words, F.lit(1.0)) - USUAL)
+    return F.greatest(F.lit(0.05), letters * symbols * (USUAL / (USUAL + apart)) * (words / (words + SHORT)))
 
 
 def uniform(key: Column, seed: int) -> Column:
@@ -48,39 +63,46 @@ def targets(sizes: DataFrame, share: float, epochs: float, weights=WEIGHTS) -> D
     return rows.select("source", "source_size", F.least("cap", F.coalesce(level * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def mix(docs: DataFrame, size: Column | None = None, weight: Column | None = None, share: float = 1.5, epochs: float = 2.0, weights=WEIGHTS, seed: int = 17, bins_per_octave: int = 64, max_broadcast_sources: int = 10_000, carry: bool = False) -> DataFrame:
+def mix(docs: DataFrame, size: Column | None = None, weight: Column | None = None, share: float = 1.5, epochs: float = 2.0, weights=WEIGHTS, seed: int = 17, per_bin: int = PER_BIN, max_broadcast_sources: int = 10_000, carry: bool = False) -> DataFrame:
     """(doc_id, source, size, source_size, target, repeats, taken) for every row of docs(doc_id, text, source).
 
-    carry adds the whole row as the struct __doc.
+    carry adds the whole row as the struct __doc; it joins the decision by row
+    number at the end, and no sort or window carries it.
 
     A source takes as many complete epochs as its target holds; the rest of
     the target takes documents in the order of the sampling key
     -ln(u) / weight (Efraimidis and Spirakis), up to the prefix whose words come
-    nearest to it. u comes from the id, so reruns agree.
+    nearest to it. u comes from id and text, so reruns agree and rows that
+    share an id or lack one are spread.
 
     A source may hold any share of the rows: its keys are cut into bins of
-    equal width in log2(key), 1/64 octave. Whatever the weights, a bin holds at
-    most ln(2) / (e * 64) = 0.4 % of a source, and only bin totals meet in the
+    equal width in log2(key). Whatever the weights, a bin of 1/b octave holds
+    at most ln(2) / (e * b) of a source, and b grows with the rows, so that a
+    bin holds about per_bin of them at most; only bin totals meet in the
     per-source prefix sum.
 
     Null texts and texts without words have size 0 and take 0; a null source is
-    a source of its own; repeated rows count each, ties by id then size; an
-    empty table gives no rows.
+    a source of its own; very long texts count whole; repeated rows count each,
+    ties by id then size; columns of docs beside doc_id, text and source are
+    left out (with carry: kept), whatever their names; an empty table gives no
+    rows.
     """
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("bigint") if size is None else size
     weight = quality_weight(F.col("text")) if weight is None else weight
+    drawn = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
     kept = [F.struct(*docs.columns).alias("__doc")] if carry else []
-    rows = docs.select(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), size.alias("size"), weight.alias("w"), *kept)
-    kept = ["__doc"] if carry else []
-    key = -F.log(uniform(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), seed)) / F.col("w")
-    rows = materialise(rows.select("doc_id", "source", "size", key.alias("key"), *kept), "mix-rows")
+    rows = docs.select(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), size.alias("size"), weight.alias("w"), drawn.alias("drawn"), *kept)
+    key = -F.log(uniform(F.col("drawn"), seed)) / F.col("w")
+    all_rows = materialise(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", "size", key.alias("key"), *(["__doc"] if carry else [])), "mix-rows")
+    rows = all_rows.drop("__doc")
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = materialise(targets(sums, share, epochs, weights).withColumn("full", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)), "mix-targets")
     plan = plan.withColumn("want", F.col("target") - F.col("full") * F.col("source_size"))
 
     name = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))  # a null source joins like any other
     plan = plan.withColumn("name", name).drop("source")
-    rows = rows.withColumn("name", name).withColumn("bin", F.floor(F.log2("key") * bins_per_octave))
+    in_octave = max(BINS, math.ceil(rows.count() * math.log(2) / (math.e * per_bin)))
+    rows = rows.withColumn("name", name).withColumn("bin", F.floor(F.log2("key") * in_octave))
     bins = rows.groupBy("name", "bin").agg(F.sum("size").alias("bin_size"))
     before = Window.partitionBy("name").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.select("name", "bin", F.coalesce(F.sum("bin_size").over(before), F.lit(0)).alias("bins_before"))
@@ -90,12 +112,13 @@ def mix(docs: DataFrame, size: Column | None = None, weight: Column | None = Non
         rows = rows.join(F.broadcast(plan), "name")
     else:  # too many sources to broadcast: spread the rows of each over salted copies of its plan row
         salts = 64
-        rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "key"), F.lit(salts)))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)))
         rows = rows.join(plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>"))), ["name", "salt"])
     upto = F.col("bins_before") + F.col("upto")
     chosen = (F.col("size") > 0) & (upto - F.col("size") / 2 <= F.col("want"))
     repeats = F.col("full") + chosen.cast("int")
-    return rows.select("doc_id", "source", "size", "source_size", "target", repeats.cast("int").alias("repeats"), (repeats * F.col("size")).cast("bigint").alias("taken"), *kept)
+    decided = rows.select("row", "doc_id", "source", "size", "source_size", "target", repeats.cast("int").alias("repeats"), (repeats * F.col("size")).cast("bigint").alias("taken"))
+    return decided.join(all_rows.select("row", "__doc"), "row").drop("row") if carry else decided.drop("row")
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
@@ -111,11 +134,14 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = r"""
 WITH docs AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         1.0::DOUBLE - least(0.9::DOUBLE, 4.0::DOUBLE * len(regexp_extract_all(coalesce(text, ''), '[|%&$#*{}<>\\~^=_]')) / greatest(length(coalesce(text, '')), 1)) AS w
-  FROM documents),
+  SELECT doc_id, source, md5(t) AS d, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+'))::BIGINT AS size, len(regexp_extract_all(t, '[^\x20\x09-\x0D]'))::DOUBLE AS solid,
+         len(regexp_extract_all(t, '[A-Za-z\x{00C0}-\x{024F}]'))::DOUBLE AS letters, len(regexp_extract_all(t, '[|%&$#*{}<>\\~^=_]'))::DOUBLE AS junk
+  FROM (SELECT doc_id, source, coalesce(text, '') AS t FROM documents)),
+weighed AS (
+  SELECT *, greatest(0.05::DOUBLE, letters / greatest(solid, 1.0::DOUBLE) * (1.0::DOUBLE - least(0.9::DOUBLE, 4.0::DOUBLE * junk / greatest(solid, 1.0::DOUBLE)))
+         * (6.0::DOUBLE / (6.0::DOUBLE + abs(solid / greatest(size::DOUBLE, 1.0::DOUBLE) - 6.0::DOUBLE))) * (size::DOUBLE / (size::DOUBLE + 20.0::DOUBLE))) AS w FROM docs),
 keyed AS (
-  SELECT *, -ln((('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0::DOUBLE) / w AS k FROM docs),
+  SELECT *, -ln((('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '') || ':' || d), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0::DOUBLE) / w AS k FROM weighed),
 sources AS (
   SELECT source, sum(size)::DOUBLE AS s, [5.0::DOUBLE, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS wt FROM docs GROUP BY source),
 levels AS (

@@ -34,10 +34,14 @@ def lloyd(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     return centres
 
 
-def nearest(x: np.ndarray, centres: np.ndarray, block: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+#: Distances to centres that are held at once: rows are looked at in blocks, the smaller the more centres there are.
+AT_ONCE = 1 << 22
+
+
+def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index of each row's nearest centre, and the squared distance."""
     at, far = np.empty(len(x), np.int64), np.empty(len(x), x.dtype)
-    squares = (centres**2).sum(1)
+    squares, block = (centres**2).sum(1), max(1, AT_ONCE // max(1, len(centres)))
     for s in range(0, len(x), block):
         d = squares[None] - 2 * x[s : s + block] @ centres.T
         at[s : s + block] = d.argmin(1)
@@ -84,10 +88,12 @@ class Index:
 
     def nearest_lists(self, q: np.ndarray, sizes: np.ndarray, least: int) -> list[np.ndarray]:
         """The lists that each query scans, nearest first: `probes`, and more while those hold fewer than `least` rows."""
-        d = (self.centres**2).sum(1)[None] - 2 * q.astype(np.float32) @ self.centres.T
-        order = np.argsort(d, axis=1, kind="stable")
-        enough = (sizes[order].cumsum(axis=1) < least).sum(axis=1) + 1
-        return [line[: max(self.probes, n)] for line, n in zip(order, enough)]
+        squares, block, out = (self.centres**2).sum(1)[None], max(1, AT_ONCE // len(self.centres)), []
+        for s in range(0, len(q), block):
+            order = np.argsort(squares - 2 * q[s : s + block].astype(np.float32) @ self.centres.T, axis=1, kind="stable")
+            enough = (sizes[order].cumsum(axis=1) < least).sum(axis=1) + 1
+            out += [line[: max(self.probes, n)].copy() for line, n in zip(order, enough)]
+        return out
 
     def rough(self, q: np.ndarray, lists: np.ndarray, codes: np.ndarray, shift: np.ndarray) -> np.ndarray:
         """(queries, rows): asymmetric squared distances, less |q|^2, from one table of products for each query."""
@@ -142,8 +148,6 @@ def fit(vectors: DataFrame, rows: int, largest: float, k: int = 10, recall: floa
 INDEXED = "list int, row bigint, vec_id bigint, is_query boolean, embedding array<double>, codes binary, shift float"
 PROBED = "group bigint, query_row bigint, query_id bigint, embedding array<double>, lists array<int>"
 FOUND = "query_row bigint, query_id bigint, row bigint, vec_id bigint, score double"
-#: A table with vectors of more different lengths is refused.
-MOST_WIDTHS = 16
 
 
 def search(vectors: DataFrame, queries: Column, k: int = 10, shortlist: int = 100, block_rows: int = 8192, **how) -> DataFrame:
@@ -160,21 +164,20 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, shortlist: int = 10
     A query's own row is no candidate; other rows that repeat its id are, and a
     repeated id that is a query has a list for each of its rows. Ties go to the
     smaller vec_id. Vectors of different lengths are never compared: each
-    length has an index of its own, 16 lengths at most. Other columns are left
-    out, whatever their names; an empty table gives no rows.
+    length has an index of its own, and its result is written before the next
+    one's begins, so a table may hold any number of lengths. Other columns are
+    left out, whatever their names; an empty table gives no rows.
     """
     spark = vectors.sparkSession
     kept = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
     rows = kept.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.coalesce(queries, F.lit(False)).alias("is_query"))
     width = F.size("embedding")
-    widths = rows.groupBy(width.alias("width")).agg(F.count("*").alias("rows"), F.max(F.array_max(F.transform("embedding", F.abs))).alias("largest")).orderBy("width").limit(MOST_WIDTHS + 1).collect()
-    if len(widths) > MOST_WIDTHS:
-        raise ValueError(f"vectors of more than {MOST_WIDTHS} different lengths")
+    widths = rows.groupBy(width.alias("width")).agg(F.count("*").alias("rows"), F.max(F.array_max(F.transform("embedding", F.abs))).alias("largest")).orderBy("width").collect()
     found = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     for w in widths:
         alike = rows.where(width == w["width"])
         index = fit(alike, w["rows"], w["largest"], k, **how)
-        found = found.union(_search(alike, index, w["rows"], k, shortlist, block_rows))
+        found = found.union(materialise(_search(alike, index, w["rows"], k, shortlist, block_rows), "ann-found"))
     return found
 
 

@@ -28,11 +28,11 @@ _EDGES = ".,;:!?\"'()[]{}<>|%&$#*-_+=~^`\\/"
 NAMES = ("hit_rate", "weight_rate", "top", "second", "distinct", "hits", "near_you", "you_rate", "capitals", "loud_words", "punctuation", "marks", "digits", "masked", "stretched", "length")
 
 
-def learn_lexicon(sample: DataFrame, least: int = 4, most: int = 600) -> dict[str, float]:
+def learn_lexicon(sample: DataFrame, least: int = 4) -> dict[str, float]:
     """Words and word beginnings ("be:" and 4 to 6 letters) that mark label 1, with their log odds ratio.
 
-    Document counts come from Spark; at most `most` entries, the surest by
-    their z value, come to the driver.
+    Document counts come from Spark; all terms with the evidence come to the
+    driver, of which the bounded sample of labelled rows sets the number.
     """
     word = F.regexp_replace(F.lower("word"), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
     words = sample.select("doc_id", "label", F.explode(F.array_distinct(F.split("text", SPACE))).alias("word")).select("doc_id", "label", word.alias("word")).where("word <> ''")
@@ -42,7 +42,7 @@ def learn_lexicon(sample: DataFrame, least: int = 4, most: int = 600) -> dict[st
     counts = terms.groupBy("term").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b")).where(F.col("a") >= least)
     odds = F.log((F.col("a") + 0.5) / (total["a"] + 1.0)) - F.log((F.col("b") + 0.5) / (total["b"] + 1.0))
     counts = counts.withColumn("odds", odds).withColumn("z", F.col("odds") / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5)))
-    return {r["term"]: float(r["odds"]) for r in counts.where("odds > 1.5 and z > 2.5").orderBy(F.desc("z"), "term").limit(most).collect()}
+    return {r["term"]: float(r["odds"]) for r in counts.where("odds > 1.5 and z > 2.5").orderBy("term").collect()}
 
 
 class Dense:

@@ -175,7 +175,7 @@ OP3_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 k AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest FROM p),
 m AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS target FROM k)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN target <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN target <> page_id THEN target END AS refers_to, true AS whole
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN target IS NOT NULL AND target IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN target IS DISTINCT FROM page_id THEN target END AS refers_to, true AS whole
 FROM m
 """

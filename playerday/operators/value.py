@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import math
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator
 
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,39 +69,94 @@ def inertia(df: DataFrame, centroids: list[list[float]], columns: list[str] = LR
     return kmeans_assign(df, centroids, columns).agg(F.sum("Distance").alias("Inertia"))
 
 
-#: Rows of the matrix in one partition of a fit, and fits that run side by side.
-ROWS_PER_PART, SIDE_BY_SIDE = 100_000, 8
+#: Rows of the matrix in one partition, and rows that starting centres are drawn from.
+ROWS_PER_PART, START_ROWS = 100_000, 10_000
 
 
 def _matrix(scaled: DataFrame, columns: list[str]) -> DataFrame:
-    """The features as one cached vector column, in as many partitions as its rows need."""
-    data = scaled.select(array_to_vector(F.array(*columns)).alias("features"))
+    """The features as one cached array column x, in as many partitions as its rows need."""
+    data = scaled.select(F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
     return data.repartition(max(1, math.ceil(scaled.count() / ROWS_PER_PART))).persist()
 
 
-def kmeans_fits(matrices: list[DataFrame], ks: list[int], config: KMeansConfig = KMeansConfig(), n_init: int | None = None) -> dict[tuple[int, int], list[list[float]]]:
-    """(number of the matrix, k) -> centroids of the best of n_init MLlib runs (seed, seed + 1, ...) by training cost.
+def spread_rows(x: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k rows of x, each drawn with a chance in proportion to its squared distance from those before (k-means++)."""
+    rng = np.random.default_rng(seed)
+    chosen = [int(rng.integers(len(x)))]
+    far = ((x - x[chosen[0]]) ** 2).sum(axis=1)
+    while len(chosen) < k:
+        total = far.sum()
+        chosen.append(int(rng.choice(len(x), p=far / total)) if total > 0 else int(rng.integers(len(x))))
+        far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
+    return x[chosen]
+
 
-    Each fit is a chain of small Spark jobs over a cached matrix, so several
-    run side by side from threads that inherit the session's properties; with
-    spark.scheduler.mode=FAIR each thread's jobs are a pool of their own. The
-    best of a (matrix, k) does not depend on which fit ends first.
+def _lloyd_sums(matrix: DataFrame, models: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """(rows, sums of the features, by model and centre; cost by model) of one pass over the matrix for all models.
+
+    Tasks hold the sums of every centre and one batch; they are combined by centre.
+    """
+    width, all_centres = models[0].shape[1], np.concatenate(models)
+    edges = np.cumsum([0, *map(len, models)])
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, sums, cost = np.zeros(len(all_centres)), np.zeros((len(all_centres), width)), np.zeros(len(all_centres))
+        squares = (all_centres**2).sum(axis=1)
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy().reshape(-1, width)
+            apart = squares[None] - 2 * x @ all_centres.T
+            own = (x**2).sum(axis=1)
+            for a, b in zip(edges, edges[1:]):
+                near = apart[:, a:b].argmin(axis=1)
+                n[a:b] += np.bincount(near, minlength=b - a)
+                cost[a:b] += np.bincount(near, weights=np.maximum(own + apart[np.arange(len(x)), a + near], 0), minlength=b - a)
+                for d in range(width):
+                    sums[a:b, d] += np.bincount(near, weights=x[:, d], minlength=b - a)
+        columns = [pa.array(np.arange(len(all_centres))), pa.array(n), pa.array(cost), *[pa.array(sums[:, d]) for d in range(width)]]
+        yield pa.RecordBatch.from_arrays(columns, names=["centre", "n", "cost", *[f"s{d}" for d in range(width)]])
+
+    added = [F.sum(c).alias(c) for c in ("n", "cost", *[f"s{d}" for d in range(width)])]
+    schema = "centre bigint, n double, cost double, " + ", ".join(f"s{d} double" for d in range(width))
+    rows = matrix.mapInArrow(step, schema).groupBy("centre").agg(*added).toPandas().sort_values("centre").to_numpy()  # a row for each centre
+    parts = [rows[a:b] for a, b in zip(edges, edges[1:])]
+    return [p[:, 1] for p in parts], [p[:, 3:] for p in parts], np.array([p[:, 2].sum() for p in parts])
+
+
+def kmeans_fits(matrices: list[DataFrame], ks: list[int], config: KMeansConfig = KMeansConfig(), n_init: int | None = None) -> dict[tuple[int, int], list[list[float]]]:
+    """(number of the matrix, k) -> centroids of the best of n_init starts (seed, seed + 1, ...) by cost.
+
+    All starts of all k move together: an iteration is one job over the cached
+    matrix, which adds up rows and features by nearest centre for every model
+    that still moves, so 140 fits take as many passes as the slowest of them.
+    What comes back is a row for each centre. Starts are drawn by k-means++
+    from the START_ROWS rows with the smallest hashes; a centre without rows
+    stays where it is.
     """
-    tasks = [(i, k, start) for i in range(len(matrices)) for k in ks for start in range(n_init or config.n_init)]
-    spark = matrices[0].sparkSession
-
-    def fit(task: tuple[int, int, int]) -> tuple[float, int, list[list[float]]]:
-        i, k, start = task
-        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"kmeans-{i}-{k}")
-        model = KMeans(k=k, seed=config.seed + start, maxIter=config.max_iter, tol=config.tol).fit(matrices[i])
-        return model.summary.trainingCost, start, [list(map(float, c)) for c in model.clusterCenters()]
-
-    with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
-        results = list(pool.map(inheritable_thread_target(spark)(fit), tasks))
-    best: dict[tuple[int, int], tuple] = {}
-    for (i, k, _), found in zip(tasks, results):
-        best[i, k] = min(best.get((i, k), found), found)
-    return {key: centroids for key, (_, _, centroids) in best.items()}
+    best: dict[tuple[int, int], list[list[float]]] = {}
+    for i, matrix in enumerate(matrices):
+        some = np.array([r[0] for r in matrix.orderBy(F.xxhash64("x"), "x").limit(START_ROWS).collect()], np.float64)
+        if not len(some):
+            raise ValueError("no rows to cluster")
+        chains = [spread_rows(some, max(ks), config.seed + start) for start in range(n_init or config.n_init)]
+        names = [(k, start) for k in ks for start in range(len(chains))]
+        models = [chains[start][:k].copy() for k, start in names]
+        moving = list(range(len(models)))
+        for _ in range(config.max_iter):
+            counts, sums, _ = _lloyd_sums(matrix, [models[m] for m in moving])
+            still = []
+            for m, n, total in zip(moving, counts, sums):
+                after = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], models[m])
+                if np.sqrt(((after - models[m]) ** 2).sum(axis=1)).max() > config.tol:
+                    still.append(m)
+                models[m] = after
+            moving = still
+            if not moving:
+                break
+        _, _, costs = _lloyd_sums(matrix, models)
+        for k in ks:
+            _, m = min((costs[m], m) for m, (of, _) in enumerate(names) if of == k)
+            best[i, k] = models[m].tolist()
+    return best
 
 
 def kmeans_fit(scaled: DataFrame, config: KMeansConfig = KMeansConfig(), k: int | None = None, n_init: int | None = None, columns: list[str] = LRFM) -> list[list[float]]:

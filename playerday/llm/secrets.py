@@ -69,7 +69,9 @@ def scan_secrets(text: Column) -> Column:
     """array<struct<kind,start,end>> of whole texts, in code points; null and empty texts give none.
 
     Every byte is read once, whatever the number of rules, so a very long text
-    costs in proportion to its length.
+    costs in proportion to its length. A row depends on its text alone: repeated
+    rows get equal spans, other columns play no part whatever their names, and
+    an empty table gives no rows.
     """
 
     shared = SparkSession.active().sparkContext.broadcast(scanner())

@@ -204,6 +204,10 @@ def hex_of(fp: Column) -> Column:
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprint and near-duplicate class of every document."""
+    """Fingerprint and near-duplicate class of every document.
+
+    A very long text is hashed whole, in blocks, by the task that reads it; from
+    there on a row is its fingerprint.
+    """
     found = near_duplicate_classes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")

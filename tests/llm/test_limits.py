@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from playerday.llm import mixing, neighbours, quality, warc
+from playerday.llm import mixing, neighbours, pairing, quality, warc
 
 
 def test_more_lengths_than_before(spark):
@@ -72,3 +72,35 @@ def test_packed_rows_come_back():
         found = np.sort(rng.choice(quality.WIDTH, n, replace=False)).astype(np.int32)
         packed = quality.pack(found)
         assert (quality.unpack(packed) == found).all() and len(packed) <= quality.WIDTH // 8 + 1
+
+
+def test_hot_keys_give_the_same_pairs(spark):
+    """Keys of 1,500 rows, most of them of one class, against all pairs; the switch to the main class changes nothing."""
+    rng = np.random.default_rng(3)
+    rows = [(k, 0 if rng.random() < 0.98 else int(rng.integers(1, 9)), i, int(rng.integers(0, 4))) for k in range(2) for i in range(1500)]
+    rows += [(9, i % 3, i, i % 4) for i in range(40)] + [(10, 5, 1, 1)]
+    filed = spark.createDataFrame(rows, "key int, class int, id int, x int")
+    near, ordered = F.abs(F.col("a.x") - F.col("b.x")) <= 1, F.col("a.id") < F.col("b.id")
+    chosen = [F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"), F.col("a.key").alias("key")]
+    found = [sorted(map(tuple, pairing.pairs_between_classes(filed, "class", near, ordered, chosen, hot).distinct().collect())) for hot in (1, 1000, 10**9)]
+    assert found[0] == found[1] == found[2]
+    by_class = {}
+    for k, c, i, x in rows:
+        by_class.setdefault(k, []).append((c, i, x))
+    want = {(min(i, j), max(i, j), k) for k, some in by_class.items() for c, i, x in some if k > 1 or c for d, j, y in some if c != d and abs(x - y) <= 1}
+    assert set(found[0]) == want
+
+
+def test_centres_of_a_second_level(spark):
+    """More lists than the sample can give centres: each centre's residuals are divided alike."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(6, 12))[rng.integers(0, 6, 600)] * 4 + rng.normal(size=(600, 12))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    index = neighbours.fit(df, 600, float(np.abs(x).max()), most=80)
+    assert len(index.centres) > 80 // 40
+    hits = 0
+    for r in neighbours.search(df, F.col("vec_id") % 20 == 0, k=5, most=80).collect():
+        far = np.linalg.norm(x - x[r.query_id], axis=1)
+        far[r.query_id] = np.inf
+        hits += r.vec_id in set(np.argsort(far, kind="stable")[:5])
+    assert hits >= 0.9 * 30 * 5

@@ -55,6 +55,7 @@ DOCS = "doc_id bigint, text string, lang string, source string"
 PAGES = "page_id bigint, url string, html string"
 EMBEDDINGS = "vec_id bigint, embedding array<double>"
 LABELS = "doc_id bigint, quality int, toxic int"
+CHAT = "conv_id bigint, turn bigint, role string, text string"
 
 
 @pytest.fixture(scope="module")
@@ -80,7 +81,7 @@ def folder(spark, tmp_path_factory):
 @pytest.fixture(scope="module")
 def empty(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("empty"))
-    for name, schema in (("documents", DOCS + ", n_chars bigint"), ("labels", LABELS), ("pages", PAGES), ("embeddings", EMBEDDINGS)):
+    for name, schema in (("documents", DOCS + ", n_chars bigint"), ("labels", LABELS), ("pages", PAGES), ("embeddings", EMBEDDINGS), ("conversations", CHAT)):
         write(spark, path, [], schema, name)
     return path
 

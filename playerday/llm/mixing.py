@@ -11,9 +11,9 @@ from playerday.llm.common import WORD, materialise, table
 
 #: Sources by code point take these weights in turn.
 WEIGHTS = (5.0, 2.0, 1.0)
-#: Characters that prose seldom holds, and letters of Latin scripts.
+#: Characters that prose seldom holds, and all but the letters of Latin scripts.
 JUNK = r"[|%&$#*{}<>\\~^=_]"
-LETTER = r"[A-Za-z\x{00C0}-\x{024F}]"
+OTHER = r"[^A-Za-z\x{00C0}-\x{024F}]"
 #: Word length of plain prose, and the words at which a text counts half for its length.
 USUAL, SHORT = 6.0, 20.0
 #: Rows that a bin of sampling keys holds at most, about, and bins in an octave at least.
@@ -28,8 +28,10 @@ def quality_weight(text: Column) -> Column:
     """
     text = F.coalesce(text, F.lit(""))
     count = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("double")
-    solid, words = count(r"[^\x20\x09-\x0D]"), count(WORD)
-    letters = count(LETTER) / F.greatest(solid, F.lit(1.0))
+    size, words = F.char_length(text).cast("double"), count(WORD)
+    # what is rare is counted: white space and what is no letter
+    solid = size - count(r"[\x20\x09-\x0D]")
+    letters = (size - count(OTHER)) / F.greatest(solid, F.lit(1.0))
     symbols = 1.0 - F.least(F.lit(0.9), 4.0 * count(JUNK) / F.greatest(solid, F.lit(1.0)))
     apart = F.abs(solid / F.greatest(words, F.lit(1.0)) - USUAL)
     return F.greatest(F.lit(0.05), letters * symbols * (USUAL / (USUAL + apart)) * (words / (words + SHORT)))

@@ -394,10 +394,21 @@ _CELL = [
     r("count(UserID)::DOUBLE / sum(count(UserID)) OVER ()", "PlayerShare"),
     r("coalesce(sum(NetGaming), 0)::DOUBLE / sum(sum(NetGaming)) OVER ()::DOUBLE", "NetGamingShare"),
 ]
-_GRID = "(VALUES ('Low Value'), ('Medium Value'), ('High Value'), ('Premium')) x(v), (VALUES ('Low Risk'), ('Medium Risk'), ('High Risk')) y(k)"
-# the texts of the cells are fixed values; a pytest holds them, the query the numbers
-query("value_risk_matrix", f'SELECT v AS "Value Segment", k AS "Risk Segment", {", ".join(_CELL)} FROM (SELECT * FROM {_GRID}) g LEFT JOIN seg ON rfm = v AND "Risk Segment" = k GROUP BY v, k')(
-    lambda s, d: reports.value_risk_matrix(segs(s, d)).drop("Recommended Action")
+_GRID = """(VALUES
+  ('Premium', 'High Risk', 'Prioritise manual Compliance and Responsible Gambling review before any targeted promotion; determine action only after case review.'),
+  ('Premium', 'Medium Risk', 'Continue service cautiously, monitor the triggered indicators, and review before personalised promotion.'),
+  ('Premium', 'Low Risk', 'Consider high-touch retention and personalised service within standard responsible-gambling controls.'),
+  ('High Value', 'High Risk', 'Prioritise manual review and pause targeted promotional decisions until the indicators are assessed.'),
+  ('High Value', 'Medium Risk', 'Monitor the triggered indicators and use conservative, reviewable retention activity.'),
+  ('High Value', 'Low Risk', 'Prioritise for retention and relevant cross-sell testing with normal controls.'),
+  ('Medium Value', 'High Risk', 'Route for manual review; avoid automated promotional escalation while indicators remain unresolved.'),
+  ('Medium Value', 'Medium Risk', 'Use low-cost lifecycle activity and monitor for movement in the review indicators.'),
+  ('Medium Value', 'Low Risk', 'Use scalable reactivation and cross-sell tests, measuring incremental response.'),
+  ('Low Value', 'High Risk', 'Route for proportionate manual review; do not infer misconduct from the segment label alone.'),
+  ('Low Value', 'Medium Risk', 'Use automated servicing and monitor the specific review indicators.'),
+  ('Low Value', 'Low Risk', 'Use low-cost automated reactivation and measure cost per reactivated player.')) g(v, k, act)"""
+query("value_risk_matrix", f'SELECT v AS "Value Segment", k AS "Risk Segment", act AS "Recommended Action", {", ".join(_CELL)} FROM {_GRID} LEFT JOIN seg ON rfm = v AND "Risk Segment" = k GROUP BY v, k, act')(
+    lambda s, d: reports.value_risk_matrix(segs(s, d))
 )
 
 

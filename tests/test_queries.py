@@ -26,3 +26,17 @@ def test_against_duckdb(spark, name):
 
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_matrix_has_its_actions(spark):
+    """The query and its SQL give the text of every cell of the matrix, empty cells included."""
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS FROM '{SF}/{t}.parquet'")
+    cell = ["Value Segment", "Risk Segment", "Recommended Action", "Players"]
+    found = con.execute(entry.oracle_sql()["value_risk_matrix"])
+    names = [c[0] for c in found.description]
+    want = sorted(tuple(r[names.index(c)] for c in cell) for r in found.fetchall())
+    df = entry.queries()["value_risk_matrix"](spark, SF)
+    assert sorted(names) == sorted(df.columns) and len(want) == 12 and all(r[2] for r in want)
+    assert sorted(tuple(r[c] for c in cell) for r in df.collect()) == want

@@ -171,12 +171,18 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     return classify(materialise(rows, "simhash-rows"), distance)
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4) -> DataFrame:
     """docs with one row of each class of near copies, its columns unchanged.
 
     Near copies share 0.8 or more of the distinct five-word shingles that
-    either has. All such pairs are found and verified exactly (no SimHash of
-    any width tells 0.8 from less); classes are closed over them.
+    either has. Every text has its SimHash, and the classes of classify, over
+    fingerprints of at most `distance` different bits, are where near copies
+    are looked for first. An exact check follows: links are verified on the
+    shingles, so a class falls apart where its texts have too few in common,
+    and the near copies whose fingerprints lie further apart (no number of bits
+    tells 0.8 from less) are found by the shingles they share. Classes are
+    closed over the verified links. Texts too few of whose shingles are in any
+    other have no near copy; their fingerprints are not filed.
 
     The row with the smallest id stays (a null id only when the class has no
     other); of rows that repeat the id, the first as written. Null and wordless
@@ -184,15 +190,21 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     held = docs.withColumns({"__shingles": shingles(F.col(text_col)), "__row": F.monotonically_increasing_id()})
     held = held.withColumns({"__n": F.size("__shingles"), "__part": F.size(F.filter("__shingles", in_part)), "__set": F.xxhash64("__shingles")}).drop("__shingles")
-    held = materialise(held, "near-docs")
+    held = materialise(held.withColumn("__fp", simhash(F.col(text_col))), "near-docs")
     first = F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).cast("bigint").alias("doc_id"), F.col("__row").alias("row")))
-    sets = held.groupBy(F.col("__set").alias("node")).agg(F.max("__n").alias("n"), F.max("__part").alias("part"), first.alias("first"), F.count("*").alias("copies"))
+    sets = held.groupBy(F.col("__set").alias("node")).agg(F.max("__n").alias("n"), F.max("__part").alias("part"), F.min("__fp").alias("fp"), first.alias("first"), F.count("*").alias("copies"))
     sets = materialise(sets, "near-nodes")
+
+    def grouped(nodes: DataFrame) -> DataFrame:
+        """(node, group): the SimHash classes of the sets."""
+        rows = materialise(sets.join(nodes, "node", "left_semi").select(F.col("node").alias("doc_id"), "fp"), "simhash-rows")
+        return classify(rows, distance).select(F.col("doc_id").alias("node"), F.col("class_fp").alias("group"))
+
     # a set with a thousandth of all rows or more is compared by its first row alone: at most 1,000 sets, which are broadcast
     total = sets.agg(F.sum("copies")).first()[0] or 0
     hot = sets.where((F.col("copies") > 1) & (F.col("copies") * 1000 >= total)).select(F.col("node").alias("__set"), F.col("first.row").alias("__only"))
     once = held.join(F.broadcast(hot), "__set", "left").where(F.col("__only").isNull() | (F.col("__only") == F.col("__row")))
-    classes = near_copy_classes(once.select(F.col("__set").alias("node"), F.col(text_col).alias("text")), sets)
+    classes = near_copy_classes(once.select(F.col("__set").alias("node"), F.col(text_col).alias("text")), sets, grouped)
     named = sets.join(classes, "node", "left").groupBy(F.coalesce("class", "node").alias("class"))
     kept = named.agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))
     return held.join(kept, "__row", "left_semi").select(*docs.columns)

@@ -63,6 +63,49 @@ def test_near_copies_are_exact(spark, backwards):
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect()) == sorted(set(classes(given)))
 
 
+def test_near_copies_come_through_simhash(spark, monkeypatch):
+    """Every fingerprint that could have a near copy is filed and linked at 4 bits, and those links are the first that are verified."""
+    from playerday.llm import jaccard
+
+    filed, given = [], []
+    classify, star_links = simhash.classify, jaccard.star_links
+
+    def watched(rows, distance=4, check_bits=None):
+        filed.append((distance, {r.fp for r in rows.collect()}))
+        return classify(rows, distance, check_bits)
+
+    def stars(keys, found, groups):
+        given.append({r.node: r.group for r in groups.collect()})
+        return star_links(keys, found, groups)
+
+    monkeypatch.setattr(simhash, "classify", watched)
+    monkeypatch.setattr(jaccard, "star_links", stars)
+    rng = random.Random(8)
+    base = words(rng, 400)
+    copies = [" ".join([*base[:at], "other", *base[at + 1 :]]) for at in range(0, 400, 40)]
+    texts = [" ".join(base), *copies, " ".join(words(rng, 50)), " ".join(words(rng, 50))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect()) == [0, 11, 12]
+    prints = [simhash.fingerprint_of(t, 4, 42) for t in texts]
+    near = lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count() <= 4
+    (distance, fps), (groups,) = filed[0], given
+    assert distance == 4 and fps == set(prints[:11]) and len(groups) == len(set(texts[:11]))
+    assert any(near(a, b) for a in fps for b in fps if a != b)
+    sizes = [list(groups.values()).count(g) for g in set(groups.values())]
+    assert max(sizes) > 1 and len(sizes) == len({min(reach(a, fps, near)) for a in fps})
+
+
+def reach(a, fps, near):
+    """The fingerprints reachable from a over near ones."""
+    seen, todo = {a}, [a]
+    while todo:
+        b = todo.pop()
+        fresh = {c for c in fps - seen if near(b, c)}
+        seen |= fresh
+        todo += fresh
+    return seen
+
+
 def test_rows_of_equal_fp_are_checked(spark):
     far = 2**40 - 1
     given = [(0, 5, 0), (1, 5, far), (2, 5, 3), (3, 4, far - 1), (4, 5, far), (5, 1 << 50, 0)]

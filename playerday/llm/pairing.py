@@ -19,16 +19,19 @@ def pairs_between_classes(filed: DataFrame, apart: str, near: Column, ordered: C
     strangers, are paired, with the main class and among themselves, so that a
     group of near copies beside a stranger is not squared. The result is the
     same for every hot_key.
+
+    filed is often exploded from a few bytes a row, which Spark's estimate of its
+    size leaves out: unhinted, its joins would be broadcast by way of the driver.
     """
     stats = filed.groupBy("key").agg(F.min(apart).alias("low"), F.max(apart).alias("high"), F.count("*").alias("n"))
     left_out = stats.where(f"(low = high AND n > 1) OR (low < high AND n > {hot_key})").select("key")
-    few = filed.join(left_out, "key", "left_anti")
+    few = filed.join(left_out.hint("merge"), "key", "left_anti")
     same_key, differ = F.col("a.key") == F.col("b.key"), F.col(f"a.{apart}") != F.col(f"b.{apart}")
-    plain = few.alias("a").join(few.alias("b"), same_key & ordered & differ & near).select(*chosen)
+    plain = few.alias("a").hint("merge").join(few.alias("b"), same_key & ordered & differ & near).select(*chosen)
 
-    hot = filed.join(stats.where(f"low < high AND n > {hot_key}").select("key"), "key", "left_semi")
+    hot = filed.join(stats.where(f"low < high AND n > {hot_key}").select("key").hint("merge"), "key", "left_semi")
     main = hot.groupBy("key", apart).count().groupBy("key").agg(F.max_by(apart, "count").alias("main"))
-    marked = hot.join(main, "key")
+    marked = hot.join(main.hint("merge"), "key")
     strangers = marked.where(F.col(apart) != F.col("main"))
     once = (F.col(f"b.{apart}") == F.col("b.main")) | ordered
-    return plain.union(strangers.alias("a").join(marked.alias("b"), same_key & once & differ & near).select(*chosen))
+    return plain.union(strangers.alias("a").hint("merge").join(marked.alias("b"), same_key & once & differ & near).select(*chosen))

@@ -63,7 +63,10 @@ def segments(distance: int) -> list[tuple[int, int]]:
 
 
 def file_by_key(fingerprints: DataFrame, distance: int, *carried: str) -> DataFrame:
-    """The distinct carried columns (fp among them), once under each of the 64 keys of fp: a bit's segment with that bit deleted."""
+    """The distinct carried columns (fp among them), once under each of the 64 keys of fp: a bit's segment with that bit deleted.
+
+    Spark's estimate of the size leaves the 64 out, so joins by key carry a hint against a broadcast of one side.
+    """
     parts = segments(distance)
     width = max(w for _, w in parts)
     fp = F.col("fp")
@@ -112,7 +115,7 @@ def link_pairs(fingerprints: DataFrame, distance: int = 4, check_bits: int | Non
     chosen = [named("a").alias("a"), named("b").alias("b")]
     if apart is not None:
         return pairs_between_classes(filed, apart, near, ordered, chosen)
-    return filed.alias("a").join(filed.alias("b"), (F.col("a.key") == F.col("b.key")) & ordered & near).select(*chosen)
+    return filed.alias("a").hint("merge").join(filed.alias("b"), (F.col("a.key") == F.col("b.key")) & ordered & near).select(*chosen)
 
 
 def star_links(nodes: DataFrame, distance: int, check_bits: int | None = None) -> DataFrame:
@@ -123,12 +126,12 @@ def star_links(nodes: DataFrame, distance: int, check_bits: int | None = None) -
     if check_bits is None:
         filed = file_by_key(nodes, distance, "fp")
         least = filed.groupBy("key").agg(F.min("fp").alias("src"))
-        found = filed.join(least, "key").where((F.col("src") != F.col("fp")) & (differing(F.col("src"), F.col("fp")) <= distance))
+        found = filed.join(least.hint("merge"), "key").where((F.col("src") != F.col("fp")) & (differing(F.col("src"), F.col("fp")) <= distance))
         return found.select("src", F.col("fp").alias("dst")).distinct()
     filed = file_by_key(nodes, distance, "fp", "check").withColumn("dst", F.struct("fp", "check"))
     least = filed.groupBy("key").agg(F.min("dst").alias("src"))
     near = (differing(F.col("src.fp"), F.col("fp")) <= distance) & (differing(F.col("src.check"), F.col("check")) <= check_bits)
-    return filed.join(least, "key").where((F.col("src") != F.col("dst")) & near).select("src", "dst").distinct()
+    return filed.join(least.hint("merge"), "key").where((F.col("src") != F.col("dst")) & near).select("src", "dst").distinct()
 
 
 def classify(rows: DataFrame, distance: int = 4, check_bits: int | None = None) -> DataFrame:

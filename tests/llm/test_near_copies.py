@@ -113,3 +113,15 @@ def test_rows_of_equal_fp_are_checked(spark):
     got = {r.doc_id: r.component_id for r in simhash.classify(rows, 4, 14).collect()}
     assert got == {0: 0, 2: 0, 1: 1, 3: 1, 4: 1, 5: 0}
     assert sorted((tuple(r.a), tuple(r.b)) for r in simhash.link_pairs(rows.where("doc_id < 3"), 4, 14).collect()) == [((5, 0), (5, 3))]
+
+
+@pytest.mark.parametrize("bits", [None, 14])
+def test_keys_are_not_broadcast(spark, bits):
+    """A small table becomes 64 times as many keys, which do not go through the driver."""
+    rng = random.Random(8)
+    fps = [rng.getrandbits(62) for _ in range(300)]
+    given = [(i, fp ^ (i % 2), 0, i % 7) for i, fp in enumerate(fps + fps)]
+    rows = simhash.materialise(spark.createDataFrame(given, "doc_id bigint, fp bigint, check bigint, star bigint"), "test-keys")
+    for found in (simhash.link_pairs(rows, 4, bits), simhash.link_pairs(rows, 4, bits, apart="star"), simhash.star_links(rows, 4, bits)):
+        assert "Join" in (plan := found._jdf.queryExecution().executedPlan().toString())
+        assert "Broadcast" not in plan
